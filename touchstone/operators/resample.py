@@ -215,8 +215,8 @@ def auc_permutation(df, score: str, label: str, key: str, group: Sequence[str] =
         *group, key, F.col(score).cast("double").alias("__s"), F.col(label).cast("int").alias("__y"))
     ranked = value_ranks(rows, group, "__s").select(*group, "__s", "rank")
     rows = attach(rows, ranked, [*group, "__s"])
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("k"), F.sum(F.when(F.col("__y") == 1, F.col("rank"))).alias("__sum"))
-    k, n = F.col("k"), F.col("n")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n_pos"), F.sum(F.when(F.col("__y") == 1, F.col("rank"))).alias("__sum"))
+    k, n = F.col("n_pos"), F.col("n")
     small_side = F.least(k, n - k).cast("int")
     log_ways = F.aggregate(
         F.when(small_side > 0, F.sequence(F.lit(1), F.least(small_side, F.lit(64)))).otherwise(F.array().cast("array<int>")),
@@ -231,12 +231,12 @@ def auc_permutation(df, score: str, label: str, key: str, group: Sequence[str] =
         return pd.Series([_exact_rank_sum_p(np.asarray(a, float), np.asarray(b)) for a, b in zip(r, y)])
 
     exact = few.select(*group, enumerate_p("__r", "__l").alias("p"))
-    many = attach(rows, sizes.filter("NOT exact").select(*group, "k", "__sum"), group)
+    many = attach(rows, sizes.filter("NOT exact").select(*group, "n_pos", "__sum"), group)
     many = many.withColumn(REPLICATE, _replicates(replicates)).withColumn("__h", keyed_int(seed, *group, REPLICATE, key))
     placed = numbered(many, [*group, REPLICATE], ["__h", key], "__rn", fanout=replicates)
-    sums = placed.groupBy(*group, REPLICATE, "__sum").agg(F.sum(F.when(F.col("__rn") <= F.col("k"), F.col("rank"))).alias("__t"))
+    sums = placed.groupBy(*group, REPLICATE, "__sum").agg(F.sum(F.when(F.col("__rn") <= F.col("n_pos"), F.col("rank"))).alias("__t"))
     monte = sums.groupBy(*group).agg(F.avg((F.col("__t") >= F.col("__sum") - 1e-9).cast("double")).alias("p"))
-    return attach(sizes.select(*group, "n", "k", "auc", "exact"), exact.unionByName(monte), group, "left")
+    return attach(sizes.select(*group, "n", "n_pos", "auc", "exact"), exact.unionByName(monte), group, "left")
 
 
 def cluster_permuted_null(df, feature: str, target: str, cluster: str, key: str, replicates=200, seed=0) -> DataFrame:
@@ -249,7 +249,7 @@ def cluster_permuted_null(df, feature: str, target: str, cluster: str, key: str,
         "__h", keyed_int(seed, REPLICATE, "__c"))
     orders = numbered(orders, [REPLICATE], ["__h", "__c"], "__i", fanout=replicates)
     swapped = orders.join(placed.select("__i", F.col("__m").alias("__new")), "__i").select(REPLICATE, F.col("__c").alias(cluster), "__new")
-    null = spearman(rows.join(swapped, cluster), feature, "__new", [REPLICATE], name="__null")
+    null = spearman(rows.join(swapped, cluster), feature, "__new", [REPLICATE], name="__null").drop("n")
     both = with_scalars(null, seen)
     return both.groupBy("rho", "n").agg(F.avg((F.abs("__null") >= F.abs("rho") - 1e-12).cast("double")).alias("p"))
 
