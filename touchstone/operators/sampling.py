@@ -88,4 +88,4 @@ def sample_windows(df, key: str, text, width: int, per_text: Column | int, alpha
         start = start - start % align + frame
     out = rows.withColumn("start", start.cast("int")).filter((F.col("start") >= 0) & (F.col("start") + width <= F.length("__t")))
     out = out.select(key, "start", F.col("__t").substr(F.col("start") + 1, F.lit(width)).alias("window"))
-    return out.filter(F.col("window").rlike(f"^[{alphabet}]+$")).dropDuplicates([key, "start"])
+    return out.filter(F.col("window").rlike(f"^[{alphabet}]+\\z")).dropDuplicates([key, "start"])

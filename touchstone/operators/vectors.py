@@ -189,25 +189,27 @@ def split_half_cosine(df, vector: str, weight: str, half: Column) -> DataFrame:
         F.sqrt(F.sum(F.col("a") ** 2)).alias("length_a"), F.sqrt(F.sum(F.col("b") ** 2)).alias("length_b"))
 
 
-def concatenated_pair(df, origin: str, target: str) -> Column:
+def concatenated_pair(origin: str, target: str) -> Column:
     """origin, target and their difference as one vector."""
     widen = lambda c: F.transform(c, lambda v: v.cast("double"))
     return F.concat(widen(origin), widen(target), F.zip_with(target, origin, lambda t, o: t.cast("double") - o))
 
 
-def vector_map_eval(df, x: str, y: str, size: int, train: Column, entity: str, lam: float = 1.0) -> DataFrame:
+def vector_map_eval(df, x: str, y: str, size: int, train: Column, entity: str, lam: float = 1.0, size_x: int | None = None) -> DataFrame:
     """Predict a displacement vector y from x by a ridge map; per held-out entity, mean cosine and
     explained variance beside those of the constant mean displacement.
 
-    The map's coefficients are one row of (size + 1) x size numbers, attached to the test rows.
+    ``size`` is the length of y, ``size_x`` of x (the same if not given).  The map is one row of
+    (size_x + 1) x size numbers, bounded by the feature limit, and is broadcast.
     """
+    size_x = size_x or size
     rows = df.withColumn("__train", train).withColumn("__x", F.transform(x, lambda v: v.cast("double")))
     targets = [f"__y{i}" for i in range(size)]
     rows = rows.select("*", *[F.get(y, F.lit(i)).cast("double").alias(t) for i, t in enumerate(targets)])
-    moments = gram(rows.filter("__train"), "__x", targets, size=size)
+    moments = gram(rows.filter("__train"), "__x", targets, size=size_x)
     fit = solve(moments, lam).select("beta", F.transform(F.slice("xty", F.lit(1), F.lit(size)), lambda v: v / F.col("n")).alias("__mean"))
-    beta_row = fit.first()  # (size + 1) * size doubles, bounded by the feature limit
-    beta, mean = np.asarray(beta_row[0], float).reshape(size + 1, size), np.asarray(beta_row[1], float)
+    fitted = fit.first()
+    beta, mean = np.asarray(fitted[0], float).reshape(size_x + 1, size), np.asarray(fitted[1], float)
     shared = df.sparkSession.sparkContext.broadcast(beta)
 
     def predict(v: pd.Series) -> pd.Series:

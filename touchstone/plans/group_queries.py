@@ -291,13 +291,13 @@ def log_enrichment_query(t):
 
 
 @query("reproduction_check", """
-with a as (select o_orderkey, round(o_totalprice, 0) as v from orders where o_orderkey % 7 <> 0), b as (select o_orderkey, o_totalprice as v from orders where o_orderkey % 5 <> 0)
+with a as (select o_orderkey, round(o_totalprice, 0) as v from orders where o_orderstatus <> 'P'), b as (select o_orderkey, o_totalprice as v from orders where o_orderpriority <> '5-LOW')
 select cast(count(a.v + b.v) as bigint) as matched, cast(sum(case when b.o_orderkey is null then 1 else 0 end) as bigint) as only_a,
   cast(sum(case when a.o_orderkey is null then 1 else 0 end) as bigint) as only_b, round(max(abs(a.v - b.v)), 6) + 0.0 as max_abs_diff,
   cast(sum(case when abs(a.v - b.v) > 0.25 then 1 else 0 end) as bigint) as differ from a full join b on a.o_orderkey = b.o_orderkey""")
 def reproduction_check(t):
-    a = t.orders.filter("o_orderkey % 7 <> 0").select("o_orderkey", F.round("o_totalprice", 0).alias("v"))
-    b = t.orders.filter("o_orderkey % 5 <> 0").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    a = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.round("o_totalprice", 0).alias("v"))
+    b = t.orders.filter("o_orderpriority <> '5-LOW'").select("o_orderkey", F.col("o_totalprice").alias("v"))
     return rounded(gr.reproduction_check(a, b, ["o_orderkey"], "v", 0.25))
 
 

@@ -260,12 +260,12 @@ def battery_claims(t):
 @query("replayed_deltas", f"""
 with w as (select l_suppkey, avg(l_quantity) filter (l_returnflag = 'A') as a, avg(l_quantity) filter (l_returnflag = 'N') as n, avg(l_quantity) filter (l_returnflag = 'R') as rr from lineitem group by 1)
 select perturbation, cast(count(*) as bigint) as n, {r('avg(delta)')} as mean, {r('stddev_samp(delta) / sqrt(count(*))')} as se from (
-  select 'first' as perturbation, a - n as delta from w where l_suppkey % 2 = 0 union all select 'second', a - rr from w where l_suppkey % 2 = 0) where delta is not null group by 1""")
+  select 'first' as perturbation, a - n as delta from w where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0) union all select 'second', a - rr from w where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)) where delta is not null group by 1""")
 def replayed_deltas(t):
     from touchstone.operators.hypothesis import paired_interval
 
     means = t.lineitem.groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.avg("l_quantity"))
     wide = means.select("l_suppkey", (F.col("A") - F.col("N")).alias("delta:first"), (F.col("A") - F.col("R")).alias("delta:second"))
-    keep = t.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    keep = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     long = co.replay_deltas(wide, "l_suppkey", keep=keep)
     return rounded(paired_interval(long, "delta", ["perturbation"]).select("perturbation", "n", "mean", "se"))

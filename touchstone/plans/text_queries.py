@@ -136,12 +136,13 @@ def hamming_identity(t):
 
 
 @query("chunk_aggregate", f"""
-with c as (select doc_id, i as chunk, length(substr(text, cast(i * 40 as int) + 1, 40)) - length(replace(substr(text, cast(i * 40 as int) + 1, 40), 'e', '')) as v from documents, unnest(range(0, 5)) as u(i) where length(text) >= 200)
-select doc_id, cast(count(*) as bigint) as chunks, {r('avg(v)')} as mean, {r('quantile_cont(v, 0.5)')} as median, max(v) as max, min(v) as min, arg_min(v, chunk) as nearest, arg_max(v, chunk) as farthest from c group by 1""")
+with l as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) - 1 as i, length(text) // 40 as whole from documents),
+c as (select doc_id, i // 40 as chunk, sum(case when c = 'e' then 1 else 0 end) as v from l where i // 40 < whole group by 1, 2)
+select doc_id, cast(count(*) as bigint) as chunks, {r('avg(v)')} as mean, {r('quantile_cont(v, 0.5)')} as median, cast(max(v) as bigint) as max, cast(min(v) as bigint) as min,
+  cast(arg_min(v, chunk) as bigint) as nearest, cast(arg_max(v, chunk) as bigint) as farthest from c group by 1""")
 def chunk_aggregate(t):
-    chunk = F.col("text").substr(F.col("chunk") * 40 + 1, F.lit(40))
-    rows = t.documents.filter(F.length("text") >= 200).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    rows = rows.select("doc_id", "chunk", (F.length(chunk) - F.length(F.replace(chunk, F.lit("e"), F.lit("")))).cast("long").alias("v"))
+    rows = t.documents.select("doc_id", F.posexplode(tx.blocks("text", 40)).alias("chunk", "part"))
+    rows = rows.select("doc_id", "chunk", (F.length("part") - F.length(F.replace("part", F.lit("e"), F.lit("")))).cast("long").alias("v"))
     return rounded(gr.chunk_aggregate(rows, ["doc_id"], "chunk", "v"))
 
 
