@@ -17,11 +17,13 @@ from touchstone.functions.numeric import col
 from touchstone.functions.tables import AMINO_ACIDS, CHARGE, HYDROPATHY, VOLUME
 from touchstone.functions.text import letter_share, letters, windows
 from touchstone.operators.running import numbered, with_scalars
+from touchstone.settings import cut_lineage, spread
 
 
 def kmer_counts(df, key: str, text, k: int, alphabet: str = "[ACGT]") -> DataFrame:
     """(key, kmer, n, share): counts of windows made of the alphabet only, and their share."""
-    grams = df.select(key, F.explode(windows(text, k, alphabet)).alias("kmer"))
+    rows = spread(df.select(key, col(text).alias("__text")))
+    grams = rows.select(key, F.explode(windows("__text", k, alphabet)).alias("kmer"))
     counts = grams.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("__total"))
     return counts.join(totals, key).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
@@ -69,12 +71,12 @@ def transition_counts(df, key: str, text, order: int, period: int = 1, alphabet:
 
     The phase is the place of the predicted letter modulo ``period``.
     """
-    grams = df.select(key, F.posexplode(windows(text, order + 1)).alias("__at", "__gram"))
-    plain = grams.filter(F.col("__gram").rlike(f"^[{alphabet}]{{{order + 1}}}$"))
-    return plain.groupBy(
+    rows = spread(df.select(key, col(text).alias("__text")))
+    grams = rows.select(key, F.posexplode(windows("__text", order + 1)).alias("__at", "__gram"))
+    plain = grams.filter(F.col("__gram").rlike(f"^[{alphabet}]{{{order + 1}}}$")).select(
         key, ((F.col("__at") + order) % period).alias("phase"),
-        F.substring("__gram", 1, order).alias("context"), F.substring("__gram", order + 1, 1).alias("letter"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+        F.substring("__gram", 1, order).alias("context"), F.substring("__gram", order + 1, 1).alias("letter"))
+    return plain.groupBy(key, "phase", "context", "letter").agg(F.count(F.lit(1)).alias("n"))
 
 
 def markov_scores(
@@ -90,32 +92,51 @@ def markov_scores(
     entry (a text and its perturbations).
     """
     size = len(alphabet)
-    unit = score_key or key
-    extra = [key] if unit == key else [key, unit]
-    cells = ["phase", "context", "letter"]
-    mine = transition_counts(df.select(*extra, col(text).alias("__text")).withColumn("__unit", F.struct(*extra)), "__unit", "__text", order, period, alphabet)
-    mine = mine.select(*[F.col(f"__unit.{e}").alias(e) for e in extra], *cells, "n")
+    extra = [key] if score_key is None else [key, score_key]
+    cells, place = ["phase", "context", "letter"], ["phase", "context"]
+    tagged = df.select(F.struct(*extra).alias("__unit"), col(text).alias("__text")) if score_key else df.select(key, col(text).alias("__text"))
+    mine = transition_counts(tagged, "__unit" if score_key else key, "__text", order, period, alphabet)
+    if score_key:
+        mine = mine.select(*[F.col(f"__unit.{e}").alias(e) for e in extra], *cells, "n")
+    # Counts are used several times, and the optimiser pushes different null filters into each use,
+    # so the exchange would not be shared: they are written once instead of read from text again.
+    mine = cut_lineage(mine)
+    same = corpus is None and score_key is None
+    own = mine if same else cut_lineage(transition_counts(corpus if corpus is not None else df, key, corpus_text or text, order, period, alphabet))
+    # The score is a sum over cells less a sum over contexts, so the two never need to meet on rows:
+    #   sum n ln(c + a) - sum n_ctx ln(c_ctx + a V), where c leaves a text's own counts out if asked.
+    my_ctx = mine.groupBy(*extra, *place).agg(F.sum("n").alias("n"))
+    own_ctx = my_ctx if same else own.groupBy(key, *place).agg(F.sum("n").alias("n"))
     if fit == "self":
-        own = mine if unit == key else transition_counts(corpus, key, corpus_text, order, period, alphabet)
-        rows = own.groupBy(key, "phase", "context").agg(F.sum("n").alias("c_ctx"))
-        joined = mine.join(own.select(key, *cells, F.col("n").alias("c")), [key, *cells], "left") if unit != key else mine.withColumn("c", F.col("n"))
-        joined = joined.join(rows, [key, "phase", "context"], "left")
+        cell_sum = _log_mass(mine, own, None, [key, *cells], cells, same, extra, pseudocount, False)
+        ctx_sum = _log_mass(my_ctx, own_ctx, None, [key, *place], place, same, extra, size * pseudocount, False)
     else:
-        own = mine if corpus is None else transition_counts(corpus, key, corpus_text, order, period, alphabet)
-        total = own.groupBy(*cells).agg(F.sum("n").alias("c_all"))
-        context = total.groupBy("phase", "context").agg(F.sum("c_all").alias("ctx_all"))
-        joined = mine.join(total, cells, "left").join(context, ["phase", "context"], "left")
-        if leave_one_out:
-            own_cells = own.select(key, *cells, F.col("n").alias("c_own"))
-            own_ctx = own.groupBy(key, "phase", "context").agg(F.sum("n").alias("ctx_own"))
-            joined = joined.join(own_cells, [key, *cells], "left").join(own_ctx, [key, "phase", "context"], "left")
-        else:
-            joined = joined.withColumn("c_own", F.lit(0)).withColumn("ctx_own", F.lit(0))
-        joined = joined.withColumn("c", F.coalesce("c_all", F.lit(0)) - F.coalesce("c_own", F.lit(0))).withColumn(
-            "c_ctx", F.coalesce("ctx_all", F.lit(0)) - F.coalesce("ctx_own", F.lit(0)))
-    logp = F.log((F.coalesce("c", F.lit(0)) + pseudocount) / (F.coalesce("c_ctx", F.lit(0)) + size * pseudocount))
-    return joined.groupBy(*extra).agg(
-        F.sum("n").alias("transitions"), (F.sum(F.col("n") * logp) / F.sum("n")).alias("score"))
+        total = own.groupBy(*cells).agg(F.sum("n").alias("__all"))
+        total_ctx = total.groupBy(*place).agg(F.sum("__all").alias("__all"))
+        cell_sum = _log_mass(mine, own, total, [key, *cells], cells, same, extra, pseudocount, leave_one_out)
+        ctx_sum = _log_mass(my_ctx, own_ctx, total_ctx, [key, *place], place, same, extra, size * pseudocount, leave_one_out)
+    both = cell_sum.join(ctx_sum.select(*extra, F.col("__s").alias("__c")), extra)
+    return both.select(*extra, F.col("__n").alias("transitions"), ((F.col("__s") - F.col("__c")) / F.col("__n")).alias("score"))
+
+
+def _log_mass(rows, own, total, own_keys, total_keys, same, extra, add, leave_out) -> DataFrame:
+    """Per text: n and the sum of n ln(count + add) under the fitted counts.
+
+    ``total`` None fits each text on its own counts.  When the fitted texts are the scored ones
+    (``same``), a row's own count is its n and needs no join.
+    """
+    mine = F.col("n")
+    need_own = total is None or leave_out
+    if need_own and not same:
+        rows = rows.join(own.withColumnRenamed("n", "__own"), own_keys, "left")
+        mine = F.coalesce("__own", F.lit(0))
+    if total is None:
+        count = mine
+    else:
+        # One row per cell of the model: the optimiser broadcasts it when it measures it as small.
+        rows = rows.join(total, total_keys, "left")
+        count = F.coalesce("__all", F.lit(0)) - (mine if leave_out else F.lit(0))
+    return rows.groupBy(*extra).agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.log(count + add)).alias("__s"))
 
 
 def bigram_scores(df, key: str, tokens: Column, alpha: float = 0.5, vocabulary: int | None = None) -> DataFrame:

@@ -22,9 +22,20 @@ def setting(spark: SparkSession, name: str) -> int:
 
 
 def leaf_bytes(df: DataFrame) -> int:
-    """Catalyst's size of all inputs of the plan; reads statistics only and runs no job."""
+    """Catalyst's size of the plan's distinct inputs; reads statistics only and runs no job.
+
+    A table that a plan scans several times counts once, at its largest.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes: dict[str, int] = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        try:
+            name = str(leaf.relation().location().rootPaths().mkString(","))
+        except Exception:  # not a file scan
+            name = f"leaf {i}"
+        sizes[name] = max(sizes.get(name, 0), int(str(leaf.stats().sizeInBytes())))
+    return sum(sizes.values())
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -52,6 +63,17 @@ def needs_split(df: DataFrame, group: list[str], fanout: int = 1) -> bool:
     return (largest or 0) > limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before letter-by-letter work.
+
+    A row group is one task, so a few text files can leave most cores idle.  Inputs that already
+    fill the cores with splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("bB") or 0)
+    return df.repartition(2 * cores) if leaf_bytes(df) < cores * split else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
