@@ -94,7 +94,7 @@ def test_append_stream_equals_batch(spark, event_files, tmp_path):
 def test_rolling_stream_equals_batch(spark, event_files, tmp_path):
     schema = spark.read.parquet(event_files).schema
     stream = st.deduplicated(st.replay_source(spark, event_files, schema, 10), "ts", ["id"], "0 minutes")
-    st.rolling_audit_stream(stream, "ts", "x", "y", ["g"], "2 hours", "0 minutes", str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    st.rolling_audit_stream(stream, "ts", "x", "y", ["g"], "2 hours", None, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     got = {(r.window_start, r.g): (r.n, round(r.pearson, 9)) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     batch = st.pearson_from_sums(st.rolling_sums(spark.read.parquet(event_files).dropDuplicates(["id"]), "ts", "x", "y", ["g"], "2 hours"))
     want = {(r.window.start, r.g): (r.n, round(r.pearson, 9)) for r in batch.collect()}

@@ -34,13 +34,16 @@ def leaf_bytes(df: DataFrame) -> int:
             name = str(leaf.relation().location().rootPaths().mkString(","))
         except Exception:  # not a file scan
             name = f"leaf {i}"
-        sizes[name] = max(sizes.get(name, 0), int(str(leaf.stats().sizeInBytes())))
+        sizes[name] = max(sizes.get(name, 0), _size(leaf))
     return sum(sizes.values())
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own upper estimate of the plan's output size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _size(plan) -> int:
+    """Size estimate of a plan node; estimates through many joins can be too long to convert."""
+    try:
+        return int(plan.stats().sizeInBytes())
+    except ValueError:
+        return 1 << 62
 
 
 def is_small(df: DataFrame, fanout: int = 1) -> bool:

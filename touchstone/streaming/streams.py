@@ -67,8 +67,11 @@ def binned_auc(histogram: DataFrame, group: Sequence[str]) -> DataFrame:
     return auc_counts(flat, ["window_start", *group], "bin", name="binned_auc", split=False)  # bins rows per group
 
 
-def rolling_audit_stream(stream: DataFrame, ts: str, x: str, y: str, group: Sequence[str], length: str, lateness: str, path: str, checkpoint: str, slide: str | None = None) -> StreamingQuery:
-    """Pearson per closed window, appended as windows pass the watermark."""
+def rolling_audit_stream(stream: DataFrame, ts: str, x: str, y: str, group: Sequence[str], length: str, lateness: str | None, path: str, checkpoint: str, slide: str | None = None) -> StreamingQuery:
+    """Pearson per closed window, appended as windows pass the watermark.
+
+    A stream that already carries a watermark (``deduplicated``) keeps it: give no lateness then.
+    """
     sums = rolling_sums(stream, ts, x, y, group, length, slide, lateness)
     out = pearson_from_sums(sums).select(F.col("window.start").alias("window_start"), *group, "n", "pearson")
     writer = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
