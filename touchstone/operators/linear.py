@@ -165,7 +165,6 @@ def solve(grams: DataFrame, lam: float = 1.0, standardise: bool = False, inverse
     With ``standardise`` the penalty acts on features scaled by their training moments and the
     coefficients come back in original units.  ``inverse`` adds (X'X + penalty)^-1.
     """
-    # Solves are small but not free: spread the groups, do not inherit the moment shuffle's layout.
     out = grams.withColumn("beta", _solver(0, lam, standardise)("xtx", "xty"))
     if inverse:
         out = out.withColumn("inverse", _solver(1, lam, False)("xtx", "xty"))

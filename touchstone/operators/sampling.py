@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchstone.functions.numeric import col, half_even, keyed_int
-
 from touchstone.operators.running import Total, attach, numbered, running, with_group_totals, with_scalars
 from touchstone.settings import needs_split
 
