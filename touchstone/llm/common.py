@@ -169,7 +169,7 @@ def shingles(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np
     if n == 0:
         return h, row
     acc = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         acc[:n - k] += h[k:] * _STEP[k]
     whole = np.zeros(n, dtype=bool)
     if n >= width:
@@ -178,7 +178,7 @@ def shingles(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np
     length = np.diff(np.r_[begin, n])
     short = begin[length < width]
     for s, m in zip(short, length[length < width], strict=True):
-        acc[s] = (h[s:s + m] * _STEP[:m]).sum(dtype=np.uint64) + _STEP[40 + m]
+        acc[s] = np.r_[h[s:s + m] * _STEP[:m], _STEP[40 + m]].sum(dtype=np.uint64)
     whole[short] = True
     at = np.flatnonzero(whole)
     return mixed(acc[at]), row[at]

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchstone.llm.digest_tree import OP9_SQL, exact_groups
+from touchstone.llm.line_dedup import OP5_SQL, op5
+from touchstone.llm.shingle_product import jaccard_components
+from touchstone.llm.span_votes import op10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +26,6 @@ def _on(name: str, operator: Callable[..., DataFrame], *tables: str, sql: str |
 
 
 _on("op9_digest_tree", exact_groups, "documents", sql=OP9_SQL)
+_on("op10_span_votes", op10, "documents")
+_on("op5_line_bitmaps", op5, "documents", sql=OP5_SQL)
+_on("op8_shingle_product", jaccard_components, "documents")
