@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchstone.llm.curve_packing import pack
 from touchstone.llm.digest_tree import OP9_SQL, exact_groups
 from touchstone.llm.line_dedup import OP5_SQL, op5
+from touchstone.llm.nb_linear import toxicity
+from touchstone.llm.output_codes import language
+from touchstone.llm.pivotal import op2
 from touchstone.llm.shingle_product import jaccard_components
 from touchstone.llm.span_votes import op10
 
@@ -29,3 +33,7 @@ _on("op9_digest_tree", exact_groups, "documents", sql=OP9_SQL)
 _on("op10_span_votes", op10, "documents")
 _on("op5_line_bitmaps", op5, "documents", sql=OP5_SQL)
 _on("op8_shingle_product", jaccard_components, "documents")
+_on("op4_output_codes", language, "documents")
+_on("op7_nb_linear", toxicity, "documents", "labels")
+_on("op2_pivotal_mix", op2, "documents")
+_on("op6_curve_packing", pack, "documents")
