@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchstone.llm.curve_packing import pack
 from touchstone.llm.digest_tree import OP9_SQL, exact_groups
+from touchstone.llm.katz import katz_scores
 from touchstone.llm.line_dedup import OP5_SQL, op5
 from touchstone.llm.nb_linear import toxicity
 from touchstone.llm.output_codes import language
 from touchstone.llm.pivotal import op2
+from touchstone.llm.pruned_graph import neighbours
 from touchstone.llm.shingle_product import jaccard_components
 from touchstone.llm.span_votes import op10
 
@@ -37,3 +39,5 @@ _on("op4_output_codes", language, "documents")
 _on("op7_nb_linear", toxicity, "documents", "labels")
 _on("op2_pivotal_mix", op2, "documents")
 _on("op6_curve_packing", pack, "documents")
+_on("op3_pruned_graph", neighbours, "embeddings")
+_on("op1_katz", katz_scores, "documents")
