@@ -51,6 +51,17 @@ def t_two_sided_np(t, df):
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
+def t_quantile_np(p, df):
+    """Upper quantile (p above one half) of Student t: bisection of the exact tail over the angle of t."""
+    values, of = np.unique(np.asarray(df, float), return_inverse=True)
+    lo, hi = np.zeros(len(values)), np.full(len(values), math.pi / 2)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        over = t_two_sided_np(np.tan(mid), values) > 2 * (1 - p)
+        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
+    return np.where(values > 0, np.tan((lo + hi) / 2), np.nan)[of]
+
+
 def binom_two_sided_np(k, n):
     """Exact two-sided binomial p at one half: twice the smaller tail, at most 1."""
     k, n = np.asarray(k, float), np.asarray(n, float)
@@ -107,6 +118,14 @@ def t_two_sided(t, df) -> Column:
     return _udf(t_two_sided_np, 2)(col(t).cast("double"), col(df).cast("double"))
 
 
+def t_quantile_udf(p: float):
+    return _udf(lambda df: t_quantile_np(p, df), 1)
+
+
+def t_quantile(p: float, df) -> Column:
+    return t_quantile_udf(p)(col(df).cast("double"))
+
+
 def normal_upper(z) -> Column:
     """P(Z >= z)."""
     return _udf(lambda v: 0.5 * _erfc(v / math.sqrt(2.0)), 1)(col(z).cast("double"))

@@ -71,13 +71,13 @@ def matched_contrast(
 
 def claim_text(results: DataFrame, declarations: DataFrame, name: str = "perturbation") -> DataFrame:
     """The declared sentence that a verdict supports."""
-    joined = results.join(declarations.select(name, "claim_if_significant", "claim_if_null"), name, "left")
+    joined = results.join(declarations.select(name, "asks"), name, "left")
     claim = (
-        F.when(F.col("verdict").isin("REPRESENTS", "SENSITIVE"), F.col("claim_if_significant"))
-        .when(F.col("verdict").isin("NULL", "INVARIANT"), F.col("claim_if_null"))
+        F.when(F.col("verdict").isin("REPRESENTS", "SENSITIVE"), F.concat(F.lit("the score follows: "), "asks"))
+        .when(F.col("verdict").isin("NULL", "INVARIANT"), F.concat(F.lit("the score does not follow: "), "asks"))
         .when(F.col("verdict") == "INVERTED", F.lit("prefers the perturbed text"))
         .otherwise(F.lit("cannot be decided at this number of units")))
-    return joined.withColumn("claim", claim).drop("claim_if_significant", "claim_if_null")
+    return joined.withColumn("claim", claim).drop("asks")
 
 
 def replay_deltas(wide: DataFrame, key: str, prefix: str = "delta:", keep: DataFrame | None = None, name: str = "perturbation") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from touchstone.functions.numeric import Z975, finite, t_critical
-from touchstone.functions.tails import binom_two_sided, fisher_two_sided, normal_two_sided, normal_upper, t_two_sided
+from touchstone.functions.tails import binom_two_sided, fisher_two_sided, normal_two_sided, normal_upper, t_quantile, t_two_sided
 from touchstone.operators.ranks import value_counts
 from touchstone.operators.running import Total, attach, numbered, running, with_group_totals
 from touchstone.settings import needs_split
@@ -175,25 +175,9 @@ def flag_discoveries(df, ps: Sequence[str], treated: str, null: str, key, group=
     return out.withColumn("significant_fdr", both("fdr")).withColumn("significant_bonf", both("bonf"))
 
 
-# 97.5% and 80% points of the normal distribution.
-_Z80 = 0.8416212335729143
-
-
-def t_quantile_80(df_col):
-    """80% point of Student t by the same expansion in 1/df; exact for one and two degrees."""
-    x, v = _Z80, df_col.cast("double")
-    g1 = (x**3 + x) / 4
-    g2 = (5 * x**5 + 16 * x**3 + 3 * x) / 96
-    g3 = (3 * x**7 + 19 * x**5 + 17 * x**3 - 15 * x) / 384
-    g4 = (79 * x**9 + 776 * x**7 + 1482 * x**5 - 1920 * x**3 - 945 * x) / 92160
-    series = F.lit(x) + F.lit(g1) / v + F.lit(g2) / (v * v) + F.lit(g3) / (v * v * v) + F.lit(g4) / (v * v * v * v)
-    # tan(0.3 pi) and 0.6 / sqrt(2 * 0.8 * 0.2)
-    return F.when(v == 1, 1.3763819204711734).when(v == 2, 1.0606601717798212).otherwise(series)
-
-
 def detectable_effect(summary: DataFrame, n: str = "n", se: str = "se", reference: str | None = None) -> DataFrame:
     """Smallest effect found with 80% power at 5%: (t.975 + t.80) * SE, and its ratio to a reference."""
-    out = summary.withColumn("mde", (t_critical(F.col(n) - 1) + t_quantile_80(F.col(n) - 1)) * F.col(se))
+    out = summary.withColumn("mde", (t_critical(F.col(n) - 1) + t_quantile(0.8, F.col(n) - 1)) * F.col(se))
     return out.withColumn("mde_ratio", F.try_divide(F.col("mde"), F.abs(F.col(reference)))) if reference else out
 
 

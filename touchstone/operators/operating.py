@@ -124,7 +124,7 @@ def nomination_eval(df, picked: Column, on: str, off: list[str], kind="margin",
         F.sum(F.when(picked, 1).otherwise(0)).alias("n"),
         among(value).alias("mean_score"),
         (F.max(value) - among(value)).alias("regret"),
-        among((worst > tau).cast("double")).alias("crosstalk_rate"),
+        among((worst > tau).cast("double")).alias("off_target_rate"),
         among(is_specific(on, off, tau, on_min).cast("double")).alias("success_rate"),
         among(F.col(on)).alias("mean_on"),
         among(worst).alias("mean_off"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchstone.functions.numeric import condition_key, ddg, log_enrichment
 from touchstone.operators import groups as gr
 from touchstone.operators import hypothesis as hy
-from touchstone.plans.registry import arank, binom_p, normal_sf, query, r, rounded, scorr, t_p
+from touchstone.plans.registry import arank, binom_p, normal_sf, query, r, rounded, scorr, t_p, t_quantile
 
 
 @query("minmax_per_partner", """
@@ -243,14 +243,12 @@ def sampling_profile(t):
     return rounded(gr.sampling_profile(rows, ["l_linestatus"], "l_suppkey", "l_returnflag", "mut", "1"))
 
 
-@query("two_grain_summary", """
+@query("two_grain_summary", f"""
 with u as (select c_custkey, c_nationkey, avg(o_totalprice - 250000) as u from customer join orders on o_custkey = c_custkey group by 1, 2),
 c as (select c_nationkey, avg(u) as u from u group by 1),
 a as (select 'unit' as grain, u from u union all select 'cluster', u from c),
 s as (select grain, count(*) as n, avg(u) as mean, stddev_samp(u) / sqrt(count(*)) as se, sum(case when u > 0 then 1 else 0 end) as pos from a group by 1),
-q as (select *, n - 1.0 as v, 1.959963985::double as x from s),
-w as (select *, x + (pow(x,3) + x) / 4 / v + (5 * pow(x,5) + 16 * pow(x,3) + 3 * x) / 96 / pow(v,2) + (3 * pow(x,7) + 19 * pow(x,5) + 17 * pow(x,3) - 15 * x) / 384 / pow(v,3)
-   + (79 * pow(x,9) + 776 * pow(x,7) + 1482 * pow(x,5) - 1920 * pow(x,3) - 945 * x) / 92160 / pow(v,4) as tc from q)
+w as (select *, {t_quantile(0.975, '(n - 1.0)')} as tc from s)
 select grain, cast(n as bigint) as n, round(mean, 4) + 0.0 as mean, cast(pos as bigint) as positive, round(se, 4) + 0.0 as se, round(mean - tc * se, 4) + 0.0 as lo, round(mean + tc * se, 4) + 0.0 as hi from w""")
 def two_grain_summary(t):
     orders = t.orders.select("o_custkey", (F.col("o_totalprice") - 250000).alias("v"))
@@ -470,13 +468,9 @@ def distance_shift_test(t):
     return rounded(out.withColumn("t_p", F.round("t_p", 4)).withColumn("u_p", F.round("u_p", 4)))
 
 
-@query("minimum_detectable_effect", """
+@query("minimum_detectable_effect", f"""
 with d as (select l_suppkey, l_discount - 0.05 as d from lineitem), m as (select l_suppkey, count(*) as n, avg(d) as mean, stddev_samp(d) / sqrt(count(*)) as se from d group by 1),
-q as (select *, n - 1.0 as v, 1.959963985::double as x, 0.8416212335729143::double as y from m),
-w as (select *, x + (pow(x,3) + x) / 4 / v + (5 * pow(x,5) + 16 * pow(x,3) + 3 * x) / 96 / pow(v,2) + (3 * pow(x,7) + 19 * pow(x,5) + 17 * pow(x,3) - 15 * x) / 384 / pow(v,3)
-   + (79 * pow(x,9) + 776 * pow(x,7) + 1482 * pow(x,5) - 1920 * pow(x,3) - 945 * x) / 92160 / pow(v,4) as tx,
-   y + (pow(y,3) + y) / 4 / v + (5 * pow(y,5) + 16 * pow(y,3) + 3 * y) / 96 / pow(v,2) + (3 * pow(y,7) + 19 * pow(y,5) + 17 * pow(y,3) - 15 * y) / 384 / pow(v,3)
-   + (79 * pow(y,9) + 776 * pow(y,7) + 1482 * pow(y,5) - 1920 * pow(y,3) - 945 * y) / 92160 / pow(v,4) as ty from q)
+w as (select *, {t_quantile(0.975, '(n - 1.0)')} as tx, {t_quantile(0.8, '(n - 1.0)')} as ty from m)
 select l_suppkey, cast(n as bigint) as n, round(mean, 6) + 0.0 as mean, round(se, 6) + 0.0 as se, round(mean - tx * se, 6) + 0.0 as ci_lo, round(mean + tx * se, 6) + 0.0 as ci_hi, round((tx + ty) * se, 6) + 0.0 as mde from w""")
 def minimum_detectable_effect(t):
     rows = t.lineitem.select("l_suppkey", (F.col("l_discount") - 0.05).alias("d"))

@@ -210,7 +210,7 @@ def two_sided_objectives(t):
 with {_PARTNERS} select cast(sum(case when l_suppkey % 3 = 0 then 1 else 0 end) as bigint) as n,
   {r('avg(case when l_suppkey % 3 = 0 then a - greatest(n, rr) end)')} as mean_score,
   {r('max(a - greatest(n, rr)) - avg(case when l_suppkey % 3 = 0 then a - greatest(n, rr) end)')} as regret,
-  {r('avg(case when l_suppkey % 3 = 0 then (greatest(n, rr) > 0.5)::int end)')} as crosstalk_rate,
+  {r('avg(case when l_suppkey % 3 = 0 then (greatest(n, rr) > 0.5)::int end)')} as off_target_rate,
   {r('avg(case when l_suppkey % 3 = 0 then (a >= 0.8 and greatest(n, rr) <= 0.5)::int end)')} as success_rate,
   {r('avg(case when l_suppkey % 3 = 0 then a end)')} as mean_on, {r('avg(case when l_suppkey % 3 = 0 then greatest(n, rr) end)')} as mean_off from x""")
 def nomination_eval(t):

@@ -126,3 +126,17 @@ def normal_sf(z: str) -> str:
               f"+ n * ln(2.0) + lgamma(n + 1) - lgamma(2 * n + 2))))")
     phi = f"(0.5 + exp(-{a} * {a} / 2) / sqrt(2 * pi()) * {series})"
     return f"(case when {z} >= 0 then 1 - {phi} else {phi} end)"
+
+
+def t_quantile(p: float, df: str) -> str:
+    """Upper quantile of Student t by Newton steps on the exact tail, from the normal point."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(p)
+    t = f"({z!r} * (1 + ({z * z + 1!r}) / (4.0 * {df})))"
+    # Nested lambdas name each step once; the tail is twice the upper one.
+    step = (f"lambda t: [t[1] + ({t_p('t[1]', df)} - {2 * (1 - p)!r}) / (2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) "
+            f"/ sqrt({df} * pi()) * pow(1 + t[1] * t[1] / {df}, -({df} + 1) / 2.0))]")
+    once = f"list_transform([[{t}]], {step})"
+    twice = f"list_transform({once}, {step})"
+    return f"list_transform({twice}, {step})[1][1]"

@@ -9,7 +9,7 @@ from touchstone.operators import contrasts as co
 from touchstone.operators import perturb as pt
 from touchstone.operators import resample as rs
 from touchstone.operators import sequences as sq
-from touchstone.plans.registry import arank, drawn, query, r, rounded, scorr
+from touchstone.plans.registry import arank, drawn, query, r, rounded, scorr, t_quantile
 
 
 def _draws(units, group, key, reps, seed):
@@ -216,11 +216,9 @@ def battery_deltas(t):
     return co.paired_deltas(real, scored, "doc_id")
 
 
-_STATS = """st as (select kind, count(*) as n, avg(round(delta, 12)) as mean, stddev_samp(round(delta, 12)) / sqrt(count(*)) as se, sum(case when round(delta, 12) > 0 then 1 else 0 end) as up, sum(case when round(delta, 12) = 0 then 1 else 0 end) as ties from dl group by 1),
+_STATS = f"""st as (select kind, count(*) as n, avg(round(delta, 12)) as mean, stddev_samp(round(delta, 12)) / sqrt(count(*)) as se, sum(case when round(delta, 12) > 0 then 1 else 0 end) as up, sum(case when round(delta, 12) = 0 then 1 else 0 end) as ties from dl group by 1),
   rf as (select mean as ref from st where kind = 'reversal'),
-  cr as (select *, n - 1.0 as v, 1.959963985::double as x from st, rf),
-  ci as (select *, (x + (pow(x,3) + x) / 4 / v + (5 * pow(x,5) + 16 * pow(x,3) + 3 * x) / 96 / pow(v,2) + (3 * pow(x,7) + 19 * pow(x,5) + 17 * pow(x,3) - 15 * x) / 384 / pow(v,3)
-   + (79 * pow(x,9) + 776 * pow(x,7) + 1482 * pow(x,5) - 1920 * pow(x,3) - 945 * x) / 92160 / pow(v,4)) * se as half from cr)"""
+  ci as (select *, {t_quantile(0.975, '(n - 1.0)')} * se as half from st, rf)"""
 
 
 @query("contrast_battery", f"""
