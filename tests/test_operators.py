@@ -374,3 +374,17 @@ def test_signature_recovers_mixture(spark):
     spectra = frame(spark, [("g", c, float(mix[i])) for i, c in enumerate(grid)], "g string, context string, n double")
     got = {r.profile: r.exposure for r in sp.signature_exposure(spectra, profiles, ["g"], "profile").collect()}
     assert got["p0"] == pytest.approx(0.2, abs=1e-6) and got["p1"] == pytest.approx(0, abs=1e-6) and got["p2"] == pytest.approx(0.8, abs=1e-6)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_ridge_keeps_its_digits_at_large_offsets(spark, offset):
+    rows = [(i, offset + i, 2.0 * i + i % 3, i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, fold int")
+    near = spark.createDataFrame([(k, x - offset, y, f) for k, x, y, f in rows], "k int, x double, y double, fold int")
+
+    def by_key(out, column):
+        return [r[column] for r in out.orderBy("k").collect()]
+
+    for run, column in ((lambda d: ln.loo_ridge(d, ["x"], "y"), "loo"), (lambda d: ln.out_of_fold(d, ["x"], "y", "fold", standardise=True), "oof"),
+                        (lambda d: ln.ridge_by_group(d, ["x"], "y"), "prediction")):
+        assert by_key(run(df), column) == pytest.approx(by_key(run(near), column), abs=1e-6)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from touchstone.operators.agreement import spearman
 from touchstone.sources import readers as rd
+from pyspark.errors import AnalysisException
+
 from touchstone.sources import writers as wr
 from touchstone.streaming import streams as st
 
@@ -28,6 +30,8 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one first record\nACG\nTT\n>two\nGG\n")
     got = {r.id: (r.description, r.seq) for r in rd.read_fasta(spark, str(tmp_path / "a.fasta")).collect()}
     assert got == {"one": ("first record", "ACGTT"), "two": ("", "GG")}
+    (tmp_path / "b.fasta").write_text(">s1 binds A->B weakly\nAC\n>s2\nG>T\n")
+    assert {r.id: (r.description, r.seq) for r in rd.read_fasta(spark, str(tmp_path / "b.fasta")).collect()} == {"s1": ("binds A->B weakly", "AC"), "s2": ("", "G>T")}
     with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
         f.write("a;b\n1;2\n3;4\n")
     assert rd.read_delimited(spark, str(tmp_path / "z.csv.gz"), ";", "a int, b int", partitions=2).agg(F.sum("b")).first()[0] == 6
@@ -119,3 +123,25 @@ def test_forward_join_stream_and_batch(spark, event_files, tmp_path):
     pairs = st.forward_join_stream(scores, outcomes, "e", "score_ts", "outcome_ts", "1 hour", "7 days")
     want = {r.id: r.t for r in pairs.groupBy("id").agg(F.max("score_ts").alias("t")).collect()}
     assert got == want
+
+
+def test_append_reads_every_file_of_the_sink(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    spark.createDataFrame([(9,)], "other int").write.parquet(sink)
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    with pytest.raises(AnalysisException):  # no file has the key: not taken for an empty sink
+        wr.append_new(rows, sink, ["k"])
+    rows.limit(1).write.mode("append").parquet(sink)
+    for _ in range(2):
+        wr.append_new(rows, sink, ["k"])
+    assert spark.read.option("mergeSchema", True).parquet(sink).where("k is not null").count() == 2
+
+
+def test_rolling_correlation_keeps_its_digits(spark):
+    rows = spark.createDataFrame([("2024-01-01 00:00:%02d" % i, 1e9 + i, 1e9 + 2 * i + i % 2, "g") for i in range(50)], "ts string, x double, y double, g string")
+    out = st.pearson_from_sums(st.rolling_sums(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "x", "y", ["g"], "2 hours")).first()
+    x = [float(i) for i in range(50)]
+    y = [2.0 * i + i % 2 for i in range(50)]
+    mx, my = sum(x) / 50, sum(y) / 50
+    want = sum((a - mx) * (b - my) for a, b in zip(x, y)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+    assert abs(out.pearson - want) < 1e-9

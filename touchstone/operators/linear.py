@@ -211,24 +211,47 @@ def quadratic_form(features: Sequence[str] | str, inverse: str = "inverse") -> C
     return total
 
 
+def centred(df: DataFrame, features: Sequence[str] | str, target: str, group: Sequence[str]) -> tuple[DataFrame, Sequence[str] | str, str]:
+    """The rows with features and target less their group means, under names of their own.
+
+    The intercept is never penalised, so fits and hat values stay, and moments of large, little varying values (epoch
+    seconds, for one) keep their digits.  The target's mean comes along as ``__y0``.  One array column of features stays.
+    """
+    names = [] if isinstance(features, str) else list(features)
+    mean = lambda c: F.avg(F.when(finite(c), F.col(c).cast("double")))
+    means = df.groupBy(*group).agg(mean(target).alias("__y0"), *[mean(f).alias(f"__x{i}_0") for i, f in enumerate(names)])
+    out = attach(df, means, list(group), "left" if group else "inner")
+    out = out.withColumn("__y", F.col(target).cast("double") - F.coalesce("__y0", F.lit(0.0)))
+    for i, f in enumerate(names):
+        out = out.withColumn(f"__x{i}", F.col(f).cast("double") - F.coalesce(f"__x{i}_0", F.lit(0.0)))
+    out = out.drop(*[f"__x{i}_0" for i in range(len(names))])
+    return out, features if isinstance(features, str) else [f"__x{i}" for i in range(len(names))], "__y"
+
+
+def _uncentred(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    return df.drop("__y", "__y0", *([] if isinstance(features, str) else [f"__x{i}" for i in range(len(features))]))
+
+
 def ridge_by_group(df, features, target: str, group: Sequence[str] = (), lam: float = 1.0, train: Column | None = None, standardise=False, name="prediction") -> DataFrame:
     """Fit on training rows per group, predict every row."""
     group = list(group)
-    rows = df.filter(train) if train is not None else df
-    beta = solve(gram(rows.filter(finite(target)), features, [target], group), lam, standardise).select(*group, "beta")
-    return attach(df, beta, group, "left" if group else "inner").withColumn(name, linear_prediction(features)).drop("beta")
+    moved, xs, y = centred(df, features, target, group)
+    rows = moved.filter(train) if train is not None else moved
+    beta = solve(gram(rows.filter(finite(target)), xs, [y], group), lam, standardise).select(*group, "beta")
+    out = attach(moved, beta, group, "left" if group else "inner").withColumn(name, linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
+    return _uncentred(out.drop("beta"), features)
 
 
 def loo_ridge(df, features, target: str, group: Sequence[str] = (), lam: float = 1.0, min_n: int = 3, name="loo") -> DataFrame:
     """Leave-one-out ridge predictions in closed form: y - e / (1 - h), 1 - h at least 1e-6."""
     group = list(group)
-    rows = df.filter(finite(target))
-    fit = solve(gram(rows, features, [target], group), lam, inverse=True)
+    rows, xs, own = centred(df.filter(finite(target)), features, target, group)
+    fit = solve(gram(rows, xs, [own], group), lam, inverse=True)
     fit = fit.filter(F.col("n") >= min_n).select(*group, "beta", "inverse")
     out = attach(rows, fit, group)
-    room = F.greatest(1 - quadratic_form(features), F.lit(1e-6))
-    y = F.col(target).cast("double")
-    return out.withColumn(name, y - (y - linear_prediction(features)) / room).drop("beta", "inverse")
+    room = F.greatest(1 - quadratic_form(xs), F.lit(1e-6))
+    left_out = F.col(target).cast("double") - (F.col(own) - linear_prediction(xs)) / room
+    return _uncentred(out.withColumn(name, left_out).drop("beta", "inverse"), features)
 
 
 def ols(df, features, target, group=(), train: Column | None = None, name="prediction") -> DataFrame:
@@ -281,22 +304,23 @@ def letter_groups(alphabet: str, folds: int, seed: int = 0) -> list[str]:
 def out_of_fold(df, features, target: str, fold: str, group: Sequence[str] = (), lam: float = 1.0, standardise=False, min_train: int = 3, name="oof") -> DataFrame:
     """Out-of-fold predictions from one pass of moments per (group, fold)."""
     group = list(group)
-    rows = df.filter(finite(target))
-    parts = gram(rows, features, [target], [*group, fold])
+    moved, xs, y = centred(df, features, target, group)
+    parts = gram(moved.filter(finite(target)), xs, [y], [*group, fold])
     train = held_out_grams(sum_grams(parts, group), parts, group, fold).filter(F.col("n") >= min_train)
     beta = solve(train, lam, standardise).select(*group, fold, "beta")
-    return attach(df, beta, [*group, fold], "left").withColumn(name, linear_prediction(features)).drop("beta")
+    out = attach(moved, beta, [*group, fold], "left").withColumn(name, linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
+    return _uncentred(out.drop("beta"), features)
 
 
 def out_of_fold_multi(df, key: str, features, target: str, folds: Column, group: Sequence[str] = (), lam=1.0, standardise=True, min_train=50, name="oof") -> DataFrame:
     """As ``out_of_fold`` where a row may be held out in several folds; predictions are averaged."""
     group = list(group)
-    rows = df.filter(finite(target))
+    rows, xs, y = centred(df.filter(finite(target)), features, target, group)
     exploded = rows.withColumn("__fold", F.explode(folds))
-    parts = gram(exploded, features, [target], [*group, "__fold"])
-    train = held_out_grams(gram(rows, features, [target], group), parts, group, "__fold").filter(F.col("n") >= min_train)
+    parts = gram(exploded, xs, [y], [*group, "__fold"])
+    train = held_out_grams(gram(rows, xs, [y], group), parts, group, "__fold").filter(F.col("n") >= min_train)
     beta = solve(train, lam, standardise).select(*group, "__fold", "beta")
-    scored = attach(exploded, beta, [*group, "__fold"]).withColumn("__p", linear_prediction(features))
+    scored = attach(exploded, beta, [*group, "__fold"]).withColumn("__p", linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
     means = scored.groupBy(*group, key).agg(F.avg("__p").alias(name), F.count(F.lit(1)).alias("folds"))
     return attach(df, means, [*group, key], "left")
 

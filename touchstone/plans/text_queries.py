@@ -333,11 +333,11 @@ def budget_stability(t):
 # ---- source transforms on records that the tables hold
 
 @query("fasta_records", """
-select cast(doc_id as varchar) as id, lang as description, cast(length(regexp_replace(text, '\\s', '', 'g')) as int) as letters, md5(regexp_replace(text, '\\s', '', 'g')) as digest from documents where position('>' in text) = 0""")
+select cast(doc_id as varchar) as id, lang || '->x' as description, cast(length(regexp_replace(text, '\\s', '', 'g')) as int) as letters, md5(regexp_replace(text, '\\s', '', 'g')) as digest from documents""")
 def fasta_records(t):
-    # One FASTA text per language, cut back into records.
-    docs = t.documents.filter(~F.contains("text", F.lit(">")))
-    raw = docs.select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit("\n"), F.col("text"), F.lit("\n")).alias("fasta"))
+    # One FASTA text per document, cut back into records; the header line holds marks of its own.
+    raw = t.documents.select(F.concat(
+        F.lit(">"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit("->x\n "), F.regexp_replace("text", "\n>", "\n >"), F.lit("\n")).alias("fasta"))
     bodies = rd.split_fasta(raw, "fasta").withColumn("value", F.regexp_replace("value", "^>", ""))
     out = rd.fasta_records(bodies)
     return out.select("id", "description", F.length("seq").alias("letters"), F.md5("seq").alias("digest"))

@@ -74,8 +74,9 @@ def split_fasta(raw: DataFrame, column: str) -> DataFrame:
 
 
 def read_fasta(spark, path: str) -> DataFrame:
-    """Records of FASTA files; the scan splits at ``>``, so one big file is read in parallel."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path))
+    """Records of FASTA files; the scan splits where a line starts with ``>``, so one big file is read in parallel."""
+    records = spark.read.option("lineSep", "\n>").text(path)
+    return fasta_records(records.withColumn("value", F.regexp_replace("value", "^>", "")))
 
 
 def read_delimited(spark, path: str, sep: str = ",", schema: str | None = None, header: bool = True, partitions: int | None = None) -> DataFrame:

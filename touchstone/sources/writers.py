@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", files: int | None = None, partition_by: Sequence[str] = ()) -> None:
@@ -21,14 +20,26 @@ def new_rows(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.dropDuplicates(list(keys)).join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def sink_has_data(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds a file that is neither hidden nor a marker."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return False
+    found = files.listFiles(where, True)
+    while found.hasNext():
+        if not found.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
+
+
 def append_new(rows: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> None:
     """Append only rows with unseen keys; rerunning after a failure adds nothing twice."""
     spark = rows.sparkSession
-    try:
-        done = spark.read.format(fmt).load(path).select(*keys)
-        fresh = new_rows(rows, done, keys)
-    except AnalysisException:  # the sink does not exist yet
-        fresh = rows.dropDuplicates(list(keys))
+    fresh = rows.dropDuplicates(list(keys))
+    if sink_has_data(spark, path):
+        reader = spark.read.option("mergeSchema", True) if fmt in ("parquet", "orc") else spark.read
+        fresh = new_rows(rows, reader.format(fmt).load(path).select(*keys), keys)
     fresh.write.mode("append").format(fmt).save(path)
 
 

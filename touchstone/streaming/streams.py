@@ -32,21 +32,19 @@ def deduplicated(stream: DataFrame, ts: str, keys: Sequence[str], lateness: str)
 
 
 def rolling_sums(rows: DataFrame, ts: str, x: str, y: str, group: Sequence[str], length: str, slide: str | None = None, lateness: str | None = None) -> DataFrame:
-    """Additive moments of (x, y) per window and group; works on batch and stream alike."""
+    """Centred moments of (x, y) per window and group, merged pairwise; works on batch and stream alike."""
     kept = rows.filter(finite(x) & finite(y))
     if lateness:
         kept = kept.withWatermark(ts, lateness)
     window = F.window(ts, length, slide) if slide else F.window(ts, length)
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     return kept.groupBy(window.alias("window"), *group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
+        F.count(F.lit(1)).alias("n"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy"), F.covar_pop(a, b).alias("cov"))
 
 
 def pearson_from_sums(sums: DataFrame) -> DataFrame:
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov = n * F.col("sxy") - sx * sy
-    vx, vy = n * F.col("sxx") - sx * sx, n * F.col("syy") - sy * sy
-    return sums.withColumn("pearson", F.when((vx > 1e-9) & (vy > 1e-9), cov / (F.sqrt(vx) * F.sqrt(vy)))).drop("sx", "sy", "sxx", "syy", "sxy")
+    vx, vy = F.col("vx"), F.col("vy")
+    return sums.withColumn("pearson", F.when((vx > 0) & (vy > 0), F.col("cov") / (F.sqrt(vx) * F.sqrt(vy)))).drop("vx", "vy", "cov")
 
 
 def rolling_histogram(rows: DataFrame, ts: str, score: str, label: str, edges: tuple[float, float, int], group: Sequence[str], length: str, slide: str | None = None, lateness: str | None = None) -> DataFrame:
