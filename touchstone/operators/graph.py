@@ -29,7 +29,7 @@ def hamming_neighbours(df, text: str, group: Sequence[str] = ()) -> DataFrame:
     return pairs.filter("src <> dst").select(*group, "src", "dst")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
     """(node, component) with the smallest member as component name.
 
     Alternating large-star and small-star steps: every node links its larger neighbours, then its
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     current = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
     current = cut_lineage(current.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
@@ -54,8 +54,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     members = current.select(F.col("a").alias(node), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias(node)).distinct().withColumn("component", F.col(node))
     out = members.unionByName(roots)

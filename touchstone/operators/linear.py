@@ -9,6 +9,7 @@ are expressions over coefficients joined back to the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from touchstone.functions.numeric import finite, keyed_int
+from touchstone.functions.text import letters
 from touchstone.operators.agreement import elite_metrics, roc_auc, spearman
 from touchstone.operators.running import attach, numbered, with_scalars
 
@@ -341,7 +343,11 @@ def probe_eval(df, key, features, target, label: str, discriminate: Column, fold
     return with_scalars(with_scalars(with_scalars(rho, auc), cover), shares)
 
 
-def within_background(df, key: str, text: str, features, target, alphabet: str, folds: int = 5, lam: float = 10.0, length: int = 3, seed: int = 0, min_train: int = 50, min_members: int = 3) -> DataFrame:
+def _held(group: str, letter: Column) -> Column:
+    return letter.rlike(f"[{group}]").cast("int")
+
+
+def within_background(df, key: str, text: str, features, target, alphabet: str, folds: int = 5, lam: float = 10.0, seed: int = 0, min_train: int = 50, min_members: int = 3) -> DataFrame:
     """Ranking of strings that differ only at one place whose letter was never trained on.
 
     Per fold of held-out letters, train on strings without them; a test string holds exactly one,
@@ -351,7 +357,7 @@ def within_background(df, key: str, text: str, features, target, alphabet: str,
     groups = letter_groups(alphabet, folds, seed)
     t = F.col(text)
     marks = F.array(*[
-        F.struct(F.lit(i).alias("fold"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda p, g=g: t.substr(p, F.lit(1)).rlike(f"[{g}]").cast("int")).alias("held"))
+        F.struct(F.lit(i).alias("fold"), F.transform(letters(t), partial(_held, g)).alias("held"))
         for i, g in enumerate(groups)])
     rows = df.filter(finite(target)).withColumn("__m", F.explode(F.filter(marks, lambda m: F.aggregate(m["held"], F.lit(0), lambda a, v: a + v) > 0)))
     rows = rows.select("*", F.col("__m.fold").alias("__fold"), F.col("__m.held").alias("__held"))

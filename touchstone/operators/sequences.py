@@ -196,14 +196,17 @@ def composition_features(df, key: str, text: str, alphabet: Sequence[str] = AMIN
     return scaled.select(key, *[F.when(F.col(f"sd_{n}") > 1e-9, F.col(n) / F.col(f"sd_{n}")).otherwise(F.col(n)).alias(n) for n in names])
 
 
-def letter_vectors(df, key: str, text: str, length: int, alphabet: Sequence[str] = "ACGT") -> DataFrame:
-    """Indicator vector of the letter at each of the first ``length`` places."""
+def letter_vectors(df, key: str, text: str, length: int | None = None, alphabet: Sequence[str] = "ACGT") -> DataFrame:
+    """Indicator vector of the letter at each place, up to the longest text or a ``length`` that no text may pass."""
+    if length is None:
+        length = df.agg(F.max(F.length(text))).first()[0] or 1
     order = F.create_map(*[v for i, a in enumerate(alphabet) for v in (F.lit(a), F.lit(i))])
     at = F.transform(letters(text), lambda c: F.coalesce(F.try_element_at(order, c), F.lit(-1)))
     size = len(alphabet)
     cells = F.transform(F.sequence(F.lit(0), F.lit(length * size - 1)), lambda j: F.when(
         F.coalesce(F.get("__at", F.floor(j / size).cast("int")), F.lit(-1)) == j % size, 1.0).otherwise(0.0))
-    return df.withColumn("__at", at).select(key, array_to_vector(cells).alias("features"))
+    fits = F.when(F.length(text) > length, F.raise_error(F.lit(f"a text has more than {length} letters")).cast("array<int>"))
+    return df.withColumn("__at", F.coalesce(fits, at)).select(key, array_to_vector(cells).alias("features"))
 
 
 def edit_vocabulary(df, edits: str, fields: Sequence[str] = ("pos", "mut")) -> DataFrame:

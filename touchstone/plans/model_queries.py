@@ -110,11 +110,11 @@ def probe_eval(t):
 
 @query("within_background")
 def within_background(t):
-    """Three-letter keys of parts; trained without held-out digits, ranked inside shared backgrounds."""
-    code = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    """Keys of all parts as digits; trained without held-out digits, ranked inside shared backgrounds."""
+    code = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     rows = t.part.groupBy(code.alias("code")).agg(F.avg("p_size").alias("y"))
-    digits = [F.substring("code", i, 1).cast("double").alias(f"d{i}") for i in (1, 2, 3)]
-    return rounded(ln.within_background(rows.select("code", "y", *digits), "code", "code", ["d1", "d2", "d3"], "y", "0123456789", 5))
+    digits = [F.substring("code", i, 1).cast("double").alias(f"d{i}") for i in range(1, 10)]
+    return rounded(ln.within_background(rows.select("code", "y", *digits), "code", "code", [f"d{i}" for i in range(1, 10)], "y", "123456789", 5))
 
 
 @query("cross_map_r2", f"""

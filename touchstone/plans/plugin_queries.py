@@ -71,7 +71,7 @@ def letter_vectors(t):
     """Indicator vectors of letters by place; vector columns have no SQL counterpart."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = sq.letter_vectors(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 12, "abcdefghijklmnopqrstuvwxyz ")
+    rows = sq.letter_vectors(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", alphabet="abcdefghijklmnopqrstuvwxyz ")
     total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, v: acc + v)
     return rows.select("p_partkey", F.size(vector_to_array("features")).alias("size"), total.alias("known_letters"))
 
