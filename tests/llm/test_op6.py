@@ -1,5 +1,6 @@
 """Packing: exact round trip of token ids, no padding but at the end, the curve's neighbours."""
 
+import random
 import zlib
 
 import numpy as np
@@ -56,8 +57,13 @@ def test_edges(documents):
 
 def test_pieces_match_whole_encoding():
     encode = Encoder(default_tokenizer())
-    texts = ["", " ", "a  b", " a", "don't  stop", "x\ny z", "x \ny", "é 😀 ü12,34's", "a b c", "foo's bar'll 's 'd", "\n", "tab\tin word", "a\x1cb c", "12 345 6a"]
-    assert encode(texts) == [x + b"\x01\x00" for x in encode.plain(texts)]
+    rng = random.Random(8)
+    texts = ["", " ", "a  b", " a", "don't  stop", "x\ny z", "x \ny", "é 😀 ü12,34's", "a b c", "foo's bar'll 's 'd", "\n", "tab\tin word", "a\x1cb c", "12 345 6a",
+             "a\u00a0b", "x \u2003y", "end. Next,then.\nNew ,x .y", "a.b,c", "é, ü.", "", "wide\u3000space", "<|endoftext|> text"]
+    texts += ["".join(rng.choices("ab Z.,'\n1é 😀\t-", k=rng.randint(1, 40))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    got = encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    assert got == [x + b"\x01\x00" for x in encode.plain(raw)]
 
 
 def test_the_curve_visits_neighbours():
