@@ -140,6 +140,8 @@ def fisher_exact(df, row: str, column: str, group: Sequence[str] = ()) -> DataFr
 
 def paired_interval(df, delta: str, group: Sequence[str] = (), distribution: str = "t") -> DataFrame:
     """Mean, standard error and a t or normal 95% interval of paired deltas."""
+    if distribution not in ("t", "normal"):
+        raise ValueError(f"unknown distribution {distribution!r}")
     d = F.col(delta).cast("double")
     out = df.filter(finite(delta)).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"))

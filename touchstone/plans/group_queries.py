@@ -490,3 +490,17 @@ def quantile_bins_effect(t):
     effect = F.col("c_acctbal") / 1e4 - F.col("o_totalprice") / 5e5
     out = quantile_bin_effects(rows.select(F.abs(effect).alias("gap"), effect.alias("effect")), "gap", "effect", 4)
     return rounded(out.select("bin", "n", "mean_effect", F.round("w_plus", 2).alias("w_plus")))
+
+
+@query("set_intersection", """
+select o_custkey from orders where o_orderpriority = '1-URGENT' intersect select o_custkey from orders where o_orderpriority = '5-LOW'""")
+def set_intersection(t):
+    of = lambda p: t.orders.filter(F.col("o_orderpriority") == p).select("o_custkey")
+    return of("1-URGENT").intersect(of("5-LOW"))
+
+
+@query("multiset_difference", """
+select o_custkey from orders where o_orderpriority = '1-URGENT' except all select o_custkey from orders where o_orderpriority = '5-LOW'""")
+def multiset_difference(t):
+    of = lambda p: t.orders.filter(F.col("o_orderpriority") == p).select("o_custkey")
+    return of("1-URGENT").exceptAll(of("5-LOW"))

@@ -66,9 +66,10 @@ def sql_functions(t):
     return rounded(counts.selectExpr("p_type", "k", "n", "binom_two_sided(k, n) as p", "enrichment(double(k), double(n), 100D) as enriched"))
 
 
-@query("letter_vectors")
+@query("letter_vectors", """
+select p_partkey, cast(27 * (select max(length(p_name)) from part) as int) as size, cast(length(regexp_replace(p_name, '[^a-z ]', '', 'g')) as double) as known_letters from part""")
 def letter_vectors(t):
-    """Indicator vectors of letters by place; vector columns have no SQL counterpart."""
+    """Indicator vectors of letters by place: their size and how many places hold a letter of the alphabet."""
     from pyspark.ml.functions import vector_to_array
 
     rows = sq.letter_vectors(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", alphabet="abcdefghijklmnopqrstuvwxyz ")
