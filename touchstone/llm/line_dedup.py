@@ -183,16 +183,17 @@ def _rest(text: bytes, keep: bytes) -> bytes:
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """The documents, all their columns, with repeated lines taken out of ``text``; a text that loses no line is untouched."""
     joined = _with_bitmaps(docs, docs.columns, keep_bitmaps(docs, min_docs, min_points)).drop("_n_dropped")
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = batch["_keep"].to_pylist()
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             texts = [t if k is None else _rest(t or b"", k) for t, k in zip(texts, keep, strict=True)]
-            cols = [batch.column(i) for i in range(len(docs.columns))]
+            cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(go, docs.schema)
 
