@@ -11,6 +11,7 @@ from touchstone.llm.output_codes import codewords, language
 from touchstone.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 WORDS = {
     "en": "the and of with river stone walking house where", "de": "und der nicht straße über gegangen häuser wann",
     "fr": "est les pas être maison où rivière très marché", "es": "el los niño casa dónde río está muy señor", "it": "gli che perché città andato sono degli",
@@ -79,14 +80,14 @@ def test_prediction_ignores_language_and_source(documents):
 
 
 def test_toxicity_query(spark):
-    got = QUERIES["op7_nb_linear"](spark, FOLDER).toPandas()
-    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").toPandas()
-    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    got = QUERIES["op7_nb_linear"](spark, LARGER).toPandas()
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    assert len(got) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     assert (got.held_out == got.doc_id.map(lambda i: crc(i) % 3 == 1)).all() and got.score.between(0, 1).all()
     assert (got.predicted == (got.score >= 0.7)).all()
     held = got[got.held_out].merge(labels, on="doc_id")
     toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
-    assert toxic.predicted.mean() >= 0.8 and clean.predicted.mean() <= 0.03
+    assert toxic.predicted.mean() >= 0.9 and clean.predicted.mean() <= 0.01
     wins = (toxic.score.values[:, None] > clean.score.values[None, :]).mean()
     assert wins > 0.97
 
@@ -115,7 +116,7 @@ def test_toxicity_edges(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
     assert toxicity(df.limit(0), marks).collect() == []
     none = toxicity(df, marks.limit(0)).collect()
-    assert {r.score for r in none} == {pytest.approx(0.5)} and {r.predicted for r in none} == {0}
+    assert [r.score for r in none] == pytest.approx([0.5] * len(rows)) and {r.predicted for r in none} == {0}
 
 
 def test_held_out_labels_do_not_teach(spark, documents):

@@ -16,9 +16,10 @@ from touchstone.llm.common import held_out, settle, whole_text
 SIZES = [4, 5]
 BITS = 19  # buckets of each size
 TABLE = len(SIZES) << BITS
-FEATURES = 8192  # n-grams with the clearest log-count ratios enter the linear model
+FEATURES = 4096  # n-grams with the clearest log-count ratios enter the linear model
 TRAIN_ROWS = 20_000  # labelled documents of each class that the linear weights are fitted on, by a hash of the id
 LEAST_DOCS = 5
+CLEAR = 4  # standard errors between the shares of the classes that hold an n-gram
 
 
 @dataclass
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
     clear = np.abs(toxic[:TABLE] / p - clean[:TABLE] / q) / np.sqrt(np.maximum(share * (1 - share) * (1 / p + 1 / q), 1e-12))
     clear[toxic[:TABLE] + clean[:TABLE] < LEAST_DOCS] = 0
     top = np.argsort(-clear, kind="stable")[:FEATURES]
-    top = np.sort(top[clear[top] > 3])
+    top = np.sort(top[clear[top] > CLEAR])
     index = np.full(TABLE, -1, np.int32)
     index[top] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
     return Model(weight, bias)
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, decision: float, ridge: float = 1e-6,
+def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, decision: float, ridge: float = 1e-3,
               steps: int = 300) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on a sparse matrix by adaptive gradient steps; ``decision`` is the score at the best cut."""
     weight_of = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
