@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from touchstone.llm.common import (chunks, components, discard, distinct_per_row, mixed, partitions, settle, shingles, string_buffers,
                                    whole_text, words)
 
-SKETCH_BITS = 18  # shingle counts are kept in 2^18 buckets: 2 MB whatever the corpus
+SKETCH_BITS = 20  # shingle counts are kept in 2^20 buckets: 8 MB whatever the corpus
 SLICES = 64
 NO_ID = 1 << 62  # nodes of documents without an id start here
+EXTRA = 8  # shingles more than the least that a pair across components must share among its rarest
 FOLLOWERS = 256  # of one leader that a task's group checks
 
 
@@ -45,7 +46,7 @@ def _profile(width: int):
                 np.add.at(counts, h >> np.uint64(64 - SKETCH_BITS), 1) if len(h) < 1000 else counts.__iadd__(
                     np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS))
                 d1, d2 = _digests(h, n)
-                yield _rows(hi - lo, doc_id=batch["doc_id"].slice(lo, hi - lo), node=nodes[lo:hi], n=n, d1=d1, d2=d2)
+                yield _rows(hi - lo, doc_id=batch["doc_id"].slice(lo, hi - lo), node=nodes[lo:hi], n=n, d1=d1, d2=d2, **_parities(h, n))
         for s, part in enumerate(np.split(counts, SLICES)):
             if part.any():
                 yield _rows(1, slice=np.array([s]), counts=pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()))
@@ -53,9 +54,9 @@ def _profile(width: int):
     return go
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                      ("slice", pa.int64()), ("counts", pa.binary())])
-_PROFILE_SQL = "doc_id bigint, node bigint, n bigint, d1 bigint, d2 bigint, slice bigint, counts binary"
+PARITY = [f"p{i}" for i in range(8)]  # 512 bits
+_PROFILE = pa.schema([(c, pa.int64()) for c in ("doc_id", "node", "n", "d1", "d2", *PARITY, "slice")] + [("counts", pa.binary())])
+_PROFILE_SQL = ", ".join(f"{f.name} {'binary' if f.name == 'counts' else 'bigint'}" for f in _PROFILE)
 
 
 def _rows(rows: int, /, **columns) -> pa.RecordBatch:
@@ -75,6 +76,20 @@ def _digests(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d1.view(np.int64), d2.view(np.int64)
 
 
+def _parities(h: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """512 bits per set, each the parity of the shingles hashed to it: two sets differ in as many shingles as bits, or more."""
+    bits = 64 * len(PARITY)
+    bit = (mixed(h ^ np.uint64(0x1B873593CC9E2D51)) >> np.uint64(64 - 9)).astype(np.int64)
+    row, start = np.repeat(np.arange(len(n)), n), np.r_[0, np.cumsum(n)]
+    out = np.zeros((len(n), len(PARITY)), np.int64)
+    for lo in range(0, len(n), 2000):
+        hi = min(lo + 2000, len(n))
+        part = slice(start[lo], start[hi])
+        odd = np.bincount((row[part] - lo) * bits + bit[part], minlength=(hi - lo) * bits).reshape(-1, bits) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return {c: out[:, i] for i, c in enumerate(PARITY)}
+
+
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -103,14 +118,17 @@ def _prefixes(width: int, percent: int, sketch):
                         new[i] = True
                 row = np.repeat(np.arange(hi - lo), n)
                 h, row = h[new[row]], row[new[row]]
-                order = np.lexsort((h, counts[h >> np.uint64(64 - SKETCH_BITS)], row))
-                h, row = h[order], row[order]
+                seen_in = counts[h >> np.uint64(64 - SKETCH_BITS)]
                 m = np.where(new, n, 0)
-                rank = np.arange(len(h)) - np.repeat(np.cumsum(m) - m, m)
-                keep = rank < _prefix(n, percent)[row]
-                h, row = h[keep], row[keep]
+                common = np.bincount(row, np.log2(1 + seen_in), minlength=hi - lo) / np.maximum(m, 1)
+                order = np.lexsort((h, seen_in, row))
+                h, row = h[order], row[order]
+                place = np.arange(len(h)) - np.repeat(np.cumsum(m) - m, m)
+                keep = place < _prefix(n, percent)[row]
+                h, row, place = h[keep], row[keep], place[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(nodes[lo:hi][row])], ["token", "n", "node"])
+                    [pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(nodes[lo:hi][row]), pa.array(place.astype(np.int32)),
+                     pa.array((common[row] * 1000).astype(np.int32))], ["token", "n", "node", "place", "common"])
 
     return go
 
@@ -120,37 +138,46 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _stars(percent: int):
-    """Postings of two and more rows, each row with the head of its star: the first row of its token and band of sizes.
+    """Postings of two and more rows, each row with the head of its star.
 
-    Rows come sorted by (token, n, node).  Every Arrow batch stands alone: its first and last token may go on elsewhere
-    and are marked, so that a token found everywhere becomes a tree of stars.
+    Rows come sorted by (token, n, node).  A token's rows are cut into bands of sizes that can link; the head of a band is
+    the set with the most common shingles, as an unedited original has them: most copies link to it, though not to each
+    other.  Every Arrow batch stands alone: its first and last token may go on elsewhere and are marked, so that a token
+    found everywhere becomes a tree of stars.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, n, at = (np.asarray(batch[c]) for c in ("token", "n", "node"))
+            token, n, at, place, common = (np.asarray(batch[c]) for c in ("token", "n", "node", "place", "common"))
             if not len(token):
                 continue
-            new = np.r_[True, token[1:] != token[:-1]]
-            start = np.flatnonzero(new)
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[start, len(token)])
             open_ended = np.zeros(len(start), bool)
             open_ended[[0, -1]] = True
-            head = np.repeat(start, size)
+            band = np.repeat(start, size)
             last = start + size - 1
-            for s, e in zip(start[(n[last] * percent > n[start] * 100)], last[(n[last] * percent > n[start] * 100)] + 1, strict=True):
-                while s < e:  # the next band starts at the first set too large for the head
-                    end = s + int(np.searchsorted(n[s:e] * percent, n[s] * 100, side="right"))
-                    head[s:end] = s
+            wide = n[last].astype(np.int64) * percent > n[start].astype(np.int64) * 100
+            for s, e in zip(start[wide], last[wide] + 1, strict=True):
+                while s < e:  # the next band starts at the first set too large for this one's smallest
+                    end = s + int(np.searchsorted(n[s:e].astype(np.int64) * percent, int(n[s]) * 100, side="right"))
+                    band[s:end] = s
                     s = end
+            best = np.lexsort((at, -common, band))
+            first = np.r_[True, band[best][1:] != band[best][:-1]]
+            head = np.repeat(best[first], np.diff(np.r_[np.flatnonzero(first), len(band)]))  # bands lie in order
             keep = np.repeat((size > 1) | open_ended, size)
             edge = np.repeat(open_ended, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (token, n, at, at[head], n[head], edge)], ["token", "n", "node", "head", "head_n", "edge"])
+            columns = (token, n, at, place, at[head], n[head], place[head], common[head], edge)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], _POSTING)
 
     return go
 
 
+_POSTING = ["token", "n", "node", "place", "head", "head_n", "head_place", "head_common", "edge"]
+_POSTING_SQL = ("token bigint, n int, node bigint, place int, head bigint, head_n int, head_place int, head_common int, edge boolean")
+
+
 def _overlaps(width: int):
     """Rows sorted by (a, salt, follows): the leader's text, then its followers'; exact overlaps leave."""
 
@@ -189,7 +216,8 @@ def checked(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> Dat
                             F.col("a").alias("node"))
     followers = edges.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"),
                                                F.lit(True).alias("follows"), F.col("b").alias("node"))
-    rows = leaders.union(followers).join(texts, "node").select("a", "salt", "follows", "node", "text")
+    # Both sides are shuffled at every size: the pairs grow with the corpus.
+    rows = leaders.union(followers).hint("merge").join(texts, "node").select("a", "salt", "follows", "node", "text")
     out = (rows.repartition(partitions(texts.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "follows", "node")
            .mapInArrow(_overlaps(width), "a bigint, b bigint, both bigint, n_a bigint, n_b bigint"))
     union = F.col("n_a") + F.col("n_b") - F.col("both")
@@ -200,31 +228,38 @@ def checked(texts: DataFrame, edges: DataFrame, width: int, percent: int) -> Dat
     return held
 
 
-def _residual(postings: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _residual(postings: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that share rare shingles, lie in different components so far and can still be linked.
 
-    Overlap counts on the rare shingles are accumulated per pair.  A pair falls away if its sizes, its count or its
-    distances to a common head (Jaccard distance is a metric) rule a link out.
+    Overlap counts on the rare shingles are accumulated per pair.  A pair falls away if its sizes, its count, its parity
+    bits or its distances to a common head (Jaccard distance is a metric) rule a link out.
     """
-    here = (postings.select("token", "n", "node", "head").join(roots, "node", "left")
+    here = (postings.select("token", "n", "node", "place", "head").join(roots, "node", "left")
             .withColumn("root", F.coalesce("root", "node")))
     by_root = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed_tokens = (by_root.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
                     .where("roots > 1").select("token", "major"))
     dist = tested.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance")
-    rows = settle(here.join(mixed_tokens, "token").join(dist, ["head", "node"], "left")
+    # The bits of a node with one set; several versions under one id are not told apart by them.
+    one = sets.groupBy("node").agg(F.count_distinct("n", "d1", "d2").alias("versions"), *[F.min(c).alias(c) for c in PARITY])
+    one = one.where("versions = 1").select("node", *PARITY)
+    rows = settle(here.join(mixed_tokens, "token").join(dist, ["head", "node"], "left").join(one, "node", "left")
                   .withColumn("distance", F.when(F.col("head") == F.col("node"), 0.0).otherwise(F.col("distance"))))
-    left = rows.where("root <> major").select(*[F.col(c).alias(f"l_{c}") for c in ("token", "n", "node", "head", "root", "distance")])
+    left = rows.where("root <> major").select(*[F.col(c).alias(f"l_{c}") for c in ("token", "n", "node", "place", "head", "root", "distance", *PARITY)])
     far = 1 - percent / 100 + 1e-9
+    # A link shares `need` shingles.  Of the first n - need + 1 + more shingles of either set at least 1 + more are then
+    # shared, for as many more as both postings hold.
+    need = f"cast(ceil({percent} * (l_n + n) / {100 + percent}) as int)"
+    more = f"least({EXTRA}, {need} - cast(ceil({percent} * greatest(l_n, n) / 100) as int))"
     pairs = left.join(rows, F.expr(
         f"l_token = token and l_root <> root and (root = major or l_node < node) "
         f"and least(l_n, n) * 100 >= greatest(l_n, n) * {percent} "
+        f"and coalesce({' + '.join(f'bit_count(l_{c} ^ {c})' for c in PARITY)}, 0) <= l_n + n - 2 * {need} "
+        f"and l_place <= l_n - {need} + {more} and place <= n - {need} + {more} "
         f"and not (l_head = head and coalesce(abs(l_distance - distance), 0) > {far})"))
     counted = pairs.groupBy(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(F.least("l_n", "n")).alias("s"), F.max(F.greatest("l_n", "n")).alias("m"))
-    # |x & y| <= shared + what the longer set has behind its prefix; a link needs p / (100 + p) of both sizes.
-    return (counted.where(f"(shared + ceil({percent} * m / 100) - 1) * {100 + percent} >= {percent} * (s + m)")
-            .select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        F.count(F.lit(1)).alias("shared"), F.max(F.expr(more)).alias("more"))
+    return counted.where("shared > more").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -252,7 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     sketch = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     slices = (profile.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
               .mapInArrow(_sum_slices, "slice bigint, counts binary"))
-    for r in slices.collect():  # SLICES rows, 2 MB
+    for r in slices.collect():  # SLICES rows, 8 MB
         sketch[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     shared = spark.sparkContext.broadcast(sketch.ravel())
     sets = profile.where("slice is null")
@@ -260,21 +295,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     copies = (sets.join(classes, ["n", "d1", "d2"]).where("node <> a").select("a", F.col("node").alias("b")))
 
-    tokens = texts.mapInArrow(_prefixes(width, percent, shared), "token bigint, n int, node bigint")
+    tokens = texts.mapInArrow(_prefixes(width, percent, shared), "token bigint, n int, node bigint, place int, common int")
     postings = settle(
         tokens.repartitionByRange(partitions(spark), "token", "n", "node").sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_stars(percent), "token bigint, n int, node bigint, head bigint, head_n int, edge boolean"))
-    fits = F.col("x_n") * 100 >= F.col("y_n") * percent
-    stars = postings.where(f"node <> head and head_n * 100 >= n * {percent}").select(F.col("head").alias("x"), F.col("node").alias("y"))
-    heads = postings.where("edge").select("token", F.col("head").alias("y"), F.col("head_n").alias("y_n")).distinct()
-    first = heads.groupBy("token").agg(F.min(F.struct("y_n", "y")).alias("f")).select("token", F.col("f.y").alias("x"), F.col("f.y_n").alias("x_n"))
-    trees = heads.join(first, "token").where(fits & (F.col("x") != F.col("y"))).select("x", "y")
-    edges = stars.union(trees).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+        .mapInArrow(_stars(percent), _POSTING_SQL))
+    # A shared shingle proves nothing new if it lies behind the first n - need + 1 of either set.
+    need = f"cast(ceil({percent} * (n + head_n) / {100 + percent}) as int)"
+    stars = (postings.where(f"node <> head and place <= n - {need} and head_place <= head_n - {need}")
+             .select(F.col("head").alias("x"), F.col("node").alias("y")))
+    heads = postings.where("edge").select("token", F.col("head").alias("y"), F.col("head_n").alias("y_n"), "head_common").distinct()
+    first = (heads.groupBy("token").agg(F.max(F.struct("head_common", F.col("y").alias("x"), F.col("y_n").alias("x_n"))).alias("f"))
+             .select("token", "f.x", "f.x_n"))
+    trees = heads.join(first, "token").where(f"x <> y and least(x_n, y_n) * 100 >= greatest(x_n, y_n) * {percent}").select("x", "y")
+    edges = stars.union(trees).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = checked(texts, edges, width, percent)
 
     links = tested.where("linked").select("a", "b").union(copies)
     roots = components(links)
-    rest = settle(_residual(postings, roots, tested, percent))
+    rest = settle(_residual(postings, roots, tested, sets, percent))
     if rest.limit(1).count():
         more = checked(texts, rest, width, percent)
         between = more.where("linked").select("a", "b")
