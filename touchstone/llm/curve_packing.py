@@ -12,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import chunks, mixed, partitions, settle, string_buffers, whole_text, words
+from touchstone.llm.common import _BYTE, _SPACE, _power, chunks, mixed, partitions, settle, string_buffers, whole_text, words
 
 LENGTH = 2048
 END = 1
 DIMENSIONS, DEPTH = 4, 7  # of the curve: 28 bits of key, the rest breaks ties
-CACHED = 600_000  # token ids of so many words are kept by a Python worker
+CACHED = 1_000_000  # token ids of so many pieces are kept by a Python worker
 
 _worker: dict = {}
-_RUNS = re.compile(r"\s\s|^\s|\s$")
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def default_tokenizer() -> str:
@@ -77,10 +80,11 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts; the ids of space-separated pieces are remembered, as they don't depend on their surroundings.
+    """Token ids of whole texts; the ids of pieces are remembered, as they don't depend on what stands around a piece.
 
-    In this vocabulary a word takes the space before it and nothing reaches across a single space, so a text without runs
-    of white space is the ids of its pieces in a row.  Other texts are encoded whole.
+    In this vocabulary nothing reaches across a single space (a word takes the one before it), a single line feed, or from a
+    letter to the full stop or comma behind it.  A text without runs of white space is cut there, and its ids are those of
+    its pieces in a row; other texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -90,28 +94,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        texts = [t.decode("utf-8", "replace") for t in texts]
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        end = np.array([END], self.kind).tobytes()
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _RUNS.search(t)]
-        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids and the end id of each text of a chunk (its bytes, and the offsets of its texts from 0)."""
+        end, width, n = np.array([END], self.kind).tobytes(), self.kind.itemsize, len(data)
+        raw, size = data.tobytes(), np.diff(offsets)
+        whole = self._with_runs(data, offsets, raw) if n else np.zeros(len(size), bool)
+        out: list = [end] * len(size)
+        cut = np.flatnonzero(~whole & (size > 0))
+        if len(cut):
+            first = np.zeros(n + 1, bool)
+            first[offsets] = True
+            feed = data == 0x0A
+            first[:n] |= (data == 0x20) | feed
+            first[1:n] |= feed[:-1] | (_STOP[data[1:]] & _LETTER[data[:-1]])
+            start = np.flatnonzero(first[:n])
+            at = np.searchsorted(start, offsets)
+            stop = np.r_[start[1:], n]
+            h = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _power("up", n)[:n], out=h[1:])
+            h = mixed((h[stop] - h[start]) * _power("down", n)[start] + (stop - start).astype(np.uint64))
+            used = np.repeat(~whole, np.diff(at))
+            _, where, of = np.unique(h[used], return_index=True, return_inverse=True)
+            begin, stop = start[used][where].tolist(), stop[used][where].tolist()
+            pieces = [raw[a:b] for a, b in zip(begin, stop, strict=True)]
+            if len(self.known) > CACHED:
+                self.known = {}
+            known = self.known
+            new = [p for p in pieces if p not in known]
+            known.update(zip(new, self.plain(new), strict=True))
+            found = [known[p] for p in pieces]
+            length = np.array([len(x) // width for x in found])
+            flat, begin = np.frombuffer(b"".join(found), self.kind), np.cumsum(length) - length
+            many = length[of]
+            place = np.cumsum(many) - many
+            ids = flat[np.repeat(begin[of] - place, many) + np.arange(int(many.sum()))].tobytes()
+            bounds = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(np.where(whole, 0, np.diff(at)))]] * width
+            for i in cut.tolist():
+                out[i] = ids[bounds[i]:bounds[i + 1]] + end
+        texts = np.flatnonzero(whole).tolist()
+        for i, ids in zip(texts, self.plain([raw[offsets[i]:offsets[i + 1]] for i in texts]), strict=True):
             out[i] = ids + end
-        split = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*[p[1:] for p in split.values()]) - known.keys())
-        known.update(zip(new, self.plain([" " + p for p in new]), strict=True))
-        first = self.plain([p[0] for p in split.values()])
-        for (i, pieces), ids in zip(split.items(), first, strict=True):
-            out[i] = ids + b"".join([known[p] for p in pieces[1:]]) + end
         return out
 
+    @staticmethod
+    def _with_runs(data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
+        """Texts with two white space characters in a row, one at an end, or one outside ASCII."""
+        space = _SPACE[data]
+        bad = np.zeros(len(data), bool)
+        bad[1:] = space[1:] & space[:-1]
+        some = np.diff(offsets) > 0
+        bad[offsets[:-1][some]] = space[offsets[:-1][some]]
+        bad[offsets[1:][some] - 1] |= space[offsets[1:][some] - 1]
+        bad[[m.start() for m in _WIDE_SPACE.finditer(raw)]] = True
+        return np.add.reduceat(np.r_[bad, False].astype(np.int32), offsets[:-1]) * some > 0
+
 
 def _encoded(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +163,8 @@ def _encoded(path: str):
         for batch in batches:
             data, offsets = string_buffers(batch["text"])
             keys = curve_keys(data, offsets)
-            for lo, hi in chunks(offsets, 1 << 20):
-                raw = data[offsets[lo]:offsets[hi]].tobytes()
-                at = (offsets[lo:hi + 1] - offsets[lo]).tolist()
-                ids = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
+            for lo, hi in chunks(offsets):
+                ids = encode(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(lo, hi - lo), pa.array(keys[lo:hi]),
                      pa.array([len(x) // encode.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
