@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchstone.llm.char_grams import COUNTS, grams, pack_counts, summed_counts, texts_by_chunk
-from touchstone.llm.common import held_out, settle, whole_text
+from touchstone.llm.common import discard, held_out, settle, whole_text
 
 SIZES = [4, 5]
 BITS = 19  # buckets of each size
 TABLE = len(SIZES) << BITS
-FEATURES = 4096  # n-grams with the clearest log-count ratios enter the linear model
 TRAIN_ROWS = 20_000  # labelled documents of each class that the linear weights are fitted on, by a hash of the id
-LEAST_DOCS = 5
-CLEAR = 4  # standard errors between the shares of the classes that hold an n-gram
+LEAST_DOCS = 5  # an n-gram that fewer teaching documents hold has no ratio
+PACK = 128  # texts in a row of the sparse matrix
+TASKS = 12  # sums of a gradient that reach the driver
 
 
 @dataclass
@@ -57,12 +58,16 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from pack_counts(counts)
 
 
-def _chosen(index):
-    """Counts of the chosen n-grams of each labelled text."""
+_PACKED = "y binary, lengths binary, feature binary, n binary"
+
+
+def _matrix(index):
+    """The sparse matrix: features and counts of up to PACK labelled texts a row, features as steps within a text."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = index.value
         for batch in batches:
+            y = np.asarray(batch["y"].to_numpy(zero_copy_only=False)).astype(np.uint8)
             for lo, hi, points, at in texts_by_chunk(batch):
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 pairs = []
@@ -70,11 +75,49 @@ def _chosen(index):
                     f = of[bucket[inside]]
                     pairs.append((row[inside][f >= 0] << 24) | f[f >= 0])
                 both, n = np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)]), return_counts=True)
-                per_row = np.bincount(both >> 24, minlength=hi - lo)
-                where = pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["y"].slice(lo, hi - lo), pa.ListArray.from_arrays(where, pa.array((both & 0xFFFFFF).astype(np.int32))),
-                     pa.ListArray.from_arrays(where, pa.array(n.astype(np.int32)))], ["y", "feature", "n"])
+                cut = np.searchsorted(both, np.arange(hi - lo + 1) << 24)
+                for a in range(0, hi - lo, PACK):
+                    z = min(a + PACK, hi - lo)
+                    part = slice(cut[a], cut[z])
+                    packed = (y[lo + a:lo + z], np.diff(cut[a:z + 1]).astype(np.int32), np.diff(both[part], prepend=0).astype(np.int32), n[part].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in packed], ["y", "lengths", "feature", "n"])
+
+    return go
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Class of each text; row, feature and count of each entry."""
+    for batch in batches:
+        for packed in zip(*[batch[c].to_pylist() for c in ("y", "lengths", "feature", "n")], strict=True):
+            y, lengths, step, n = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(packed, (np.uint8, np.int32, np.int32, np.int32), strict=True))
+            yield y, np.repeat(np.arange(len(y)), lengths), np.cumsum(step, dtype=np.int32) & 0xFFFFFF, n
+
+
+def _margins(shared):
+    """Class and score of each text of the matrix."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias, _ = shared.value
+        for y, row, col, n in _unpacked(batches):
+            z = np.bincount(row, n * weight[col], minlength=len(y)) + bias
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(z)], ["y", "z"])
+
+    return go
+
+
+def _gradients(shared):
+    """Loss, slope of the bias and slope of each feature's weight, summed over a task's texts."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias, per_class = shared.value
+        total = np.zeros(len(weight) + 2)
+        for y, row, col, n in _unpacked(batches):
+            z = np.bincount(row, n * weight[col], minlength=len(y)) + bias
+            g = per_class[y] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+            total[0] += (per_class[y] * (np.logaddexp(0, z) - y * z)).sum()
+            total[1] += g.sum()
+            total[2:] += np.bincount(col, n * g[row], minlength=len(weight))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     return go
 
@@ -82,7 +125,8 @@ def _chosen(index):
 def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
     """Log-count ratios from all labelled documents, linear weights from at most TRAIN_ROWS of each class.
 
-    Without labels of both classes the model gives the smoothed share of toxic labels.
+    Every bucket that LEAST_DOCS documents hold takes part, whatever the corpus' size; its ratio is shrunk by its own
+    standard error.  Without labels of both classes the model gives the smoothed share of toxic labels.
     """
     teach = settle(labelled(docs, labels))
     counts = summed_counts(teach.select("text", "y").mapInArrow(_document_counts, COUNTS), TABLE + 1)
@@ -91,50 +135,80 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
     weight = np.zeros(TABLE)
     if not p or not q:
         return Model(weight, float(np.log((p + 0.5) / (q + 0.5))))
-    ratio = np.log((toxic[:TABLE] + 1) / (p + 2)) - np.log((clean[:TABLE] + 1) / (q + 2))
-    share = (toxic[:TABLE] + clean[:TABLE]) / (p + q)
-    clear = np.abs(toxic[:TABLE] / p - clean[:TABLE] / q) / np.sqrt(np.maximum(share * (1 - share) * (1 / p + 1 / q), 1e-12))
-    clear[toxic[:TABLE] + clean[:TABLE] < LEAST_DOCS] = 0
-    top = np.argsort(-clear, kind="stable")[:FEATURES]
-    top = np.sort(top[clear[top] > CLEAR])
-    index = np.full(TABLE, -1, np.int32)
-    index[top] = np.arange(len(top))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    top = np.flatnonzero(toxic[:TABLE] + clean[:TABLE] >= LEAST_DOCS)
+    ratio = shrunk_ratios(toxic[top], clean[top], p, q)
     order = F.xxhash64("doc_id")
     sample = [teach.where(side).orderBy(order, "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS) for side in (F.col("y"), ~F.col("y"))]
-    rows = sample[0].union(sample[1]).select("text", "y").mapInArrow(_chosen(shared), "y boolean, feature array<int>, n array<int>").toArrow()
-    y = rows["y"].combine_chunks().to_numpy(zero_copy_only=False).astype(float)
     if len(top) == 0:
-        return Model(weight, float(np.log(y.mean() / (1 - y.mean()))))
-    feature, n = (np.asarray(rows[c].combine_chunks().flatten()) for c in ("feature", "n"))
-    row = np.repeat(np.arange(len(y)), np.diff(np.asarray(rows["feature"].combine_chunks().offsets)))
-    w, bias = _logistic(row, feature, n * ratio[top][feature], y, len(top), threshold)
-    weight[top] = w * ratio[top]
+        p, q = min(p, TRAIN_ROWS), min(q, TRAIN_ROWS)
+        return Model(weight, float(np.log(p / q)))
+    index = np.full(TABLE, -1, np.int32)
+    index[top] = np.arange(len(top))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    matrix = settle(sample[0].union(sample[1]).select("text", "y").repartition(TASKS).mapInArrow(_matrix(shared), _PACKED))
+    w, bias = _logistic(matrix.coalesce(TASKS), ratio, min(p, TRAIN_ROWS), min(q, TRAIN_ROWS), threshold)
+    discard(matrix)
+    weight[top] = w * ratio
     return Model(weight, bias)
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, decision: float, ridge: float = 1e-3,
-              steps: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on a sparse matrix by adaptive gradient steps; ``decision`` is the score at the best cut."""
-    weight_of = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
-    w, b = np.zeros(width), 0.0
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, x * w[col], minlength=len(y)) + b
-        g = weight_of * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        step = np.r_[np.bincount(col, x * g[row], minlength=width) + ridge * w, g.sum()]
-        m, v = 0.9 * m + 0.1 * step, 0.99 * v + 0.01 * step * step
-        move = 0.02 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+def shrunk_ratios(toxic: np.ndarray, clean: np.ndarray, p: int, q: int) -> np.ndarray:
+    """log P(gram | toxic) - log P(gram | clean), less where few documents tell: four squared standard errors halve it."""
+    ratio = np.log((toxic + 1) / (p + 2)) - np.log((clean + 1) / (q + 2))
+    return ratio ** 3 / (ratio ** 2 + 4 * (1 / (toxic + 1) + 1 / (clean + 1)))
+
+
+def _logistic(matrix: DataFrame, ratio: np.ndarray, p: int, q: int, decision: float, ridge: float = 1e-2, steps: int = 15) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by limited-memory quasi-Newton steps; ``decision`` is the score at the best cut.
+
+    The matrix stays with the executors: a step sends the weights out and at most TASKS sums of one number per feature back.
+    """
+    context = matrix.sparkSession.sparkContext
+    per_class = np.array([0.5 / q, 0.5 / p])  # both classes weigh the same
+
+    def sent(v: np.ndarray):
+        return context.broadcast((v[1:] * ratio, v[0], per_class))
+
+    def slope(v: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = sent(v)
+        total = np.zeros(len(ratio) + 2)
+        for r in matrix.mapInArrow(_gradients(shared), "sums binary").collect():
+            total += np.frombuffer(r["sums"])
+        shared.destroy()
+        return total[0] + ridge / 2 * (v[1:] @ v[1:]), np.r_[total[1], total[2:] * ratio + ridge * v[1:]]
+
+    v = np.zeros(len(ratio) + 1)
+    loss, g = slope(v)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        move, shares = g.copy(), []
+        for s, d in reversed(past):
+            shares.append(s @ move / (d @ s))
+            move -= shares[-1] * d
+        move *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 0.1 / max(1, np.linalg.norm(g))
+        for (s, d), share in zip(past, reversed(shares), strict=True):
+            move += s * (share - d @ move / (d @ s))
+        for half in range(8):
+            at = v - move / 2 ** half
+            below, slopes = slope(at)
+            if below <= loss - 1e-4 / 2 ** half * (g @ move):
+                break
+        else:
+            break
+        s, d = at - v, slopes - g
+        if s @ d > 1e-12:
+            past = [*past, (s, d)][-8:]
+        v, loss, g = at, below, slopes
     # The decision point goes where the two classes' error shares are least in sum, amid the gap between their scores.
-    z = np.bincount(row, x * w[col], minlength=len(y)) + b
+    rows = matrix.mapInArrow(_margins(sent(v)), "y double, z double").toArrow()
+    y, z = (np.asarray(rows[c]) for c in ("y", "z"))
     order = np.argsort(z, kind="stable")
     missed = np.r_[0, np.cumsum(y[order])] / max(1, y.sum())
     false = np.r_[0, np.cumsum((1 - y)[order])]
     wrong = missed + (false[-1] - false) / max(1, false[-1])
     cut = int(np.argmin(wrong))
     gap = z[order[max(cut - 1, 0)]], z[order[min(cut, len(z) - 1)]]
-    return w, float(b + np.log(decision / (1 - decision)) - (gap[0] + gap[1]) / 2)
+    return v[1:], float(v[0] + np.log(decision / (1 - decision)) - (gap[0] + gap[1]) / 2)
 
 
 def _scores(model, columns: list[str]):
@@ -163,9 +237,9 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of every document.
 
-    Character n-grams of whole lower-cased texts are hashed; each counts with its naive Bayes log-count ratio
-    log P(gram | toxic) - log P(gram | clean), over all documents that teach, times a linear weight.  Labels, language,
-    source and id are no inputs of a score.  Null and empty texts get the bias; repeated rows repeat; extra columns are ignored.
+    Character n-grams of whole lower-cased texts are hashed; each bucket that LEAST_DOCS teaching documents hold counts with
+    its shrunk log-count ratio log P(gram | toxic) - log P(gram | clean), over all documents that teach, times a linear
+    weight that at most TRAIN_ROWS documents of each class fit.  Labels, language, source and id are no inputs of a score.  Null and empty texts get the bias; repeated rows repeat; extra columns are ignored.
     """
     model = fit(docs, labels, threshold)
     out = scored(docs, model, ["doc_id"])
