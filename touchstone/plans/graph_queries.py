@@ -281,8 +281,9 @@ def dimension_join(t):
 
 @query("vector_map_eval")
 def vector_map_eval(t):
-    rows = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 12).alias("x"), F.slice("embedding", 13, 6).alias("y"))
-    return rounded(ve.vector_map_eval(rows, "x", "y", 6, F.col("vec_id") % 4 != 0, "label", 1.0, 12), 5)
+    """The second half of every vector from its first half; the 64 components are all read."""
+    rows = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    return rounded(ve.vector_map_eval(rows, "x", "y", 32, F.col("vec_id") % 4 != 0, "label", 1.0, 32), 5)
 
 
 # ---- fitted classifiers (Spark ML)
@@ -301,8 +302,9 @@ def tree_classifier(t):
 
 @query("triple_scoring")
 def triple_scoring(t):
-    models = ve.centroids(t.embeddings, ["label"], "embedding").select("label", F.slice("centroid", 1, 8).alias("profile"))
-    rows = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 8).alias("embedding"))
+    """Whole vectors against whole class centroids."""
+    models = ve.centroids(t.embeddings, ["label"], "embedding").select("label", F.col("centroid").alias("profile"))
+    rows = t.embeddings.select("vec_id", "label", "embedding")
     return rounded(pb.triple_scoring(rows, models, "vec_id", "embedding", "label", "profile", F.col("label") < 7, negatives=2), 3)
 
 
