@@ -388,3 +388,40 @@ def test_ridge_keeps_its_digits_at_large_offsets(spark, offset):
     for run, column in ((lambda d: ln.loo_ridge(d, ["x"], "y"), "loo"), (lambda d: ln.out_of_fold(d, ["x"], "y", "fold", standardise=True), "oof"),
                         (lambda d: ln.ridge_by_group(d, ["x"], "y"), "prediction")):
         assert by_key(run(df), column) == pytest.approx(by_key(run(near), column), abs=1e-6)
+
+
+def test_linear_keeps_the_callers_columns(spark):
+    """Working names never collide with columns of the input, whatever they are called."""
+    rows = [(i, float(i % 5), 3.0 * (i % 5) + i % 3, "kept") for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, __x1 double, __y1 double, beta string")
+    loo = ln.loo_ridge(df, ["__x1"], "__y1", lam=0.5)
+    assert loo.columns == ["k", "__x1", "__y1", "beta", "loo"]
+    plain = ln.loo_ridge(df.toDF("k", "x", "y", "b"), ["x"], "y", lam=0.5)
+    assert [round(r["loo"], 9) for r in loo.orderBy("k").collect()] == [round(r["loo"], 9) for r in plain.orderBy("k").collect()]
+    fitted = ln.ridge_by_group(df, ["__x1"], "__y1", [])
+    assert fitted.columns == ["k", "__x1", "__y1", "beta", "prediction"]
+    held = ln.out_of_fold(df.withColumn("f", F.col("k") % 3), ["__x1"], "__y1", "f")
+    assert held.columns == ["k", "__x1", "__y1", "beta", "f", "oof"]
+
+
+def test_array_features_keep_their_digits_at_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=60) * 0.1
+
+    def fit(offset):
+        df = spark.createDataFrame([(i, [float(v) + offset for v in x[i]], float(y[i])) for i in range(60)], "k int, v array<double>, y double")
+        return np.array([r["loo"] for r in ln.loo_ridge(df, "v", "y", lam=0.1).orderBy("k").collect()])
+
+    assert np.allclose(fit(0.0), fit(1e9), atol=1e-5)
+
+
+def test_cross_map_and_within_background_at_a_large_offset(spark):
+    rows = [(f"{a}{b}", float(i), (3.0 * i) % 7, (5.0 * i) % 11) for i, (a, b) in enumerate((a, b) for a in "ABCDEFGH" for b in "ABCDEFGH")]
+    near = spark.createDataFrame(rows, "t string, x double, y double, z double")
+    far = near.withColumn("x", F.col("x") + 1e9).withColumn("z", F.col("z") + 1e9)
+    train = F.col("y") < 5
+    one, two = (ln.cross_map_r2(d, ["x"], ["y", "z"], train).orderBy("target").collect() for d in (near, far))
+    assert all(abs(a["r2"] - b["r2"]) < 1e-6 for a, b in zip(one, two))
+    one, two = (ln.within_background(d, "t", "t", ["x"], "z", "ABCDEFGH", 2, 1.0, min_train=5).first() for d in (near, far))
+    assert one["backgrounds"] == two["backgrounds"] > 0 and abs(one["weighted_rho"] - two["weighted_rho"]) < 1e-9

@@ -9,10 +9,13 @@ are expressions over coefficients joined back to the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -20,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from touchstone.functions.numeric import finite, keyed_int
 from touchstone.functions.text import letters
 from touchstone.operators.agreement import elite_metrics, roc_auc, spearman
-from touchstone.operators.running import attach, numbered, with_scalars
+from touchstone.operators.running import attach, fresh, numbered, with_scalars
 
 MAX_FEATURES = 2000  # a p x p moment matrix beyond this is refused
 _DIRECT = 24  # up to here moments are built-in sums; beyond, Arrow blocks
@@ -31,13 +34,12 @@ GRAM = ["n", "xtx", "xty", "yty"]
 def gram(df: DataFrame, features: Sequence[str] | str, targets: Sequence[str], group: Sequence[str] = (), weight: str | None = None, size: int | None = None) -> DataFrame:
     """Moments per group: n, X'X with a leading intercept (row-major), X'Y (row-major), Y'Y diagonal.
 
-    ``features`` is a list of numeric columns, or one array column of ``size`` doubles.  Rows with
-    a missing value must be filtered before.
+    ``features`` is a list of numeric columns, or one array column of ``size`` doubles (where it is
+    not given, the arrays tell).  Rows with a missing value must be filtered before.
     """
     group, targets = list(group), list(targets)
-    p = (size if isinstance(features, str) else len(features)) + 1
-    if p > MAX_FEATURES:
-        raise ValueError(f"{p} features exceed the moment matrix limit of {MAX_FEATURES}")
+    p = size + 1 if isinstance(features, str) and size else None if isinstance(features, str) else len(features) + 1
+    _check_width(p or 0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     if not isinstance(features, str) and p <= _DIRECT:
         xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
@@ -54,13 +56,17 @@ def gram(df: DataFrame, features: Sequence[str] | str, targets: Sequence[str], g
     return _gram_blocks(df, features, targets, group, w, p)
 
 
+def _check_width(p: int) -> None:
+    if p > MAX_FEATURES:
+        raise ValueError(f"{p} features exceed the moment matrix limit of {MAX_FEATURES}")
+
+
 def _gram_blocks(df, features, targets, group, w, p) -> DataFrame:
     """Moments of wide designs: per-partition numpy sums, added up by a second aggregation."""
     m = len(targets)
     vector = F.col(features) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
     rows = df.select(*group, vector.alias("__x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("__y"), w.alias("__w"))
-    length = p * p + p * m + m
-    flush = max(1, 4_000_000 // length)  # groups held per task before partial sums are emitted
+    room = 4_000_000  # doubles held per task before partial sums are emitted
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -77,12 +83,13 @@ def _gram_blocks(df, features, targets, group, w, p) -> DataFrame:
             parts = pdf.groupby(group, dropna=False, sort=False) if group else [((), pdf)]
             for key, part in parts:
                 x = np.column_stack([np.ones(len(part)), np.vstack(part["__x"].to_numpy())]).astype(float)
+                _check_width(x.shape[1])
                 y = np.vstack(part["__y"].to_numpy()).astype(float)
                 wt = part["__w"].to_numpy(float)[:, None]
                 sums = np.concatenate([(x.T @ (wt * x)).ravel(), (x.T @ (wt * y)).ravel(), (wt * y * y).sum(0)])
                 n, old = held.get(key, (0, 0.0))
                 held[key] = (n + len(part), old + sums)
-            if len(held) >= flush:
+            if held and len(held) * len(sums) >= room:
                 yield drain()
         if held:
             yield drain()
@@ -93,8 +100,12 @@ def _gram_blocks(df, features, targets, group, w, p) -> DataFrame:
 
 
 def _unpack(df, group, p, m):
-    part = lambda start, size: F.slice("sums", F.lit(start + 1), F.lit(size))
-    return df.select(*group, "n", part(0, p * p).alias("xtx"), part(p * p, p * m).alias("xty"), part(p * p + p * m, m).alias("yty"))
+    if p is None:  # from the length p^2 + p m + m of the sums
+        p = F.round((F.sqrt(F.lit(m * m) + 4 * (F.size("sums") - m)) - m) / 2).cast("int")
+    else:
+        p = F.lit(p)
+    part = lambda start, size: F.slice("sums", (start + 1).cast("int"), size.cast("int"))
+    return df.select(*group, "n", part(F.lit(0), p * p).alias("xtx"), part(p * p, p * m).alias("xty"), part(p * p + p * m, F.lit(m)).alias("yty"))
 
 
 def _add_arrays(df, group, arrays: Sequence[str], scalars: Sequence[str]) -> DataFrame:
@@ -213,47 +224,80 @@ def quadratic_form(features: Sequence[str] | str, inverse: str = "inverse") -> C
     return total
 
 
-def centred(df: DataFrame, features: Sequence[str] | str, target: str, group: Sequence[str]) -> tuple[DataFrame, Sequence[str] | str, str]:
-    """The rows with features and target less their group means, under names of their own.
+@dataclass(frozen=True)
+class Centred:
+    """Rows beside which features and target stand less their group means, under names that the input did not have."""
+
+    rows: DataFrame
+    features: Sequence[str] | str
+    targets: list[str]
+    means: list[str]
+    extra: list[str]
+
+    @property
+    def target(self) -> str:
+        return self.targets[0]
+
+    @property
+    def mean(self) -> str:
+        return self.means[0]
+
+    def undo(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.extra)
+
+
+def centred(df: DataFrame, features: Sequence[str] | str, target: str | Sequence[str], group: Sequence[str]) -> Centred:
+    """The rows with features and targets less their group means.
 
     The intercept is never penalised, so fits and hat values stay, and moments of large, little varying values (epoch
-    seconds, for one) keep their digits.  The target's mean comes along as ``__y0``.  One array column of features stays.
+    seconds, for one) keep their digits.  An array column of features is centred element by element.
     """
-    names = [] if isinstance(features, str) else list(features)
+    wide = isinstance(features, str)
+    before = [target] if isinstance(target, str) else list(target)
+    before += [features] if wide else list(features)
+    n = 1 if isinstance(target, str) else len(target)
+    moved = fresh(df, *[f"y{i + 1}" for i in range(n)], *[f"x{i + 1}" for i in range(len(before) - n)])
+    means = fresh(df, *[f"y0{i + 1}" for i in range(n)], *[f"x0{i + 1}" for i in range(len(before) - n)])
     mean = lambda c: F.avg(F.when(finite(c), F.col(c).cast("double")))
-    means = df.groupBy(*group).agg(mean(target).alias("__y0"), *[mean(f).alias(f"__x{i}_0") for i, f in enumerate(names)])
-    out = attach(df, means, list(group), "left" if group else "inner")
-    out = out.withColumn("__y", F.col(target).cast("double") - F.coalesce("__y0", F.lit(0.0)))
-    for i, f in enumerate(names):
-        out = out.withColumn(f"__x{i}", F.col(f).cast("double") - F.coalesce(f"__x{i}_0", F.lit(0.0)))
-    out = out.drop(*[f"__x{i}_0" for i in range(len(names))])
-    return out, features if isinstance(features, str) else [f"__x{i}" for i in range(len(names))], "__y"
-
-
-def _uncentred(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
-    return df.drop("__y", "__y0", *([] if isinstance(features, str) else [f"__x{i}" for i in range(len(features))]))
+    scalars = before[:n] if wide else before
+    sums = df.groupBy(*group).agg(*[mean(c).alias(m) for c, m in zip(scalars, means)])
+    if wide:
+        vector = F.col(features).cast("array<double>")
+        usable = df.filter(F.col(features).isNotNull() & F.forall(features, finite))
+        middle = vector_to_array(Summarizer.mean(array_to_vector(vector))).alias(means[n])
+        sums = attach(sums, usable.groupBy(*group).agg(middle), list(group), "left")
+    out = attach(df, sums, list(group), "left" if group else "inner")
+    out = out.withColumns({own: F.col(c).cast("double") - F.coalesce(m, F.lit(0.0)) for c, own, m in zip(scalars, moved, means)})
+    if wide:
+        less = F.zip_with(vector, F.col(means[n]), lambda a, b: a - b)
+        out = out.withColumn(moved[n], F.when(F.col(means[n]).isNull(), vector).otherwise(less))
+    out = out.drop(*means[n:])
+    return Centred(out, moved[n] if wide else moved[n:], moved[:n], means[:n], [*moved, *means[:n]])
 
 
 def ridge_by_group(df, features, target: str, group: Sequence[str] = (), lam: float = 1.0, train: Column | None = None, standardise=False, name="prediction") -> DataFrame:
     """Fit on training rows per group, predict every row."""
     group = list(group)
-    moved, xs, y = centred(df, features, target, group)
-    rows = moved.filter(train) if train is not None else moved
-    beta = solve(gram(rows.filter(finite(target)), xs, [y], group), lam, standardise).select(*group, "beta")
-    out = attach(moved, beta, group, "left" if group else "inner").withColumn(name, linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
-    return _uncentred(out.drop("beta"), features)
+    c = centred(df, features, target, group)
+    rows = c.rows.filter(train) if train is not None else c.rows
+    fit, = fresh(c.rows, "beta")
+    beta = solve(gram(rows.filter(finite(target)), c.features, [c.target], group), lam, standardise).select(*group, F.col("beta").alias(fit))
+    out = attach(c.rows, beta, group, "left" if group else "inner")
+    out = out.withColumn(name, linear_prediction(c.features, fit) + F.coalesce(c.mean, F.lit(0.0)))
+    return c.undo(out.drop(fit))
 
 
 def loo_ridge(df, features, target: str, group: Sequence[str] = (), lam: float = 1.0, min_n: int = 3, name="loo") -> DataFrame:
     """Leave-one-out ridge predictions in closed form: y - e / (1 - h), 1 - h at least 1e-6."""
     group = list(group)
-    rows, xs, own = centred(df.filter(finite(target)), features, target, group)
-    fit = solve(gram(rows, xs, [own], group), lam, inverse=True)
-    fit = fit.filter(F.col("n") >= min_n).select(*group, "beta", "inverse")
-    out = attach(rows, fit, group)
-    room = F.greatest(1 - quadratic_form(xs), F.lit(1e-6))
-    left_out = F.col(target).cast("double") - (F.col(own) - linear_prediction(xs)) / room
-    return _uncentred(out.withColumn(name, left_out).drop("beta", "inverse"), features)
+    c = centred(df.filter(finite(target)), features, target, group)
+    fit = solve(gram(c.rows, c.features, [c.target], group), lam, inverse=True)
+    beta, inverse = fresh(c.rows, "beta", "inverse")
+    fit = fit.filter(F.col("n") >= min_n).select(*group, F.col("beta").alias(beta), F.col("inverse").alias(inverse))
+    out = attach(c.rows, fit, group)
+    room = F.greatest(1 - quadratic_form(c.features, inverse), F.lit(1e-6))
+    left_out = F.col(target).cast("double") - (F.col(c.target) - linear_prediction(c.features, beta)) / room
+    return c.undo(out.withColumn(name, left_out).drop(beta, inverse))
 
 
 def ols(df, features, target, group=(), train: Column | None = None, name="prediction") -> DataFrame:
@@ -306,23 +350,26 @@ def letter_groups(alphabet: str, folds: int, seed: int = 0) -> list[str]:
 def out_of_fold(df, features, target: str, fold: str, group: Sequence[str] = (), lam: float = 1.0, standardise=False, min_train: int = 3, name="oof") -> DataFrame:
     """Out-of-fold predictions from one pass of moments per (group, fold)."""
     group = list(group)
-    moved, xs, y = centred(df, features, target, group)
-    parts = gram(moved.filter(finite(target)), xs, [y], [*group, fold])
+    c = centred(df, features, target, group)
+    parts = gram(c.rows.filter(finite(target)), c.features, [c.target], [*group, fold])
     train = held_out_grams(sum_grams(parts, group), parts, group, fold).filter(F.col("n") >= min_train)
-    beta = solve(train, lam, standardise).select(*group, fold, "beta")
-    out = attach(moved, beta, [*group, fold], "left").withColumn(name, linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
-    return _uncentred(out.drop("beta"), features)
+    fit, = fresh(c.rows, "beta")
+    beta = solve(train, lam, standardise).select(*group, fold, F.col("beta").alias(fit))
+    out = attach(c.rows, beta, [*group, fold], "left")
+    out = out.withColumn(name, linear_prediction(c.features, fit) + F.coalesce(c.mean, F.lit(0.0)))
+    return c.undo(out.drop(fit))
 
 
 def out_of_fold_multi(df, key: str, features, target: str, folds: Column, group: Sequence[str] = (), lam=1.0, standardise=True, min_train=50, name="oof") -> DataFrame:
     """As ``out_of_fold`` where a row may be held out in several folds; predictions are averaged."""
     group = list(group)
-    rows, xs, y = centred(df.filter(finite(target)), features, target, group)
-    exploded = rows.withColumn("__fold", F.explode(folds))
-    parts = gram(exploded, xs, [y], [*group, "__fold"])
-    train = held_out_grams(gram(rows, xs, [y], group), parts, group, "__fold").filter(F.col("n") >= min_train)
-    beta = solve(train, lam, standardise).select(*group, "__fold", "beta")
-    scored = attach(exploded, beta, [*group, "__fold"]).withColumn("__p", linear_prediction(xs) + F.coalesce("__y0", F.lit(0.0)))
+    c = centred(df.filter(finite(target)), features, target, group)
+    exploded = c.rows.withColumn("__fold", F.explode(folds))
+    parts = gram(exploded, c.features, [c.target], [*group, "__fold"])
+    train = held_out_grams(gram(c.rows, c.features, [c.target], group), parts, group, "__fold").filter(F.col("n") >= min_train)
+    fit, = fresh(exploded, "beta")
+    beta = solve(train, lam, standardise).select(*group, "__fold", F.col("beta").alias(fit))
+    scored = attach(exploded, beta, [*group, "__fold"]).withColumn("__p", linear_prediction(c.features, fit) + F.coalesce(c.mean, F.lit(0.0)))
     means = scored.groupBy(*group, key).agg(F.avg("__p").alias(name), F.count(F.lit(1)).alias("folds"))
     return attach(df, means, [*group, key], "left")
 
@@ -359,14 +406,15 @@ def within_background(df, key: str, text: str, features, target, alphabet: str,
     marks = F.array(*[
         F.struct(F.lit(i).alias("fold"), F.transform(letters(t), partial(_held, g)).alias("held"))
         for i, g in enumerate(groups)])
-    rows = df.filter(finite(target)).withColumn("__m", F.explode(F.filter(marks, lambda m: F.aggregate(m["held"], F.lit(0), lambda a, v: a + v) > 0)))
+    c = centred(df.filter(finite(target)), features, target, [])
+    rows = c.rows.withColumn("__m", F.explode(F.filter(marks, lambda m: F.aggregate(m["held"], F.lit(0), lambda a, v: a + v) > 0)))
     rows = rows.select("*", F.col("__m.fold").alias("__fold"), F.col("__m.held").alias("__held"))
-    parts = gram(rows, features, [target], ["__fold"])
-    train = held_out_grams(gram(df.filter(finite(target)), features, [target]), parts, [], "__fold").filter(F.col("n") >= min_train)
+    parts = gram(rows, c.features, [c.target], ["__fold"])
+    train = held_out_grams(gram(c.rows, c.features, [c.target]), parts, [], "__fold").filter(F.col("n") >= min_train)
     beta = solve(train, lam, True).select("__fold", "beta")
     single = rows.filter(F.aggregate("__held", F.lit(0), lambda a, v: a + v) == 1)
     place = F.array_position("__held", 1).cast("int")
-    single = single.withColumn("__bg", F.overlay(t, F.lit("_"), place)).join(beta, "__fold").withColumn("__p", F.round(linear_prediction(features), 9))
+    single = single.withColumn("__bg", F.overlay(t, F.lit("_"), place)).join(beta, "__fold").withColumn("__p", F.round(linear_prediction(c.features) + F.col(c.mean), 9))
     by = ["__fold", "__bg"]
     members = single.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), (F.stddev_pop("__p") < 1e-9).alias("__flat"), (F.stddev_pop(target) < 1e-9).alias("__same"))
     rho = spearman(single, "__p", target, by, min_members, "__r").drop("n")
@@ -389,8 +437,8 @@ def cross_map_r2(df, features, targets: Sequence[str], train: Column, lam: float
     ok = F.lit(True)
     for c in [*([] if isinstance(features, str) else features), *targets]:
         ok = ok & finite(c)
-    rows = df.filter(ok).withColumn("__train", train)
-    parts = gram(rows, features, targets, [*group, "__train"])
+    c = centred(df.filter(ok).withColumn("__train", train), features, targets, group)
+    parts = gram(c.rows, c.features, c.targets, [*group, "__train"])
     fit = solve(parts.filter("__train"), lam).select(*group, "beta")
     test = attach(parts.filter("NOT __train"), fit, group)
     m = len(targets)

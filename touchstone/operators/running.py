@@ -19,6 +19,20 @@ from touchstone.settings import cut_lineage, needs_split
 _PART = "__part"
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """One column name per stem that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name, i = f"__{stem}", 0
+        while name.lower() in taken:
+            i += 1
+            name = f"__{stem}_{i}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @dataclass(frozen=True)
 class Total:
     """A running aggregate named ``name``; ``op`` is sum, min or max of column ``source``."""
