@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchstone.llm.curve_packing import pack
+from touchstone.llm.diagonal_votes import OP13_SQL, license_labels
 from touchstone.llm.digest_tree import OP9_SQL, exact_groups
 from touchstone.llm.katz import katz_scores
 from touchstone.llm.line_dedup import OP5_SQL, op5
@@ -41,3 +42,4 @@ _on("op2_pivotal_mix", op2, "documents")
 _on("op6_curve_packing", pack, "documents")
 _on("op3_pruned_graph", neighbours, "embeddings")
 _on("op1_katz", katz_scores, "documents")
+_on("op13_diagonal_votes", license_labels, "documents", sql=OP13_SQL)
