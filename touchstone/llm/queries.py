@@ -17,6 +17,7 @@ from touchstone.llm.pivotal import op2
 from touchstone.llm.pruned_graph import neighbours
 from touchstone.llm.shingle_product import jaccard_components
 from touchstone.llm.span_votes import op10
+from touchstone.llm.trie_frontier import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,4 @@ _on("op6_curve_packing", pack, "documents")
 _on("op3_pruned_graph", neighbours, "embeddings")
 _on("op1_katz", katz_scores, "documents")
 _on("op13_diagonal_votes", license_labels, "documents", sql=OP13_SQL)
+_on("op11_trie_frontier", spelling_variants, "documents")
