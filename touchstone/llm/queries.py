@@ -13,6 +13,7 @@ from touchstone.llm.katz import katz_scores
 from touchstone.llm.line_dedup import OP5_SQL, op5
 from touchstone.llm.nb_linear import toxicity
 from touchstone.llm.output_codes import language
+from touchstone.llm.phrase_graph import OP12_SQL, collocations
 from touchstone.llm.pivotal import op2
 from touchstone.llm.pruned_graph import neighbours
 from touchstone.llm.shingle_product import jaccard_components
@@ -45,3 +46,4 @@ _on("op3_pruned_graph", neighbours, "embeddings")
 _on("op1_katz", katz_scores, "documents")
 _on("op13_diagonal_votes", license_labels, "documents", sql=OP13_SQL)
 _on("op11_trie_frontier", spelling_variants, "documents")
+_on("op12_phrase_graph", collocations, "documents", sql=OP12_SQL)
