@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchstone.functions.tails import binom_two_sided
 from touchstone.operators.hypothesis import paired_interval
+from touchstone.operators.resample import bootstrap_mean
 from touchstone.operators.running import attach
 
 
@@ -29,9 +30,12 @@ def _verdict(expect: Column) -> Column:
     return F.when(expect == "real_higher", directed).otherwise(indifferent)
 
 
-def _adjudicate(df, value: str, by: Sequence[str], reference: DataFrame, expect: Column, group, distribution) -> DataFrame:
+def _adjudicate(df, value: str, by: Sequence[str], reference: DataFrame, expect: Column, group, distribution, key, replicates, seed, draws) -> DataFrame:
     d = F.col(value)
     stats = paired_interval(df, value, by, distribution)
+    if key is not None:
+        boot = bootstrap_mean(df, value, key, by, replicates, seed, draws=draws).select(*by, F.col("lo").alias("boot_lo"), F.col("hi").alias("boot_hi"))
+        stats = attach(stats, boot, by)
     signs = df.filter(d.isNotNull()).groupBy(*by).agg(
         F.sum(F.when(d > 0, 1).otherwise(0)).alias("real_higher"), F.sum(F.when(d == 0, 1).otherwise(0)).alias("ties"))
     out = attach(attach(stats, signs, by), reference, group, "left" if group else "inner")
@@ -42,30 +46,32 @@ def _adjudicate(df, value: str, by: Sequence[str], reference: DataFrame, expect:
 
 def contrast_battery(
     deltas: DataFrame, expectations: DataFrame, reference: str, group: Sequence[str] = (), name: str = "perturbation",
-    distribution: str = "t",
+    distribution: str = "t", key: str | None = None, replicates: int = 10_000, seed: int = 0, draws: str = "poisson",
 ) -> DataFrame:
     """Adjudicate every perturbation: mean delta, interval, sign count without ties, exact binomial p,
     ratio to the reference perturbation's mean delta and a verdict by declared expectation.
 
-    ``expectations`` has (perturbation, expect) with expect "real_higher" or "no_preference".
+    ``expectations`` has (perturbation, expect) with expect "real_higher" or "no_preference".  With the
+    units' ``key`` a percentile bootstrap interval (``boot_lo``, ``boot_hi``) stands beside the parametric
+    one; all perturbations see the same draws.
     """
     group = list(group)
     ref = deltas.filter(F.col(name) == reference).groupBy(*group).agg(F.avg("delta").alias("reference_delta"))
     declared = deltas.join(expectations.select(name, "expect"), name)
-    return _adjudicate(declared, "delta", [*group, name, "expect"], ref, F.col("expect"), group, distribution)
+    return _adjudicate(declared, "delta", [*group, name, "expect"], ref, F.col("expect"), group, distribution, key, replicates, seed, draws)
 
 
 def matched_contrast(
     deltas: DataFrame, key: str, a: str, b: str, reference: str, group: Sequence[str] = (), name: str = "perturbation",
-    distribution: str = "t",
+    distribution: str = "t", replicates: int = 10_000, seed: int = 0, draws: str = "poisson",
 ) -> DataFrame:
-    """Difference of two paired deltas of the same unit (a minus b) under the same rule."""
+    """Difference of two paired deltas of the same unit (a minus b) under the same rule, with both intervals."""
     group = list(group)
     ref = deltas.filter(F.col(name) == reference).groupBy(*group).agg(F.avg("delta").alias("reference_delta"))
     pick = lambda which: F.max(F.when(F.col(name) == which, F.col("delta")))
     wide = deltas.filter(F.col(name).isin(a, b)).groupBy(*group, key).agg(pick(a).alias("__a"), pick(b).alias("__b"))
     wide = wide.filter(F.col("__a").isNotNull() & F.col("__b").isNotNull()).withColumn("diff", F.col("__a") - F.col("__b"))
-    out = _adjudicate(wide, "diff", group, ref, F.lit("real_higher"), group, distribution)
+    out = _adjudicate(wide, "diff", group, ref, F.lit("real_higher"), group, distribution, key, replicates, seed, draws)
     return out.withColumn("a", F.lit(a)).withColumn("b", F.lit(b))
 
 

@@ -1,8 +1,9 @@
-"""Bootstrap, permutation and cluster resampling as rows.
+"""Bootstrap, permutation and cluster resampling.
 
-A resample is a table of (group, replicate, unit, multiplicity).  Units are pre-aggregated to
-what is resampled (rows, studies, clusters), draws are keyed hashes, and every statistic is an
-ordinary grouped aggregate over weighted rows, so replicates spread over the cluster.
+Two kinds of draws, always the caller's choice and never the table's size: ``draws="poisson"``
+gives every row independent keyed weights inside its task (:mod:`touchstone.operators.weights`),
+``draws="units"`` draws n of n units with replacement, as a table of (group, replicate, unit,
+multiplicity) whose rows are units (studies, clusters) rather than rows of the input.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from pyspark.sql import functions as F
 from touchstone.functions.numeric import finite, keyed_int
 from touchstone.operators.agreement import auc_counts, spearman
 from touchstone.operators.ranks import value_ranks
-from touchstone.operators.running import attach, numbered, with_group_totals, with_scalars
+from touchstone.operators.running import attach, fresh, numbered, with_group_totals, with_scalars
+from touchstone.operators.weights import REPLICATE, weight_arrays, weighted_auc, weighted_sums
 from touchstone.settings import needs_split
 
-REPLICATE = "replicate"
-
-
 def _replicates(count: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
@@ -61,13 +60,26 @@ def interval(replicates: DataFrame, value: str, group: Sequence[str] = (), alpha
         F.least(F.lit(1.0), 2 * F.least(F.avg((v <= 0).cast("double")), F.avg((v >= 0).cast("double")))).alias("crossing_p"))
 
 
-def bootstrap_mean(df, value: str, key: str, group: Sequence[str] = (), replicates: int = 1000, seed: int = 0, weight: str | None = None) -> DataFrame:
-    """Mean (or weighted mean) with its percentile interval; one unit gives itself."""
+def bootstrap_mean(
+    df, value: str, key: str, group: Sequence[str] = (), replicates: int = 1000, seed: int = 0, weight: str | None = None, draws: str = "poisson",
+) -> DataFrame:
+    """Mean (or weighted mean) with its percentile interval; one unit gives itself.
+
+    With ``draws="poisson"`` no row is copied: tasks add up arrays of weighted sums.  ``draws="units"`` draws exactly n of
+    n rows, which matters where a group has a handful of them.
+    """
+    if draws not in ("poisson", "units"):
+        raise ValueError(f"unknown draws {draws!r}")
     group = list(group)
-    rows = df.filter(finite(value)).select(*group, key, F.col(value).cast("double").alias("__x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__wt"))
-    mean = lambda w: F.sum(w * F.col("__wt") * F.col("__x")) / F.sum(w * F.col("__wt"))
+    x, wt = fresh(df, "x", "wt")
+    rows = df.filter(finite(value)).select(*group, key, F.col(value).cast("double").alias(x), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias(wt))
+    mean = lambda w: F.try_divide(F.sum(w * F.col(wt) * F.col(x)), F.sum(w * F.col(wt)))
     point = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), mean(F.lit(1.0)).alias("mean"))
-    reps = resample(rows, key, group, replicates, seed).groupBy(*group, REPLICATE).agg(mean(F.col("w")).alias("__m"))
+    if draws == "units":
+        reps = resample(rows, key, group, replicates, seed).groupBy(*group, REPLICATE).agg(mean(F.col("w")).alias("__m"))
+    else:
+        both = weighted_sums(rows, key, {"__sx": F.col(wt) * F.col(x), "__sw": F.col(wt)}, group, replicates, seed)
+        reps = both.select(*group, REPLICATE, F.try_divide("__sx", "__sw").alias("__m"))
     return attach(point, interval(reps, "__m", group), group, "left")
 
 
@@ -82,86 +94,71 @@ def bootstrap_statistic(df, key, group, statistic: Callable[[DataFrame, list[str
     return attach(point, interval(reps, value, group), group, "left")
 
 
-def _weighted_auc(rows: DataFrame, score: str, label: str, group: list[str], name: str) -> DataFrame:
-    """AUC per group of rows with multiplicity ``w`` from value histograms."""
-    hist = rows.groupBy(*group, F.col(score).cast("double").alias("__v")).agg(
-        F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("n_pos"),
-        F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n_neg"))
-    return auc_counts(hist, group, "__v", name=name).select(*group, name)
-
-
 def bootstrap_auc(df, score: str, label: str, key: str, group: Sequence[str] = (), replicates=200, seed=0) -> DataFrame:
-    """AUC with an interval from resampling positives and negatives separately."""
-    return _paired_auc(df, [score], label, key, group, replicates, seed)
+    """AUC with a percentile interval; rows have Poisson weights, positives and negatives each their own."""
+    return _weighted_aucs(df, [score], label, group, replicates, seed, key=key)
 
 
 def bootstrap_auc_difference(df, a: str, b: str, label: str, key: str, group: Sequence[str] = (), replicates=200, seed=0) -> DataFrame:
-    """AUC(a) - AUC(b) with an interval; both scorers see the same resampled rows."""
-    return _paired_auc(df, [a, b], label, key, group, replicates, seed)
+    """AUC(a) - AUC(b) with an interval; both scorers see the same weights."""
+    return _weighted_aucs(df, [a, b], label, group, replicates, seed, key=key)
 
 
-def _paired_auc(df, scores, label, key, group, replicates, seed):
+def _weighted_aucs(df, scores, label, group, replicates, seed, key=None, weights=None) -> DataFrame:
     group = list(group)
     ok = F.col(label).isin(0, 1)
     for s in scores:
         ok = ok & finite(s)
-    rows = df.filter(ok).select(*group, key, label, *scores)
-
-    def stat(weighted, by):
-        out = None
-        for i, s in enumerate(scores):
-            one = _weighted_auc(weighted, s, label, by, f"__auc{i}")
-            out = one if out is None else attach(out, one, by)
-        value = F.col("__auc0") if len(scores) == 1 else F.col("__auc0") - F.col("__auc1")
-        return out.withColumn("stat", value)
-
-    point = stat(rows.withColumn("w", F.lit(1)), group)
-    reps = stat(resample(rows, key, [*group, label], replicates, seed), [*group, REPLICATE])
+    rows = df.filter(ok)
+    positive, negative = (F.when(F.col(label) == side, F.lit(1.0)).otherwise(F.lit(0.0)) for side in (1, 0))
+    points = reps = None
+    for i, s in enumerate(scores):
+        hist = rows.groupBy(*group, F.col(s).cast("double").alias("__v")).agg(F.sum(positive).alias("n_pos"), F.sum(negative).alias("n_neg"))
+        point = auc_counts(hist, group, "__v", name=f"__auc{i}").select(*group, f"__auc{i}")
+        each = weighted_auc(rows, s, positive, negative, group, replicates, seed, key, weights, f"__auc{i}")
+        points = point if points is None else attach(points, point, group)
+        reps = each if reps is None else attach(reps, each, [*group, REPLICATE])
+    stat = F.col("__auc0") if len(scores) == 1 else F.col("__auc0") - F.col("__auc1")
     name = "auc" if len(scores) == 1 else "auc_difference"
-    return attach(point.select(*group, F.col("stat").alias(name)), interval(reps, "stat", group), group, "left")
+    ends = interval(reps.select(*group, stat.alias("__stat")), "__stat", group)
+    return attach(points.select(*group, stat.alias(name)), ends, group, "left")
 
 
-def cluster_bootstrap_auc(df, scores: Sequence[str], label: str, cluster: str, group: Sequence[str] = (), replicates=200, seed=0) -> DataFrame:
+def cluster_bootstrap_auc(df, scores: Sequence[str], label: str, cluster: str, group: Sequence[str] = (), replicates=200, seed=0, draws: str = "units") -> DataFrame:
     """AUC (or difference of two AUCs) with an interval from resampling whole clusters.
 
-    Rows are reduced to (cluster, score value, label) counts before they meet the replicates.
+    A cluster's multiplicities in all replicates are one array that its rows carry through a single sort by score, so no
+    row is copied and no matrix of cluster pairs is formed.  ``draws="poisson"`` hashes the cluster instead.
     """
-    group, scores = list(group), list(scores)
+    if draws == "poisson":
+        return _weighted_aucs(df, list(scores), label, group, replicates, seed, key=[*group, cluster])
+    if draws != "units":
+        raise ValueError(f"unknown draws {draws!r}")
+    group = list(group)
     clusters = df.select(*group, cluster).distinct()
-    drawn = resample(clusters, cluster, group, replicates, seed)
-    value_reps = value_point = None
-    for i, s in enumerate(scores):
-        hist = df.filter(finite(s) & F.col(label).isin(0, 1)).groupBy(*group, cluster, F.col(s).cast("double").alias("__v")).agg(
-            F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("__q"))
-        whole = hist.groupBy(*group, "__v").agg(F.sum("__p").alias("n_pos"), F.sum("__q").alias("n_neg"))
-        point = auc_counts(whole, group, "__v", name=f"__auc{i}").select(*group, f"__auc{i}")
-        by = [*group, REPLICATE]
-        weighted = attach(hist, drawn, [*group, cluster]).groupBy(*by, "__v").agg(
-            F.sum(F.col("w") * F.col("__p")).alias("n_pos"), F.sum(F.col("w") * F.col("__q")).alias("n_neg"))
-        reps = auc_counts(weighted, by, "__v", name=f"__auc{i}", fanout=replicates).select(*by, f"__auc{i}")
-        value_point = point if value_point is None else attach(value_point, point, group)
-        value_reps = reps if value_reps is None else attach(value_reps, reps, by)
-    stat = F.col("__auc0") if len(scores) == 1 else F.col("__auc0") - F.col("__auc1")
-    name = "auc" if len(scores) == 1 else "auc_difference"
-    out = interval(value_reps.withColumn("stat", stat), "stat", group)
-    return attach(value_point.select(*group, stat.alias(name)), out, group, "left")
+    held, = fresh(df, "drawn")
+    drawn = weight_arrays(resample(clusters, cluster, group, replicates, seed), [*group, cluster], replicates, held)
+    # A cluster that no replicate draws has no array: it counts in the point value only.
+    none = F.array_repeat(F.lit(0), replicates)
+    rows = attach(df, drawn, [*group, cluster], "left").withColumn(held, F.coalesce(held, none))
+    return _weighted_aucs(rows, list(scores), label, group, replicates, seed, weights=held)
 
 
 def cluster_bootstrap_mean(per_cluster: DataFrame, value: str, weight: str, cluster: str, group: Sequence[str] = (), replicates=1000, seed=0) -> DataFrame:
     """Weighted mean over studies with a study bootstrap interval and two-sided crossing p."""
-    return bootstrap_mean(per_cluster, value, cluster, group, replicates, seed, weight)
+    return bootstrap_mean(per_cluster, value, cluster, group, replicates, seed, weight, "units")
 
 
 def cluster_bootstrap_difference(per_cluster, a: str, b: str, weight: str, cluster: str, group=(), replicates=1000, seed=0) -> DataFrame:
     """Paired difference of two weighted means under the same study draws."""
     rows = per_cluster.filter(finite(a) & finite(b)).withColumn("__d", F.col(a) - F.col(b))
-    return bootstrap_mean(rows, "__d", cluster, group, replicates, seed, weight)
+    return bootstrap_mean(rows, "__d", cluster, group, replicates, seed, weight, "units")
 
 
 def cluster_mean_interval(df, value: str, cluster: str, group: Sequence[str] = (), replicates=1000, seed=0) -> DataFrame:
     """Mean of cluster means with a cluster bootstrap interval."""
     means = df.filter(finite(value)).groupBy(*group, cluster).agg(F.avg(value).alias("__c"))
-    return bootstrap_mean(means, "__c", cluster, group, replicates, seed)
+    return bootstrap_mean(means, "__c", cluster, group, replicates, seed, draws="units")
 
 
 def permutation_test(

@@ -9,6 +9,7 @@ from touchstone.operators import contrasts as co
 from touchstone.operators import perturb as pt
 from touchstone.operators import resample as rs
 from touchstone.operators import sequences as sq
+from touchstone.operators.weights import bootstrap_sums, weight_sql
 from touchstone.plans.registry import arank, drawn, query, r, rounded, scorr, t_quantile
 
 
@@ -22,6 +23,11 @@ def _draws(units, group, key, reps, seed):
   dr as (select idx.*, b, w from idx join wt on idx.rn = wt.rn {f'and idx.{group} = wt.{group}' if group else ''})"""
 
 
+def _poisson(units, key, reps, seed):
+    """SQL of the units with their Poisson weight in each replicate."""
+    return f"dr as (select *, {weight_sql(seed, 'b', key)} as w from {units}, (select unnest(range({reps})) as b))"
+
+
 def _interval(value, group, source):
     g = f"{group}, " if group else ""
     return (f"select {g}quantile_cont({value}, 0.025) as lo, quantile_cont({value}, 0.975) as hi, "
@@ -32,8 +38,8 @@ _CUST = "cu as (select c_mktsegment, c_custkey, c_acctbal - 4500 as x from custo
 
 
 @query("bootstrap_mean", f"""
-with {_CUST}, {_draws('cu', 'c_mktsegment', 'c_custkey', 100, 5)},
-m as (select c_mktsegment, b, sum(w * x) / sum(w) as m from dr group by 1, 2), i as ({_interval('m', 'c_mktsegment', 'm')}),
+with {_CUST}, {_poisson('cu', 'c_custkey', 100, 5)},
+m as (select c_mktsegment, b, sum(w * x) / nullif(sum(w), 0) as m from dr group by 1, 2), i as ({_interval('m', 'c_mktsegment', 'm')}),
 p as (select c_mktsegment, count(*) as n, avg(x) as mean from cu group by 1)
 select p.c_mktsegment, cast(n as bigint) as n, {r('mean', 5)} as mean, {r('lo', 5)} as lo, {r('hi', 5)} as hi, {r('crossing_p')} as crossing_p from p join i on i.c_mktsegment = p.c_mktsegment""")
 def bootstrap_mean(t):
@@ -76,12 +82,29 @@ def cluster_mean_interval(t):
 
 
 @query("bootstrap_statistic", f"""
+with cu as (select c_nationkey % 5 as region, c_custkey as k, c_acctbal / 1000 as x, sin(c_custkey * 1.0) + c_acctbal / 9000 as y from customer), {_poisson('cu', 'k', 60, 9)},
+s as (select region, b, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / nullif(sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x), 0) as s from dr group by 1, 2),
+i as ({_interval('s', 'region', 's where s is not null')}), p as (select region, regr_slope(y, x) as slope from cu group by 1)
+select p.region, {r('slope', 5)} as slope, {r('lo', 5)} as lo, {r('hi', 5)} as hi, {r('crossing_p', 5)} as crossing_p from p join i on i.region = p.region""")
+def bootstrap_statistic(t):
+    """Interval of a regression slope, a function of five sums."""
+    x, y = F.col("x"), F.col("y")
+    rows = t.customer.select(
+        (F.col("c_nationkey") % 5).alias("region"), F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000).alias("x"),
+        (F.sin(F.col("c_custkey").cast("double")) + F.col("c_acctbal") / 9000).alias("y"))
+    slope = lambda s: F.try_divide(s["n"] * s["xy"] - s["x"] * s["y"], s["n"] * s["xx"] - s["x"] * s["x"])
+    sums = {"n": F.lit(1.0), "x": x, "y": y, "xy": x * y, "xx": x * x}
+    return rounded(bootstrap_sums(rows, "k", sums, slope, ["region"], 60, 9, "slope"), 5)
+
+
+@query("bootstrap_refit", f"""
 with cu as (select c_nationkey % 5 as region, c_custkey % 20 as k, avg(c_acctbal) as x, avg(c_custkey) as y from customer group by 1, 2), {_draws('cu', 'region', 'k', 40, 9)},
 ex as (select region, b, x, y, unnest(range(w)) as i from dr), s as (select region, b, regr_slope(y, x) as s from ex group by 1, 2),
 i as (select region, quantile_cont(s, 0.025) as lo, quantile_cont(s, 0.975) as hi, least(1.0, 2 * least(avg(case when s <= 0 then 1.0 else 0 end), avg(case when s >= 0 then 1.0 else 0 end))) as crossing_p from s where s is not null group by 1),
 p as (select region, regr_slope(y, x) as slope from cu group by 1)
 select p.region, {r('slope', 5)} as slope, {r('lo', 5)} as lo, {r('hi', 5)} as hi, {r('crossing_p', 5)} as crossing_p from p join i on i.region = p.region""")
-def bootstrap_statistic(t):
+def bootstrap_refit(t):
+    """As above for a statistic that is refitted on the drawn units."""
     units = t.customer.groupBy((F.col("c_nationkey") % 5).alias("region"), (F.col("c_custkey") % 20).alias("k")).agg(
         F.avg("c_acctbal").alias("x"), F.avg("c_custkey").alias("y"))
     slope = lambda rows, by: rows.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"))
@@ -104,14 +127,14 @@ def _labelled(t):
 
 
 @query("bootstrap_auc", f"""
-with {_LAB}, {_draws('u', 'y', 'doc_id', 50, 4)}, a as ({_auc_of('s', 'b', 'dr')}), i as ({_interval('auc', '', 'a')}), p as ({_auc_of('s', 'g', 'u', '1')})
+with {_LAB}, {_poisson('u', 'doc_id', 50, 4)}, a as ({_auc_of('s', 'b', 'dr')}), i as ({_interval('auc', '', 'a')}), p as ({_auc_of('s', 'g', 'u', '1')})
 select {r('auc')} as auc, {r('lo')} as lo, {r('hi')} as hi, {r('crossing_p')} as crossing_p from p, i""")
 def bootstrap_auc(t):
     return rounded(rs.bootstrap_auc(_labelled(t), "s", "y", "doc_id", (), 50, 4))
 
 
 @query("bootstrap_auc_difference", f"""
-with {_LAB}, {_draws('u', 'y', 'doc_id', 50, 4)}, a1 as ({_auc_of('s', 'b', 'dr')}), a2 as ({_auc_of('s2', 'b', 'dr')}), a as (select a1.b, a1.auc - a2.auc as auc from a1 join a2 on a1.b = a2.b),
+with {_LAB}, {_poisson('u', 'doc_id', 50, 4)}, a1 as ({_auc_of('s', 'b', 'dr')}), a2 as ({_auc_of('s2', 'b', 'dr')}), a as (select a1.b, a1.auc - a2.auc as auc from a1 join a2 on a1.b = a2.b),
 i as ({_interval('auc', '', 'a')}), p1 as ({_auc_of('s', 'g', 'u', '1')}), p2 as ({_auc_of('s2', 'g', 'u', '1')})
 select {r('p1.auc - p2.auc')} as auc_difference, {r('lo')} as lo, {r('hi')} as hi, {r('crossing_p')} as crossing_p from p1, p2, i""")
 def bootstrap_auc_difference(t):
@@ -219,26 +242,29 @@ def battery_deltas(t):
 _STATS = f"""st as (select kind, count(*) as n, avg(round(delta, 12)) as mean, stddev_samp(round(delta, 12)) / sqrt(count(*)) as se, sum(case when round(delta, 12) > 0 then 1 else 0 end) as up, sum(case when round(delta, 12) = 0 then 1 else 0 end) as ties from dl group by 1),
   rf as (select mean as ref from st where kind = 'reversal'),
   ci as (select *, {t_quantile(0.975, '(n - 1.0)')} * se as half from st, rf)"""
+_BOOT = f"""{_poisson('dl', 'doc_id', 300, 0)}, bm as (select kind, b, sum(w * round(delta, 12)) / nullif(sum(w), 0) as m from dr group by 1, 2),
+  bi as (select kind, quantile_cont(m, 0.025) as blo, quantile_cont(m, 0.975) as bhi from bm where m is not null group by 1)"""
 
 
 @query("contrast_battery", f"""
-with {_TEXTS}, {_GRAMS}, {_STATS}
-select kind as perturbation, cast(n as bigint) as n, {r('mean')} as mean, {r('se')} as se, {r('mean - half')} as ci_lo, {r('mean + half')} as ci_hi, cast(up as bigint) as real_higher, cast(ties as bigint) as ties,
-  {r('ref')} as reference_delta, {r('mean / ref', 5)} as ratio_to_reference, case when mean - half > 0 then 'REPRESENTS' when mean + half < 0 then 'INVERTED' when ref > 0 and mean + half < ref then 'NULL' else 'UNDERPOWERED' end as verdict from ci""")
+with {_TEXTS}, {_GRAMS}, {_STATS}, {_BOOT}
+select kind as perturbation, {r('blo')} as boot_lo, {r('bhi')} as boot_hi, cast(n as bigint) as n, {r('mean')} as mean, {r('se')} as se, {r('mean - half')} as ci_lo, {r('mean + half')} as ci_hi, cast(up as bigint) as real_higher, cast(ties as bigint) as ties,
+  {r('ref')} as reference_delta, {r('mean / ref', 5)} as ratio_to_reference, case when mean - half > 0 then 'REPRESENTS' when mean + half < 0 then 'INVERTED' when ref > 0 and mean + half < ref then 'NULL' else 'UNDERPOWERED' end as verdict from ci join bi using (kind)""")
 def contrast_battery(t):
     deltas = battery_deltas(t).withColumn("delta", F.round("delta", 12))
     declared = pt.registry_table(t.spark, ["reversal", "frameshift +1"])
-    out = co.contrast_battery(deltas, declared, "reversal")
+    out = co.contrast_battery(deltas, declared, "reversal", key="doc_id", replicates=300)
     out = out.withColumn("ratio_to_reference", F.round("ratio_to_reference", 5))
-    return rounded(out.select("perturbation", "n", "mean", "se", "ci_lo", "ci_hi", "real_higher", "ties", "reference_delta", "ratio_to_reference", "verdict"))
+    return rounded(out.select("perturbation", "n", "mean", "se", "ci_lo", "ci_hi", "boot_lo", "boot_hi", "real_higher", "ties", "reference_delta", "ratio_to_reference", "verdict"))
 
 
 @query("matched_contrast", f"""
-with {_TEXTS}, {_GRAMS}, w as (select doc_id, max(case when kind = 'reversal' then delta end) - max(case when kind = 'frameshift +1' then delta end) as d from dl group by 1)
-select cast(count(d) as bigint) as n, {r('avg(d)')} as mean, {r('stddev_samp(d) / sqrt(count(d))')} as se, cast(sum(case when d > 0 then 1 else 0 end) as bigint) as real_higher from w where d is not null""")
+with {_TEXTS}, {_GRAMS}, w0 as (select doc_id, max(case when kind = 'reversal' then delta end) - max(case when kind = 'frameshift +1' then delta end) as d from dl group by 1),
+w as (select * from w0 where d is not null), {_poisson('w', 'doc_id', 300, 0)}, bm as (select b, sum(w * d) / nullif(sum(w), 0) as m from dr group by 1)
+select {r('(select quantile_cont(m, 0.025) from bm)')} as boot_lo, {r('(select quantile_cont(m, 0.975) from bm)')} as boot_hi, cast(count(d) as bigint) as n, {r('avg(d)')} as mean, {r('stddev_samp(d) / sqrt(count(d))')} as se, cast(sum(case when d > 0 then 1 else 0 end) as bigint) as real_higher from w where d is not null""")
 def matched_contrast(t):
-    out = co.matched_contrast(battery_deltas(t), "doc_id", "reversal", "frameshift +1", "reversal")
-    return rounded(out.select("n", "mean", "se", "real_higher"))
+    out = co.matched_contrast(battery_deltas(t), "doc_id", "reversal", "frameshift +1", "reversal", replicates=300)
+    return rounded(out.select("n", "mean", "se", "boot_lo", "boot_hi", "real_higher"))
 
 
 @query("battery_claims")
@@ -251,7 +277,7 @@ def battery_claims(t):
     real = sq.markov_scores(texts, "doc_id", "text", 1, alphabet=alphabet)
     scored = sq.markov_scores(made.withColumnRenamed("perturbed", "text"), "doc_id", "text", 1, alphabet=alphabet, corpus=texts, corpus_text="text", score_key="perturbation")
     declared = pt.registry_table(t.spark, names)
-    out = co.contrast_battery(co.paired_deltas(real, scored, "doc_id"), declared, "mononucleotide shuffle")
+    out = co.contrast_battery(co.paired_deltas(real, scored, "doc_id"), declared, "mononucleotide shuffle", key="doc_id", replicates=1000)
     return rounded(co.claim_text(out, declared))
 
 
