@@ -14,6 +14,7 @@ from touchstone.llm.common import discard, mixed, settle, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = "[a-zÀ-ÿ]+"
+END = "."  # stands for the end of a word
 SALTED = 4096  # words under a node for each salt of its edges
 
 # ---- words
@@ -117,8 +118,9 @@ def _trie(words: DataFrame) -> DataFrame:
     """
     letters = words.select("word").mapInArrow(_prefixes(False), PREFIXES)
     per = letters.groupBy("back", "a", "b", "depth", "letter").agg(
-        F.count(F.lit(1)).alias("below"), F.min("word").alias("word"), F.min("next_a").alias("next_a"), F.min("next_b").alias("next_b"))
-    child = F.struct("letter", "below", "word", "next_a", "next_b")
+        F.count(F.lit(1)).alias("below"), F.min("word").alias("word"), F.min("next_a").alias("next_a"), F.min("next_b").alias("next_b"),
+        F.min(F.length("word")).alias("shortest"), F.max(F.length("word")).alias("longest"))
+    child = F.struct("letter", "below", "word", "next_a", "next_b", "shortest", "longest")
     return per.groupBy("back", "a", "b", "depth").agg(F.sum("below").alias("below"), F.collect_list(child).alias("children")).filter("below > 1")
 
 
@@ -146,18 +148,23 @@ def _salts(below: Column) -> Column:
 def _edges(nodes: DataFrame, chains: DataFrame) -> DataFrame:
     """Edges of the trie, repeated for each salt of their node.
 
-    ``word`` spells the label, its letters ``depth`` to ``next_depth``; an edge to a single word has no next node, and
-    one at which a word ends has no label.
+    ``other`` spells the label, its letters ``depth`` to ``next_depth``; an edge to a single word has no next node, and
+    one at which a word ends has no label.  ``then`` holds the letters that lead on from the next node, ``shortest`` and
+    ``longest`` the lengths of the words behind the edge.
     """
     each = nodes.select("back", "a", "b", "depth", F.explode(F.sequence(F.lit(0), _salts(F.col("below")) - 1)).alias("salt"), "children")
     each = each.select("back", "a", "b", "salt", "depth", F.explode("children").alias("c")).select("back", "a", "b", "salt", "depth", "c.*")
     end = chains.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), "end_a", "end_b", "end_depth")
     inner = (F.col("letter") != 0) & (F.col("below") > 1)
-    return each.join(end, ["back", "next_a", "next_b"], "left").select(
-        "back", "a", "b", "salt", "depth", F.col("word").alias("other"), (F.col("letter") == 0).alias("ends"),
+    first = F.when(F.col("letter") != 0, F.substring("word", F.col("depth") + 1, F.lit(1))).otherwise("")
+    led = each.join(end, ["back", "next_a", "next_b"], "left").select(
+        "back", "a", "b", "salt", "depth", F.col("word").alias("other"), (F.col("letter") == 0).alias("ends"), first.alias("first"),
         F.when(inner, F.coalesce("end_depth", F.col("depth") + 1)).alias("next_depth"),
         F.when(inner, F.coalesce("end_a", "next_a")).alias("next_a"), F.when(inner, F.coalesce("end_b", "next_b")).alias("next_b"),
-        _salts(F.col("below")).alias("next_salts"))
+        _salts(F.col("below")).alias("next_salts"), "shortest", "longest")
+    then = F.transform("children", lambda c: F.when(c["letter"] == 0, END).otherwise(F.substring(c["word"], F.col("depth") + 1, F.lit(1))))
+    ahead = nodes.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.array_join(then, "").alias("then"))
+    return led.join(ahead, ["back", "next_a", "next_b"], "left")
 
 
 # ---- the frontier
@@ -172,27 +179,36 @@ def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
 
     A state is (word, position, node, edits).  Without an edit it follows the label that the word spells; at the first
     difference to any other label it may exchange or insert a letter.  Each neighbour is reached along one path only.
+    States that cannot go on, because no word of their length lies ahead or the next letter does not, are not made.
     """
-    met = states.join(edges, ["back", "a", "b", "salt"])
+    letter = F.when(F.col("edits") == 1, F.substring("word", F.col("position") + 1, F.lit(1)))  # the only edge it can take
+    near = F.length("word").between(F.col("shortest") - 1, F.col("longest"))
+    met = states.withColumn("letter", letter).join(edges, ["back", "a", "b", "salt"])
+    met = met.filter(near & (F.col("letter").isNull() & ~F.col("ends") | (F.col("letter") == F.col("first"))))
     met = met.withColumn("rest", F.substring("word", F.col("position") + 1, F.length("word"))).withColumn(
         "label", F.substring("other", F.col("depth") + 1, F.coalesce(F.col("next_depth") - F.col("depth"), F.length("other"))))
     size = F.length("label")
     differs = F.array_position(F.zip_with(_letters(F.substring("rest", F.lit(1), size)), _letters(F.col("label")), lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    met = met.withColumn("k", F.when(size == 1, F.lit(0)).otherwise(differs.cast("int") - 1))
     leaf, follows, edited = F.col("next_a").isNull(), F.startswith("rest", "label"), F.col("edits") == 1
+    met = met.withColumn("k", F.when(leaf | edited | follows, None).when(size == 1, F.lit(0)).otherwise(differs.cast("int") - 1))
     after = F.substring("label", F.col("k") + 2, size)
-    exchanged = (F.length("rest") > F.col("k")) & F.startswith(F.substring("rest", F.col("k") + 2, F.length("rest")), after)
-    inserted = F.startswith(F.substring("rest", F.col("k") + 1, F.length("rest")), after)
-    reach = F.length("label") - F.length("rest")
+    length, here = F.length("word"), F.col("position")
 
     def move(when: Column, position: Column, edits: Column) -> Column:
         return F.when(when, F.struct(position.cast("int").alias("position"), edits.cast("int").alias("edits")))
 
-    whole = F.when(F.col("ends"), edited & (F.col("rest") == "")).when(edited, F.col("rest") == F.col("label")).otherwise(
-        reach.between(0, 1) & (F.levenshtein("rest", "label", 1) == 1))
-    here = F.col("position")
-    moves = F.when(leaf, F.array(move(whole, here, F.lit(1)))).when(follows, F.array(move(F.lit(True), here + size, F.col("edits")))).when(
-        ~edited, F.array(move(exchanged, here + size, F.lit(1)), move(inserted, here + size - 1, F.lit(1))))
+    def onward(position: Column, reached: Column) -> Column:
+        """Whether words of the ``reached`` length lie ahead, the letter at ``position`` next."""
+        sign = F.when(position == length, F.lit(END)).otherwise(F.substring("word", position + 1, F.lit(1)))
+        return reached.between(F.col("shortest"), F.col("longest")) & (F.instr("then", sign) > 0)
+
+    exchanged = (F.length("rest") > F.col("k")) & F.startswith(F.substring("rest", F.col("k") + 2, F.length("rest")), after)
+    inserted = F.startswith(F.substring("rest", F.col("k") + 1, F.length("rest")), after)
+    reach = size - F.length("rest")
+    whole = F.when(edited, F.col("rest") == F.col("label")).otherwise(reach.between(0, 1) & (F.levenshtein("rest", "label", 1) == 1))
+    along = follows & (~edited | onward(here + size, F.lit(0) + length) | onward(here + size, length + 1))
+    moves = F.when(leaf, F.array(move(whole, here, F.lit(1)))).when(F.col("k").isNull(), F.array(move(along, here + size, F.col("edits")))).otherwise(
+        F.array(move(onward(here + size, length) & exchanged, here + size, F.lit(1)), move(onward(here + size - 1, length + 1) & inserted, here + size - 1, F.lit(1))))
     out = met.withColumn("m", F.explode(F.filter(moves, lambda m: m.isNotNull())))
     return out.select(
         "back", "word", F.col("m.position").alias("position"), F.col("m.edits").alias("edits"), leaf.alias("done"),
