@@ -63,6 +63,9 @@ def test_against_every_phrase(spark, documents, monkeypatch):
     for least in (3, 20):
         assert rows(collocations(table, least)) == brute(docs, least)
     assert rows(collocations(table, 3, top=7)) == brute(docs, 3, 7)
+    monkeypatch.setattr(phrase_graph, "PAIR_BYTES", 0)  # whole pieces as paths
+    assert rows(collocations(table, 5)) == brute(docs, 5)
+    monkeypatch.undo()
     monkeypatch.setattr(phrase_graph, "HELD_WORDS", 500)  # many blocks, whose counts meet in the buckets
     assert rows(collocations(table, 5)) == brute(docs, 5)
 

@@ -15,7 +15,8 @@ from touchstone.llm.common import _BYTE, _LOWER, _STEP, _power, chunks, discard,
 from touchstone.settings import leaf_bytes
 
 LONGEST = 5
-HELD_WORDS = 3 << 19  # words that a task holds before it combines them
+HELD_WORDS = 1 << 20  # words that a task holds before it combines them
+PAIR_BYTES = 64 << 20  # of the hashes of frequent pairs that tasks may be sent
 BUCKET_BYTES = 8 << 20  # input bytes for each bucket of the tables of counts
 
 _PIECE = np.zeros(256, bool)
@@ -125,8 +126,15 @@ def _spread(lang: str, words: np.ndarray, columns: list[np.ndarray], weights: np
         at = end
 
 
-def _edges(longest: int, buckets: int, most: int):
-    """Of each block: the longest gram at every word, up to the end of its piece, with counts; and its words' spellings."""
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * _STEP[0] + second * _STEP[1])
+
+
+def _edges(longest: int, buckets: int, most: int, pairs=None, spell: bool = True):
+    """Of each block: the longest gram at every word, up to the end of its path, with counts; and its words' spellings.
+
+    A path ends with its piece and, where the frequent ``pairs`` are known, before a pair that is not among them.
+    """
 
     def block(lang: str, held: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x[0] for x in held])
@@ -137,20 +145,28 @@ def _edges(longest: int, buckets: int, most: int):
         words, number = np.unique(h, return_inverse=True)
         number = number.astype(np.int64)
         n = len(number)
+        path = piece
+        if pairs is not None and n > 1:
+            known = pairs.value
+            h = _pairs(h[:-1], h[1:])
+            at = np.searchsorted(known, h)
+            linked = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(n - 1, bool)
+            path = np.r_[0, np.cumsum(~linked | (piece[1:] != piece[:-1]))]
         columns, size = [number], np.ones(n, np.int64)
         for k in range(1, longest):
             then = np.zeros(n, np.int64)
             on = np.zeros(n, bool)
-            on[:max(0, n - k)] = piece[k:] == piece[:max(0, n - k)]
+            on[:max(0, n - k)] = path[k:] == path[:max(0, n - k)]
             then[:max(0, n - k)] = number[k:]
             columns.append(then)
             size += on
-        for s in range(1, longest + 1):
+        for s in range(1 if spell else longest, longest + 1):
             pick = size == s
             part, weights = _combined([c[pick] for c in columns[:s]], np.ones(int(pick.sum()), np.int64), len(words))
             yield from _spread(lang, words, part, weights, buckets)
-        keys = np.array(list(names), np.uint64).view(np.int64).tolist()
-        yield _rows(size=[0], lang=[lang], words=[keys], names=[list(names.values())])
+        if spell:
+            keys = np.array(list(names), np.uint64).view(np.int64).tolist()
+            yield _rows(size=[0], lang=[lang], words=[keys], names=[list(names.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -170,9 +186,11 @@ def _edges(longest: int, buckets: int, most: int):
                     mine = owner == i
                     if not mine.any():
                         continue
-                    distinct, at = np.unique(h[mine], return_index=True)
-                    b, e = begin[mine][at].tolist(), end[mine][at].tolist()
-                    names = {k: low[i:j].decode("utf-8", "replace") for k, i, j in zip(distinct.tolist(), b, e, strict=True)}
+                    names = {}
+                    if spell:
+                        distinct, at = np.unique(h[mine], return_index=True)
+                        b, e = begin[mine][at].tolist(), end[mine][at].tolist()
+                        names = {k: low[i:j].decode("utf-8", "replace") for k, i, j in zip(distinct.tolist(), b, e, strict=True)}
                     held.setdefault(lang, []).append((h[mine], piece[mine] + base, names))
                 total += len(h)
                 base += int(piece[-1]) + hi - lo + 2
@@ -186,7 +204,7 @@ def _edges(longest: int, buckets: int, most: int):
     return run
 
 
-def _level(size: int, least: int, buckets: int):
+def _level(size: int, least: int, buckets: int, flow_on: bool = True):
     """Counts of all grams of ``size`` words in a bucket; the frequent ones leave as rows, the flow of their first words as blobs."""
 
     def merged(lang: str, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +219,7 @@ def _level(size: int, least: int, buckets: int):
             yield _rows(size=[size] * len(often), lang=[lang] * len(often), words=spelled.tolist(), f=f[often].tolist())
         if size == 1:
             yield _rows(size=[0], lang=[lang], f=[int(f.sum())])
-        else:
+        elif flow_on:
             heads, flow = _combined(columns[:-1], f, len(words))
             yield from _spread(lang, words, heads, flow, buckets)
 
@@ -220,6 +238,26 @@ def _level(size: int, least: int, buckets: int):
     return run
 
 
+def _placed(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.select("bucket", "lang", "blob").repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket", "lang")
+
+
+def _frequent_pairs(text: DataFrame, least: int, buckets: int, tasks: int) -> np.ndarray | None:
+    """Sorted hashes of all neighbouring pairs of words that occur ``least`` times in a language; None beyond PAIR_BYTES.
+
+    Phrases that occur as often consist of such pairs, so all other pairs may end a path.
+    """
+    rows = text.mapInArrow(_edges(2, buckets, HELD_WORDS, spell=False), TABLE)
+    found = settle(_placed(rows, tasks).mapInArrow(_level(2, least, buckets, False), TABLE).select("words"))
+    try:
+        if found.count() * 8 > PAIR_BYTES:
+            return None
+        both = np.array([r["words"] for r in found.collect()], np.int64).reshape(-1, 2).view(np.uint64)
+        return np.unique(_pairs(both[:, 0].copy(), both[:, 1].copy()))
+    finally:
+        discard(found)
+
+
 def frequent_grams(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact counts of all phrases of up to ``longest`` words that occur ``least`` times or more in a language.
 
@@ -228,22 +266,25 @@ def frequent_grams(docs: DataFrame, least: int = 100, longest: int = LONGEST) ->
 
     The graph's nodes are phrases of ``longest`` - 1 words and its edges those of ``longest``.  Edges are counted once over
     the corpus: blocks combine their own, then buckets of whole grams.  Every shorter phrase is a node whose count is the
-    flow of its edges to the next word plus the times a piece ends with it, so each level needs only the level above and
-    the piece ends of its own length; the text is read once.
+    flow of its edges to the next word plus the times a path ends with it, so each level needs only the level above and
+    the path ends of its own length.
+
+    A path is a piece, cut before each pair of words that is too rare for a phrase: a first reading counts pairs, and their
+    hashes go to the tasks if they fit ``PAIR_BYTES``.  Otherwise paths are whole pieces.  Both give the same counts.
     """
     spark = docs.sparkSession
     buckets = max(partitions(spark), -(-leaf_bytes(docs) // BUCKET_BYTES))
     tasks = max(partitions(spark), 1)
     text = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), whole_text(docs).alias("text"))
-    edges = settle(text.mapInArrow(_edges(longest, buckets, HELD_WORDS), TABLE))
+    known = _frequent_pairs(text, least, buckets, tasks)
+    pairs = spark.sparkContext.broadcast(known) if known is not None else None
+    edges = settle(text.mapInArrow(_edges(longest, buckets, HELD_WORDS, pairs), TABLE))
     found, above, old = [], None, []
     for size in range(longest, 0, -1):
         rows = edges.filter(F.col("size") == size)
         if above is not None:
             rows = rows.union(above.filter(F.col("blob").isNotNull()))
-        placed = (rows.select("bucket", "lang", "blob").repartitionById(tasks, F.col("bucket") % tasks)
-                  .sortWithinPartitions("bucket", "lang"))
-        above = settle(placed.mapInArrow(_level(size, least, buckets), TABLE))
+        above = settle(_placed(rows, tasks).mapInArrow(_level(size, least, buckets), TABLE))
         old.append(above)
         found.append(above.filter(F.col("blob").isNull()))
     rows = reduce(DataFrame.union, found)
