@@ -98,3 +98,74 @@ def test_battery_has_both_intervals(spark):
         assert abs(r["boot_lo"] - r["ci_lo"]) < 0.3 * half and abs(r["boot_hi"] - r["ci_hi"]) < 0.3 * half
     assert out["shuffle"]["verdict"] == "REPRESENTS" and out["reverse"]["verdict"] == "INVARIANT"
     assert "boot_lo" not in co.contrast_battery(deltas, expect, "shuffle").columns
+
+
+def plain_draw(seed, b, *keys):
+    a, c = wt._keyed(seed, "a", b) % (wt.PRIME - 1) + 1, wt._keyed(seed, "c", b) % wt.PRIME
+    return (a * (wt._keyed(seed, *keys) % wt.PRIME) + c) % wt.PRIME
+
+
+def test_permuted_sums_take_the_smallest_draws(spark):
+    """A band narrower than the table, a group all in its band, one-sided groups."""
+    data = [("big", k, (k * 37 % 101) / 7, 1200) for k in range(6000)] + [("small", k, float(k), 3) for k in range(9)] + [("none", 1, 5.0, 0), ("all", 2, 6.0, 1)]
+    totals = {"big": 6000, "small": 9, "none": 1, "all": 1}
+    df = spark.createDataFrame([(*r, totals[r[0]]) for r in data], "g string, k int, x double, m long, n long").repartition(6)
+    out = wt.permuted_sums(df, "k", "x", "m", "n", ["g"], 4, 9).collect()
+    assert len(out) == 16
+    for r in out:
+        mine = sorted((plain_draw(9, r["replicate"], g, k), k, x) for g, k, x, _ in data if g == r["g"])
+        m = next(m for g, _, _, m in data if g == r["g"])
+        assert abs(r["permuted"] - sum(x for _, _, x in mine[:m])) < 1e-6
+
+
+def test_permutation_p_of_a_shift(spark):
+    df = spark.createDataFrame([(g, i, float(i // 2 % 10) + (3 if g == "far" and i % 2 else 0), i % 2) for g in ("far", "same") for i in range(200)], "g string, k int, x double, y int")
+    out = {r["g"]: r for r in rs.permutation_test(df, "x", "y", "k", ["g"], 300, 1, "greater").collect()}
+    assert out["far"]["p"] < 0.01 and out["same"]["p"] > 0.02 and out["far"]["n1"] == 100
+    single = rs.permutation_test(df.filter("y = 1"), "x", "y", "k", ["g"], 10).collect()
+    assert all(r["p"] is None and r["observed"] is None for r in single)
+
+
+def test_rank_sum_null_by_counting():
+    from itertools import combinations
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = int(rng.integers(2, 11))
+        s = rng.integers(0, 4, n)
+        doubled = [int(2 * ((s < v).sum() + ((s == v).sum() + 1) / 2)) for v in s]
+        k = int(rng.integers(1, n))
+        seen = int(rng.choice([sum(doubled[i] for i in c) for c in combinations(range(n), k)]))
+        sums = [sum(doubled[i] for i in c) for c in combinations(range(n), k)]
+        ranks = sorted(set(doubled))
+        got = rs.rank_sum_tail(ranks, [doubled.count(r) for r in ranks], k, seen)
+        assert got == pytest.approx(sum(v >= seen for v in sums) / len(sums), abs=1e-12)
+    # A balanced table of 120 rows: the upper half and the centre of a symmetric null.
+    ranks = [2 * i for i in range(1, 121)]
+    centre = 60 * 121
+    upper, above = (rs.rank_sum_tail(ranks, [1] * 120, 60, v) for v in (centre, centre + 1))
+    assert upper + above == pytest.approx(1.0, abs=1e-9)
+
+
+def test_auc_permutation_methods(spark):
+    data = [(g, i, float((i * 7) % n), int(i % 3 == 0)) for g, n in (("a", 30), ("b", 90)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, k int, s double, y int")
+    exact = {r["g"]: r for r in rs.auc_permutation(df, "s", "y", "k", ["g"], "exact").collect()}
+    drawn = {r["g"]: r for r in rs.auc_permutation(df, "s", "y", "k", ["g"], "drawn", 2000, 1).collect()}
+    for g in "ab":
+        assert exact[g]["method"] == "exact" and drawn[g]["method"] == "drawn" and abs(exact[g]["p"] - drawn[g]["p"]) < 0.05
+    with pytest.raises(Exception, match="no exact null"):
+        rs.auc_permutation(df, "s", "y", "k", ["g"], "exact", most=50).collect()
+
+
+def test_sampled_pairs_are_distinct_and_as_many_as_asked(spark):
+    from touchstone.operators.sampling import sample_pairs
+
+    df = spark.createDataFrame([(g, i) for g, n in (("one", 1), ("few", 5), ("many", 300)) for i in range(n)], "g string, k int")
+    for want in (1, 7, 10, 30_000, 50_000):
+        rows = [tuple(r) for r in sample_pairs(df, "k", want, ["g"], 3).collect()]
+        assert len(rows) == len(set(rows)) == min(want, 10) + min(want, 300 * 299 // 2) and all(a < b for _, a, b in rows)
+    big = sample_pairs(spark.range(1_000_000), "id", 20_000, seed=1)
+    assert big.distinct().count() == 20_000
+    spread = big.agg(F.avg("a"), F.avg("b")).first()
+    assert abs(spread[0] / 1e6 - 1 / 3) < 0.02 and abs(spread[1] / 1e6 - 2 / 3) < 0.02

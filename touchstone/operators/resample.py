@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from touchstone.functions.numeric import finite, keyed_int
 from touchstone.operators.agreement import auc_counts, spearman
 from touchstone.operators.ranks import value_ranks
 from touchstone.operators.running import attach, fresh, numbered, with_group_totals, with_scalars
-from touchstone.operators.weights import REPLICATE, weight_arrays, weighted_auc, weighted_sums
+from touchstone.operators.weights import REPLICATE, permuted_sums, weight_arrays, weighted_auc, weighted_sums
 from touchstone.settings import needs_split
 
 def _replicates(count: int) -> Column:
@@ -167,73 +166,105 @@ def permutation_test(
 ) -> DataFrame:
     """Mean difference (side 1 - side 0) against shuffled labels.
 
-    In each replicate the n1 rows with the smallest keyed hashes take label 1, so every
-    permutation keeps the class sizes.  p is (c + 1) / (B + 1), or c / B without ``plus_one``.
+    In each replicate the n1 rows with the smallest keyed draws take label 1, so every
+    permutation keeps the class sizes (:func:`touchstone.operators.weights.permuted_sums`).
+    p is (c + 1) / (B + 1), or c / B without ``plus_one``; null where a side is empty.
     """
     group = list(group)
-    rows = df.filter(finite(value) & F.col(side).isin(0, 1)).select(*group, key, F.col(value).cast("double").alias("__x"), F.col(side).alias("__y"))
-    mean = lambda flag: F.avg(F.when(flag, F.col("__x")))
+    x, y, size, total, whole = fresh(df, "x", "y", "n1", "n", "sx")
+    rows = df.filter(finite(value) & F.col(side).isin(0, 1)).select(*group, key, F.col(value).cast("double").alias(x), F.col(side).cast("int").alias(y))
+    mean = lambda flag: F.avg(F.when(flag, F.col(x)))
     obs = rows.groupBy(*group).agg(
-        F.sum(F.col("__y")).alias("n1"), F.count(F.lit(1)).alias("n"), (mean(F.col("__y") == 1) - mean(F.col("__y") == 0)).alias("observed"))
-    wide = attach(rows, obs, group).withColumn(REPLICATE, _replicates(replicates))
-    wide = wide.withColumn("__h", keyed_int(seed, *group, REPLICATE, key))
-    placed = numbered(wide, [*group, REPLICATE], ["__h", key], "__rn", fanout=replicates)
-    one = F.col("__rn") <= F.col("n1")
-    null = placed.groupBy(*group, REPLICATE, "observed").agg((mean(one) - mean(~one)).alias("__d"))
+        F.sum(y).alias(size), F.count(F.lit(1)).alias(total), F.sum(x).alias(whole), (mean(F.col(y) == 1) - mean(F.col(y) == 0)).alias("observed"))
+    drawn = permuted_sums(attach(rows, obs.drop("observed"), group), key, x, size, total, group, replicates, seed, "__s1")
+    null = attach(drawn, obs, group).withColumn("__d", F.try_divide("__s1", size) - F.try_divide(F.col(whole) - F.col("__s1"), F.col(total) - F.col(size)))
     tol = 1e-12
     beyond = {
         "greater": F.col("__d") >= F.col("observed") - tol, "less": F.col("__d") <= F.col("observed") + tol,
         "two-sided": F.abs("__d") >= F.abs(F.col("observed")) - tol}[alternative]
     add = 1 if plus_one else 0
     p = null.groupBy(*group).agg(((F.sum(beyond.cast("int")) + add) / (F.count(F.lit(1)) + add)).alias("p"))
-    return attach(obs, p, group)
+    out = attach(obs, p, group)
+    return out.select(*group, F.col(size).alias("n1"), F.col(total).alias("n"), "observed", F.when(F.col("observed").isNotNull(), F.col("p")).alias("p"))
 
 
-def _exact_rank_sum_p(ranks: np.ndarray, labels: np.ndarray) -> float:
-    """Share of label placements whose rank sum reaches the observed one, by enumeration."""
-    k = int(labels.sum())
-    n = len(ranks)
-    seen = ranks[labels == 1].sum()
-    if k <= n - k:
-        sums = np.fromiter((ranks[list(c)].sum() for c in combinations(range(n), k)), float)
-    else:  # enumerate the smaller side: sums of the complement
-        sums = ranks.sum() - np.fromiter((ranks[list(c)].sum() for c in combinations(range(n), n - k)), float)
-    return float((sums >= seen - 1e-9).mean())
+def rank_sum_tail(ranks: Sequence[int], counts: Sequence[int], positives: int, reached: int) -> float:
+    """Share of the placements of ``positives`` labels on tied rows whose sum of doubled ranks is ``reached`` or more.
 
+    ``ranks`` are the distinct doubled mean ranks (integers), ``counts`` the rows of each.  The number of label sets per
+    (labels placed, sum) is built up block by block; sums of the smaller class are counted, and scaled so that none overflows.
+    """
+    n = sum(counts)
+    whole = sum(r * c for r, c in zip(ranks, counts, strict=True))
+    flip = positives > n - positives
+    k = n - positives if flip else positives
+    ordered = sorted(zip(ranks, counts, strict=True), reverse=True)
+    most = 0  # the largest sum of k rows
+    left = k
+    for r, c in ordered:
+        most += r * min(left, c)
+        left -= min(left, c)
+    # Chances instead of counts: a block's share of j labels is weighed by C(c, j) and the whole divided by C(n, k) at the end.
+    ways = np.zeros((k + 1, most + 1))
+    ways[0, 0] = 1.0
+    scale, placed = 0.0, 0
+    for r, c in zip(ranks, counts, strict=True):
+        placed += c
+        new = np.zeros_like(ways)
+        for j in range(min(c, k) + 1):
+            shift = r * j
+            if shift > most:
+                break
+            new[j:, shift:] += math.comb(c, j) * ways[:k + 1 - j, :most + 1 - shift]
+        top = new.max()
+        ways = new / top
+        scale += math.log(top)
+    last = ways[k]
+    if flip:  # the positives' sum is the rest
+        good = last[:max(0, min(most, whole - reached) + 1)].sum()
+    else:
+        good = last[max(0, reached):].sum()
+    return float(min(1.0, good / last.sum()))
+
+
+MOST_EXACT = 300  # rows of a group for which the exact null is built
 
-def auc_permutation(df, score: str, label: str, key: str, group: Sequence[str] = (), limit: int = 20_000, replicates=1000, seed=0) -> DataFrame:
-    """One-sided permutation p of an AUC: exact where C(n, k) <= limit, else keyed Monte Carlo.
 
-    Only groups under the limit are gathered (their size is bounded by it); for the others each
-    replicate re-labels the ranked rows.
+def auc_permutation(
+    df, score: str, label: str, key: str, group: Sequence[str] = (), method: str = "drawn", replicates=1000, seed=0, most: int = MOST_EXACT,
+) -> DataFrame:
+    """One-sided permutation p of an AUC: ``group, n, n_pos, auc, method, p``.
+
+    ``method="exact"`` counts, for every group, the label sets per rank sum; a group of more than ``most`` rows is an error,
+    as its table of counts would not fit a task.  ``method="drawn"`` re-labels the ranked rows of every group, of any size.
+    The method is the caller's and never the group's: p means the same at every size.
     """
+    if method not in ("exact", "drawn"):
+        raise ValueError(f"unknown method {method!r}")
     group = list(group)
-    rows = df.filter(finite(score) & F.col(label).isin(0, 1)).select(
-        *group, key, F.col(score).cast("double").alias("__s"), F.col(label).cast("int").alias("__y"))
-    ranked = value_ranks(rows, group, "__s").select(*group, "__s", "rank")
-    rows = attach(rows, ranked, [*group, "__s"])
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("n_pos"), F.sum(F.when(F.col("__y") == 1, F.col("rank"))).alias("__sum"))
+    s, y, rank = fresh(df, "s", "y", "rank")
+    rows = df.filter(finite(score) & F.col(label).isin(0, 1)).select(*group, key, F.col(score).cast("double").alias(s), F.col(label).cast("int").alias(y))
+    ranked = value_ranks(rows, group, s).select(*group, s, F.col("rank").alias(rank))
+    rows = attach(rows, ranked, [*group, s])
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"), F.sum(F.when(F.col(y) == 1, F.col(rank))).alias("__sum"))
     k, n = F.col("n_pos"), F.col("n")
-    small_side = F.least(k, n - k).cast("int")
-    log_ways = F.aggregate(
-        F.when(small_side > 0, F.sequence(F.lit(1), F.least(small_side, F.lit(64)))).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0), lambda acc, i: acc + F.log((n - i + 1.0) / i))
-    sizes = sizes.withColumn("exact", (log_ways <= math.log(limit) + 1e-9) & (small_side <= 64)).filter((k > 0) & (k < n))
-    sizes = sizes.withColumn("auc", (F.col("__sum") - k * (k + 1) / 2.0) / (k * (n - k)))
-    few = attach(rows, sizes.filter("exact").select(*group, "n"), group)
-    few = few.groupBy(*group).agg(F.collect_list("rank").alias("__r"), F.collect_list("__y").alias("__l"))
-
-    @F.pandas_udf("double")
-    def enumerate_p(r: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_exact_rank_sum_p(np.asarray(a, float), np.asarray(b)) for a, b in zip(r, y)])
-
-    exact = few.select(*group, enumerate_p("__r", "__l").alias("p"))
-    many = attach(rows, sizes.filter("NOT exact").select(*group, "n_pos", "__sum"), group)
-    many = many.withColumn(REPLICATE, _replicates(replicates)).withColumn("__h", keyed_int(seed, *group, REPLICATE, key))
-    placed = numbered(many, [*group, REPLICATE], ["__h", key], "__rn", fanout=replicates)
-    sums = placed.groupBy(*group, REPLICATE, "__sum").agg(F.sum(F.when(F.col("__rn") <= F.col("n_pos"), F.col("rank"))).alias("__t"))
-    monte = sums.groupBy(*group).agg(F.avg((F.col("__t") >= F.col("__sum") - 1e-9).cast("double")).alias("p"))
-    return attach(sizes.select(*group, "n", "n_pos", "auc", "exact"), exact.unionByName(monte), group, "left")
+    sizes = sizes.filter((k > 0) & (k < n)).withColumn("auc", (F.col("__sum") - k * (k + 1) / 2.0) / (k * (n - k)))
+    if method == "exact":
+        hist = rows.groupBy(*group, (2 * F.col(rank)).cast("long").alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
+        fits = sizes.withColumn("__ok", F.when(n <= most, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"a group of more than {most} rows has no exact null: n = "), n))))
+        hist = attach(hist, fits.filter("__ok").select(*group, "n_pos", (2 * F.col("__sum")).cast("long").alias("__seen")), group)
+        # At most ``most`` distinct ranks meet in a group.
+        blocks = hist.groupBy(*group, "n_pos", "__seen").agg(F.sort_array(F.collect_list(F.struct("__r", "__c"))).alias("__b"))
+
+        @F.pandas_udf("double")
+        def tail(r: pd.Series, c: pd.Series, positives: pd.Series, seen: pd.Series) -> pd.Series:
+            return pd.Series([rank_sum_tail([int(v) for v in a], [int(v) for v in b], int(m), int(t)) for a, b, m, t in zip(r, c, positives, seen)])
+
+        p = blocks.select(*group, tail(F.col("__b.__r"), F.col("__b.__c"), "n_pos", "__seen").alias("p"))
+    else:
+        sums = permuted_sums(attach(rows, sizes.select(*group, "n", "n_pos"), group), key, rank, "n_pos", "n", group, replicates, seed, "__t")
+        p = attach(sums, sizes.select(*group, "__sum"), group).groupBy(*group).agg(F.avg((F.col("__t") >= F.col("__sum") - 1e-9).cast("double")).alias("p"))
+    return attach(sizes.select(*group, "n", "n_pos", "auc", F.lit(method).alias("method")), p, group, "left")
 
 
 def cluster_permuted_null(df, feature: str, target: str, cluster: str, key: str, replicates=200, seed=0) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchstone.functions.numeric import col, half_even, keyed_int
 from touchstone.operators.running import Total, attach, numbered, running, with_group_totals, with_scalars
+from touchstone.operators.weights import PRIME
 from touchstone.settings import needs_split
 
 
@@ -49,24 +53,59 @@ def top_up_sample(df, key: str, cell: str, per_cell: int, existing: Column, seed
     return placed.filter((F.col("__rn") <= per_cell) | (F.col("__e") == 1)).drop("__e", "__h", "__rn")
 
 
+ROUNDS = 4
+_SLOTS = 4096  # draws of a group that one row stands for before they are spelled out
+
+
+def feistel_keys(seed: int) -> list[tuple[int, int]]:
+    """Multiplier and shift of each round, as :func:`keyed_int` of (seed, "f" or "o", round)."""
+    draw = lambda *parts: int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:15], 16)
+    return [(draw(seed, "f", r) % (PRIME - 1) + 1, draw(seed, "o", r) % PRIME) for r in range(ROUNDS)]
+
+
+def _permuted(seed: int):
+    """Place of each number below ``n`` in a keyed permutation of 0 .. n - 1."""
+    keys = feistel_keys(seed)
+
+    @F.pandas_udf("long")
+    def walk(x: pd.Series, n: pd.Series, tweak: pd.Series) -> pd.Series:
+        out, size, add = x.to_numpy(np.int64).copy(), n.to_numpy(np.int64), tweak.to_numpy(np.int64)
+        half = np.ceil(np.log2(np.maximum(size, 2).astype(float)) / 2).astype(np.int64)
+        half += (np.int64(1) << (2 * half)) < size  # rounding of the logarithm
+        left = np.arange(len(out))
+        while len(left):  # cycle walking: a number that leaves the range goes through again until it is back
+            h = half[left]
+            a, b = out[left] >> h, out[left] & ((np.int64(1) << h) - 1)
+            for by, off in keys:
+                a, b = b, a ^ ((b * by + (off + add[left]) % PRIME) % PRIME & ((np.int64(1) << h) - 1))
+            out[left] = (a << h) | b
+            left = left[out[left] >= size[left]]
+        return pd.Series(out)
+
+    return walk
+
+
 def sample_pairs(df, key: str, pairs: int, group: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """(group, a, b): all pairs a < b of a group if no more than ``pairs``, else that many draws.
+    """(group, a, b): exactly min(``pairs``, all) distinct pairs a < b of each group.
 
-    Draws are pair numbers unranked to two row numbers and joined back, so work grows with the
-    number of pairs asked for, never with all pairs.  Repeated draws are kept once.
+    Draw i is place i of a keyed permutation of the group's pair numbers (a Feistel network with cycle walking), so no draw
+    repeats and none is thrown away, at any size of group.  Pair numbers are unranked to two row numbers and joined back:
+    work grows with the number of pairs asked for, never with all pairs.  Up to 2^60 pairs a group.
     """
     group = list(group)
     placed = numbered(df.select(*group, key), group, [key], "__rn")
     sizes = placed.groupBy(*group).agg(F.max("__rn").alias("__n"))
-    every = F.col("__n") * (F.col("__n") - 1) / 2
-    slots = sizes.withColumn("__all", every.cast("long")).filter("__all > 0").withColumn(
-        "__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__all"), F.lit(pairs).cast("long")) - 1)))
-    pick = F.when(F.col("__all") <= pairs, F.col("__slot")).otherwise(F.pmod(keyed_int(seed, *group, "__slot"), F.col("__all")))
-    drawn = slots.select(*group, pick.alias("__t")).distinct()
+    every = F.expr("__n * (__n - 1) div 2")
+    slots = sizes.withColumn("__all", every.cast("long")).filter("__all > 0").withColumn("__want", F.least(F.col("__all"), F.lit(pairs).cast("long")))
+    slots = slots.withColumn("__tweak", F.pmod(keyed_int(seed, *group), F.lit(PRIME)))
+    slots = slots.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__want") - 1, F.lit(_SLOTS).cast("long"))))
+    slots = slots.withColumn("__slot", F.explode(F.sequence("__from", F.least(F.col("__from") + _SLOTS, F.col("__want")) - 1)))
+    drawn = slots.select(*group, _permuted(seed)("__slot", "__all", "__tweak").alias("__t"))
     # Pair number t = hi (hi - 1) / 2 + lo over 0 <= lo < hi; the root is corrected for rounding.
     root = F.floor((1 + F.sqrt(1 + 8.0 * F.col("__t"))) / 2).cast("long")
-    hi = F.when(root * (root - 1) / 2 > F.col("__t"), root - 1).when(root * (root + 1) / 2 <= F.col("__t"), root + 1).otherwise(root)
-    drawn = drawn.withColumn("__hi", hi).withColumn("__lo", (F.col("__t") - F.col("__hi") * (F.col("__hi") - 1) / 2).cast("long"))
+    drawn = drawn.withColumn("__root", root)
+    hi = F.when(F.expr("__root * (__root - 1) div 2 > __t"), F.col("__root") - 1).when(F.expr("__root * (__root + 1) div 2 <= __t"), F.col("__root") + 1)
+    drawn = drawn.withColumn("__hi", hi.otherwise(F.col("__root"))).withColumn("__lo", F.expr("__t - __hi * (__hi - 1) div 2"))
     low = placed.select(*group, (F.col("__rn") - 1).alias("__lo"), F.col(key).alias("a"))
     high = placed.select(*group, (F.col("__rn") - 1).alias("__hi"), F.col(key).alias("b"))
     out = attach(attach(drawn, low, [*group, "__lo"]), high, [*group, "__hi"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from touchstone.functions.numeric import keyed_int
-from touchstone.operators.running import fresh
+from touchstone.operators.running import attach, fresh
 
 REPLICATE = "replicate"
 PRIME = (1 << 31) - 1
@@ -50,14 +50,19 @@ def poisson_cuts() -> list[int]:
     return cuts
 
 
-def weight_sql(seed: int, replicate: str, *keys: str) -> str:
-    """The weight in SQL, for comparisons."""
+def draw_sql(seed: int, replicate: str, *keys: str) -> str:
+    """u_b = (a_b h + c_b) mod P in SQL, for comparisons."""
     def drawn(*parts: str) -> str:
         text = "concat_ws('|', " + ", ".join([f"'{seed}'", *[f"cast({p} as varchar)" for p in parts]]) + ")"
         return f"cast(('0x' || substr(md5({text}), 1, 15)) as bigint)"
 
-    v = f"((({drawn(chr(39) + 'a' + chr(39), replicate)} % {PRIME - 1} + 1) * ({drawn(*keys)} % {PRIME}) + {drawn(chr(39) + 'c' + chr(39), replicate)} % {PRIME}) % {PRIME} // 2048)"
-    return f"list_sum(list_transform({poisson_cuts()}, lambda x: case when {v} >= x then 1 else 0 end))"
+    a, c = (f"{drawn(repr(x), replicate)}" for x in "ac")
+    return f"((({a} % {PRIME - 1} + 1) * ({drawn(*keys)} % {PRIME}) + {c} % {PRIME}) % {PRIME})"
+
+
+def weight_sql(seed: int, replicate: str, *keys: str) -> str:
+    """The weight in SQL, for comparisons."""
+    return f"list_sum(list_transform({poisson_cuts()}, lambda x: case when {draw_sql(seed, replicate, *keys)} // 2048 >= x then 1 else 0 end))"
 
 
 def unit_hash(seed: int, *keys) -> Column:
@@ -240,8 +245,6 @@ def bootstrap_sums(df: DataFrame, key: str, sums: dict[str, Column], statistic:
     ``sums`` are row expressions, ``statistic`` turns the sums' columns into the value.
     """
     from touchstone.operators.resample import interval
-    from touchstone.operators.running import attach
-
     group = list(group)
     taken = dict(zip(sums, fresh(df, *[f"sum_{s}" for s in sums])))
     point = df.groupBy(*group).agg(*[F.sum(F.coalesce(e.cast("double"), F.lit(0.0))).alias(taken[s]) for s, e in sums.items()])
@@ -249,3 +252,85 @@ def bootstrap_sums(df: DataFrame, key: str, sums: dict[str, Column], statistic:
     value = statistic({s: F.col(c) for s, c in taken.items()})
     ends = interval(reps.select(*group, value.alias("__stat")), "__stat", group)
     return attach(point.select(*group, value.alias(name)), ends, group, "left")
+
+
+BAND = 8.0  # deviations around a class's share within which rows are ordered one by one
+
+
+def permuted_sums(df: DataFrame, key: str, value: str, size: str, total: str, group: Sequence[str] = (), replicates: int = 1000, seed: int = 0, name: str = "permuted") -> DataFrame:
+    """``group``, ``replicate`` and the sum of ``value`` over a random ``size`` of the group's ``total`` rows.
+
+    In replicate b those are the rows with the smallest (u_b, key), u_b = (a_b h + c_b) mod P.  ``size`` and ``total`` are
+    columns of the rows.  A row far below the threshold that size / total implies is added up in its task, one far above is
+    passed over, and only the band between, about 16 sqrt(total) rows, is ordered: exact, without a copy of the table per
+    replicate.  Should a band ever miss the threshold, the query fails rather than answer wrongly.
+    """
+    group = list(group)
+    rows = df.select(*group, F.col(key).alias("__k"), F.col(value).cast("double").alias("__x"), F.col(size).cast("long").alias("__m"),
+                     F.col(total).cast("long").alias("__n"), unit_hash(seed, *group, key).alias("__h"))
+    head = _group_rows(df, group)
+    heads = [f.name for f in head]
+    tail = [StructField(REPLICATE, IntegerType()), StructField("__m", IntegerType()), StructField("__count", DoubleType()), StructField("__sum", DoubleType()),
+            StructField("__u", IntegerType())]
+    schema = StructType([*head, StructField("__k", rows.schema["__k"].dataType), *tail])
+    room = max(1, (1 << 23) // replicates)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, c = multipliers(seed, replicates)
+        names = [*heads, "__k", *[f.name for f in tail]]
+        held: dict[tuple, list] = {}
+
+        def certain() -> Iterator[pa.RecordBatch]:
+            for row, m, counts, sums in held.values():
+                n = replicates
+                parts = [pa.array([row[g][0].as_py()] * n, type=row.schema.field(g).type) for g in heads]
+                kinds = row.schema.field("__k").type
+                yield pa.RecordBatch.from_arrays(
+                    [*parts, pa.nulls(n, kinds), pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, m), pa.int32()), pa.array(counts), pa.array(sums),
+                     pa.nulls(n, pa.int32())], names)
+            held.clear()
+
+        for batch in batches:
+            for block in _blocks(batch, replicates):
+                u = (block["__h"].to_numpy(zero_copy_only=False).astype(np.int64)[:, None] * a + c) % PRIME
+                x = block["__x"].to_numpy(zero_copy_only=False)
+                n = block["__n"].to_numpy(zero_copy_only=False).astype(float)
+                share = block["__m"].to_numpy(zero_copy_only=False) / n
+                slack = BAND * np.sqrt(share * (1 - share) / n) + BAND**2 / n
+                low, high = ((share + s * slack) * PRIME for s in (-1, 1))
+                inside = u < low[:, None]
+                band = ~inside & (u <= high[:, None])
+                codes = _group_codes(block, group)
+                order = np.argsort(codes, kind="stable")
+                begin = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+                counts = np.add.reduceat(inside[order].astype(float), begin, axis=0)
+                sums = np.add.reduceat(np.where(inside, x[:, None], 0.0)[order], begin, axis=0)
+                for at, count, added in zip(order[begin].tolist(), counts, sums, strict=True):
+                    row = block.slice(at, 1)
+                    name = tuple(repr(row[g][0].as_py()) for g in heads)
+                    if name in held:
+                        held[name][2] += count
+                        held[name][3] += added
+                    else:
+                        held[name] = [row, row["__m"][0].as_py(), count.copy(), added.copy()]
+                i, b = np.nonzero(band)
+                if len(i):
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[block[g].take(take) for g in heads], block["__k"].take(take), pa.array(b, pa.int32()), block["__m"].take(take).cast(pa.int32()),
+                         pa.array(np.ones(len(i))), pa.array(x[i]), pa.array(u[i, b], pa.int32())], names)
+                if len(held) >= room:
+                    yield from certain()
+        yield from certain()
+
+    pieces = rows.mapInArrow(partial, schema)
+    by = [*group, REPLICATE]
+    sure = pieces.filter("__u is null").groupBy(*by).agg(F.max("__m").alias("__m"), F.sum("__count").alias("__sure"), F.sum("__sum").alias("__base"))
+    near = attach(pieces.filter("__u is not null").select(*by, "__k", "__u", "__sum"), sure, by, "left")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__u", "__k"))
+    picked = near.withColumn("__take", (place <= F.col("__m") - F.col("__sure")).cast("int")).groupBy(*by).agg(
+        F.sum(F.col("__take") * F.col("__sum")).alias("__more"), F.sum("__take").alias("__taken"))
+    out = attach(sure, picked, by, "left")
+    met = F.col("__sure") + F.coalesce("__taken", F.lit(0)) == F.col("__m")
+    whole = F.col("__base") + F.coalesce("__more", F.lit(0.0))
+    return out.select(*by, F.when(met, whole).otherwise(F.raise_error(F.lit("a permutation's threshold lies outside its band"))).alias(name))

@@ -143,10 +143,22 @@ def top_up_sample(t):
     return sa.top_up_sample(t.part.select("p_partkey", "p_type"), "p_partkey", "p_type", 12, F.col("p_partkey") % 50 == 0)
 
 
+def _feistel(x, h, tweak, seed):
+    """SQL of one pass of the library's pair permutation."""
+    at = f"[{x} >> {h}, {x} & ((1::bigint << {h}) - 1)]"
+    for i in range(sa.ROUNDS):
+        key = [f"({drawn(seed, repr(c), str(i))} % {n})" for c, n in (("f", sa.PRIME - 1), ("o", sa.PRIME))]
+        at = (f"list_transform([{at}], lambda s: [s[2], xor(s[1], (s[2] * ({key[0]} + 1) + ({key[1]} + {tweak}) % {sa.PRIME}) % {sa.PRIME} "
+              f"& ((1::bigint << {h}) - 1))])[1]")
+    return f"list_transform([{at}], lambda s: (s[1] << {h}) | s[2])[1]"
+
+
 @query("sample_pairs", f"""
-with i as (select c_nationkey as g, c_custkey as k, row_number() over (partition by c_nationkey order by c_custkey) - 1 as rn from customer), s as (select g, count(*) as n, count(*) * (count(*) - 1) // 2 as al from i group by 1),
-sl as (select g, al, unnest(range(cast(least(al, 40) as bigint))) as slot from s), t as (select distinct g, case when al <= 40 then slot else {drawn(5, 'g', 'slot')} % al end as t from sl),
-h as (select g, t, cast(floor((1 + sqrt(1 + 8.0 * t)) / 2) as bigint) as hi from t)
+with recursive i as (select c_nationkey as g, c_custkey as k, row_number() over (partition by c_nationkey order by c_custkey) - 1 as rn from customer),
+s as (select g, count(*) * (count(*) - 1) // 2 as al, cast(ceil(log2(greatest(count(*) * (count(*) - 1) // 2, 2)) / 2) as int) as h, {drawn(5, 'g')} % {sa.PRIME} as tw from i group by 1),
+w as (select g, al, h, tw, slot, {_feistel('slot', 'h', 'tw', 5)} as t from (select s.*, cast(unnest(range(cast(least(al, 40) as bigint))) as bigint) as slot from s where al > 0)
+      union all select g, al, h, tw, slot, {_feistel('t', 'h', 'tw', 5)} as t from w where t >= al),
+h as (select g, t, cast(floor((1 + sqrt(1 + 8.0 * t)) / 2) as bigint) as hi from w where t < al)
 select h.g, a.k as a, b.k as b from h join i a on a.g = h.g and a.rn = h.t - h.hi * (h.hi - 1) // 2 join i b on b.g = h.g and b.rn = h.hi""")
 def sample_pairs(t):
     return sa.sample_pairs(t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k")), "k", 40, ["g"], 5)

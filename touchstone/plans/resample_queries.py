@@ -9,7 +9,7 @@ from touchstone.operators import contrasts as co
 from touchstone.operators import perturb as pt
 from touchstone.operators import resample as rs
 from touchstone.operators import sequences as sq
-from touchstone.operators.weights import bootstrap_sums, weight_sql
+from touchstone.operators.weights import bootstrap_sums, draw_sql, weight_sql
 from touchstone.plans.registry import arank, drawn, query, r, rounded, scorr, t_quantile
 
 
@@ -155,7 +155,7 @@ def _perm(alt):
     return f"""
 with s as (select c_nationkey % 5 as region, c_custkey as k, c_acctbal as x, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 1 else 0 end as y from customer),
 ob as (select region, sum(y) as n1, count(*) as n, avg(x) filter (y = 1) - avg(x) filter (y = 0) as obs from s group by 1),
-h as (select s.region, k, x, b, n1, obs, {drawn(7, 's.region', 'b', 'k')} as h from s join ob on ob.region = s.region, (select unnest(range(60)) as b)),
+h as (select s.region, k, x, b, n1, obs, {draw_sql(7, 'b', 's.region', 'k')} as h from s join ob on ob.region = s.region, (select unnest(range(60)) as b)),
 q as (select *, row_number() over (partition by region, b order by h, k) as rn from h),
 nd as (select region, b, obs, avg(x) filter (rn <= n1) - avg(x) filter (rn > n1) as d from q group by 1, 2, 3),
 p as (select region, (sum(case when {test} then 1.0 else 0 end) + 1) / (count(*) + 1) as p from nd group by 1)
@@ -173,13 +173,13 @@ def permutation_test(t):
 @query("auc_permutation", f"""
 with s as (select c_nationkey as g, c_custkey as k, c_acctbal as x, case when c_mktsegment = 'BUILDING' then 1 else 0 end as y from customer),
 rk as (select *, {arank('x', 'g')} as rk from s), sz as (select g, count(*) as n, sum(y) as k1, sum(case when y = 1 then rk end) as sm from rk group by 1),
-h as (select rk.g, rk, b, k1, sm, k, {drawn(3, 'rk.g', 'b', 'k')} as h from rk join sz on sz.g = rk.g, (select unnest(range(50)) as b)),
+h as (select rk.g, rk, b, k1, sm, k, {draw_sql(3, 'b', 'rk.g', 'k')} as h from rk join sz on sz.g = rk.g, (select unnest(range(50)) as b)),
 q as (select *, row_number() over (partition by g, b order by h, k) as rn from h), t as (select g, b, sm, sum(case when rn <= k1 then rk end) as t from q group by 1, 2, 3),
 p as (select g, avg(case when t >= sm - 1e-9 then 1.0 else 0 end) as p from t group by 1)
-select sz.g, cast(n as bigint) as n, cast(k1 as bigint) as n_pos, {r('(sm - k1 * (k1 + 1) / 2.0) / (k1 * (n - k1))')} as auc, false as exact, {r('p')} as p from sz join p on p.g = sz.g""")
+select sz.g, cast(n as bigint) as n, cast(k1 as bigint) as n_pos, {r('(sm - k1 * (k1 + 1) / 2.0) / (k1 * (n - k1))')} as auc, 'drawn' as method, {r('p')} as p from sz join p on p.g = sz.g""")
 def auc_permutation(t):
     rows = t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0).alias("y"))
-    return rounded(rs.auc_permutation(rows, "x", "y", "k", ["g"], 20_000, 50, 3))
+    return rounded(rs.auc_permutation(rows, "x", "y", "k", ["g"], "drawn", 50, 3))
 
 
 @query("auc_permutation_exact", f"""
@@ -187,11 +187,11 @@ with s as (select n_regionkey as g, c_nationkey as k, avg(c_acctbal) as x, max(c
 rk as (select *, {arank('x', 'g')} as rk, row_number() over (partition by g order by k) as i from s), sz as (select g, count(*) as n, sum(y) as k1, sum(case when y = 1 then rk end) as sm from rk group by 1),
 sub as (select rk.g, m, sum(rk) as t from rk join sz on sz.g = rk.g, (select unnest(range(1, 2048)) as m) where (m >> (i - 1)) % 2 = 1 and m < (1 << n) group by rk.g, m, k1 having count(*) = max(k1)),
 p as (select sub.g, avg(case when t >= sm - 1e-9 then 1.0 else 0 end) as p from sub join sz on sz.g = sub.g group by 1)
-select sz.g, cast(n as bigint) as n, cast(k1 as bigint) as n_pos, {r('(sm - k1 * (k1 + 1) / 2.0) / (k1 * (n - k1))')} as auc, true as exact, {r('p')} as p from sz join p on p.g = sz.g where k1 > 0 and k1 < n""")
+select sz.g, cast(n as bigint) as n, cast(k1 as bigint) as n_pos, {r('(sm - k1 * (k1 + 1) / 2.0) / (k1 * (n - k1))')} as auc, 'exact' as method, {r('p')} as p from sz join p on p.g = sz.g where k1 > 0 and k1 < n""")
 def auc_permutation_exact(t):
     rows = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("x")).join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     rows = rows.select(F.col("n_regionkey").alias("g"), F.col("c_nationkey").alias("k"), "x", F.when(F.col("c_nationkey") % 3 == 0, 1).otherwise(0).alias("y"))
-    return rounded(rs.auc_permutation(rows, "x", "y", "k", ["g"], 20_000, 50, 3))
+    return rounded(rs.auc_permutation(rows, "x", "y", "k", ["g"], "exact"))
 
 
 @query("cluster_permuted_null", f"""
