@@ -184,7 +184,7 @@ def test_inverse_normal(spark):
 
 def test_wilcoxon_exact_by_enumeration(spark):
     d = [0.3, -1.1, 2.2, 0.9, -0.4, 1.7]
-    row = hy.wilcoxon_signed(frame(spark, [(v,) for v in d], "d double"), "d").first()
+    row = hy.wilcoxon_signed(frame(spark, [(v,) for v in d], "d double"), "d", method="exact").first()
     r = brute_ranks([abs(v) for v in d])
     low = min(sum(x for x, v in zip(r, d) if v > 0), sum(x for x, v in zip(r, d) if v < 0))
     all_sums = [sum(x for x, s in zip(r, signs) if s) for signs in product((0, 1), repeat=len(d))]
@@ -425,3 +425,19 @@ def test_cross_map_and_within_background_at_a_large_offset(spark):
     assert all(abs(a["r2"] - b["r2"]) < 1e-6 for a, b in zip(one, two))
     one, two = (ln.within_background(d, "t", "t", ["x"], "z", "ABCDEFGH", 2, 1.0, min_train=5).first() for d in (near, far))
     assert one["backgrounds"] == two["backgrounds"] > 0 and abs(one["weighted_rho"] - two["weighted_rho"]) < 1e-9
+
+
+def test_wilcoxon_exact_with_ties_and_refusal(spark):
+    rng = random.Random(2)
+    for _ in range(30):
+        d = [rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(1, 9))]
+        doubled = [int(2 * r) for r in brute_ranks([abs(v) for v in d])]
+        low = min(sum(x for x, v in zip(doubled, d) if v > 0), sum(x for x, v in zip(doubled, d) if v < 0))
+        sums = [sum(x for x, s in zip(doubled, signs) if s) for signs in product((0, 1), repeat=len(d))]
+        ranks_ = sorted(set(doubled))
+        got = hy.signed_rank_tail(ranks_, [doubled.count(r) for r in ranks_], low)
+        assert got == pytest.approx(min(1.0, 2 * sum(s <= low for s in sums) / len(sums)))
+    many = spark.range(30).selectExpr("cast(id - 7.5 as double) as d")
+    assert hy.wilcoxon_signed(many, "d", method="exact").first().method == "exact"
+    with pytest.raises(Exception, match="no exact null"):
+        hy.wilcoxon_signed(many, "d", method="exact", most=20).collect()

@@ -66,39 +66,39 @@ def mann_whitney(df, value: str, side: str, group: Sequence[str] = (), alternati
     return out.withColumn("z", z).withColumn("p", p).drop("__ties")
 
 
-def _exact_wilcoxon(low: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Two-sided p of the smaller signed-rank sum without ties, by counting subset sums."""
-    out = np.empty(len(low))
-    tables: dict[int, np.ndarray] = {}
-    for i, (w, m) in enumerate(zip(low.astype(int), n.astype(int))):
-        if m not in tables:
-            ways = np.zeros(m * (m + 1) // 2 + 1)
-            ways[0] = 1.0
-            for r in range(1, m + 1):
-                ways[r:] = ways[r:] + ways[:-r].copy()
-            tables[m] = np.cumsum(ways) / 2.0**m
-        out[i] = min(1.0, 2.0 * tables[m][w])
-    return out
-
-
-@F.pandas_udf(DoubleType())
-def _wilcoxon_exact_p(low: pd.Series, n: pd.Series) -> pd.Series:
-    # Rows outside the exact range are answered by the normal branch; n is at most 50 here.
-    ok = (n > 0) & (n <= 50)
-    out = np.full(len(low), np.nan)
-    if ok.any():
-        out[ok.to_numpy()] = _exact_wilcoxon(low[ok].to_numpy(), n[ok].to_numpy())
-    return pd.Series(out)
-
-
-def wilcoxon_signed(df, difference: str, group: Sequence[str] = (), exact_up_to: int = 50, split="auto") -> DataFrame:
-    """Signed-rank test of differences, zeros dropped: exact without ties for small n, else normal."""
+def signed_rank_tail(ranks: Sequence[int], counts: Sequence[int], low: int) -> float:
+    """Two-sided p of the smaller signed-rank sum: chances of every sum of doubled ranks, each row's sign a fair coin.
+
+    Ties have equal (doubled, integer) mean ranks and stay exact.
+    """
+    whole = sum(r * c for r, c in zip(ranks, counts, strict=True))
+    chance = np.zeros(whole + 1)
+    chance[0] = 1.0
+    for r, c in zip(ranks, counts, strict=True):
+        for _ in range(c):
+            chance[r:] = (chance[r:] + chance[:len(chance) - r]) / 2
+            chance[:r] /= 2
+    return float(min(1.0, 2 * chance[:low + 1].sum()))
+
+
+MOST_SIGNED = 500  # rows of a group for which the exact null is built
+
+
+def wilcoxon_signed(df, difference: str, group: Sequence[str] = (), method: str = "normal", most: int = MOST_SIGNED, split="auto") -> DataFrame:
+    """Signed-rank test of differences, zeros dropped: ``group, n, w_plus, w_minus, z, method, p``.
+
+    ``method="normal"`` corrects the variance for ties; ``method="exact"`` counts sign sets, ties included, and refuses a
+    group of more than ``most`` rows.  The method is the caller's, at every size.
+    """
+    if method not in ("normal", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     group = list(group)
     rows = df.filter(finite(difference) & (F.col(difference) != 0)).select(
         *group, F.abs(F.col(difference)).cast("double").alias("__d"), (F.col(difference) > 0).cast("int").alias("__up"))
     hist = value_counts(rows, group, "__d", {"__n": F.count(F.lit(1)), "__pos": F.sum("__up")})
     run = running(hist, group, ["__d"], [Total("__before", "__n")], split)
-    rank = F.coalesce("__before", F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
+    before = F.coalesce("__before", F.lit(0))
+    rank = before + (F.col("__n") + 1) / F.lit(2.0)
     t = F.col("__n").cast("double")
     out = run.groupBy(*group).agg(
         F.sum("__n").alias("n"), F.sum(F.col("__pos") * rank).alias("w_plus"),
@@ -106,11 +106,21 @@ def wilcoxon_signed(df, difference: str, group: Sequence[str] = (), exact_up_to:
     n = F.col("n").cast("double")
     low = F.least("w_plus", "w_minus")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("__ties") / 2.0) / 24.0)
-    z = F.try_divide(low - n * (n + 1) / 4.0, sd)
-    exact = (F.col("__ties") == 0) & (F.col("n") <= exact_up_to)
-    small_n = F.when(exact, n).otherwise(0.0)
-    p = F.when(exact, _wilcoxon_exact_p(low, small_n)).otherwise(normal_two_sided(z))
-    return out.withColumn("z", z).withColumn("p", p).drop("__ties")
+    out = out.withColumn("z", F.try_divide(low - n * (n + 1) / 4.0, sd)).withColumn("method", F.lit(method))
+    if method == "normal":
+        return out.withColumn("p", normal_two_sided(F.col("z"))).drop("__ties")
+
+    @F.pandas_udf(DoubleType())
+    def tail(ranks: pd.Series, counts: pd.Series, low: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_tail([int(v) for v in r], [int(v) for v in c], int(w)) for r, c, w in zip(ranks, counts, low)])
+
+    fits = out.withColumn("__low", F.when(F.col("n") <= most, (2 * low).cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a group of more than {most} rows has no exact null: n = "), F.col("n")))))
+    # At most ``most`` distinct ranks meet in a group.
+    blocks = attach(run.select(*group, (2 * before + F.col("__n") + 1).cast("long").alias("__r"), F.col("__n").alias("__c")), fits.select(*group, "__low"), group)
+    blocks = blocks.filter("__low is not null").groupBy(*group, "__low").agg(F.collect_list(F.struct("__r", "__c")).alias("__b"))
+    p = blocks.select(*group, tail(F.col("__b.__r"), F.col("__b.__c"), "__low").alias("p"))
+    return attach(out.drop("__ties"), p, group, "left")
 
 
 def sign_test(df, difference: str, group: Sequence[str] = ()) -> DataFrame:

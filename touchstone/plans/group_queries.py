@@ -402,14 +402,28 @@ with m as (select l_suppkey, l_linenumber, round(avg(case when l_returnflag = 'A
 k as (select l_linenumber, d, {arank('abs(d)', 'l_linenumber')} as rk, count(*) over (partition by l_linenumber, abs(d)) as ties from m where d <> 0 and d is not null),
 w as (select l_linenumber, count(*) as n, sum(case when d > 0 then rk else 0 end) as wp, sum(case when d < 0 then rk else 0 end) as wm, sum(ties * ties - 1.0) as tsum from k group by 1),
 z as (select *, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2.0 * n + 1) - tsum / 2) / 24) as z from w)
-select l_linenumber, cast(n as bigint) as n, {r('wp')} as w_plus, {r('wm')} as w_minus, {r('z')} as z, {r('2 * ' + normal_sf('abs(z)'), 5)} as p from z""")
+select l_linenumber, cast(n as bigint) as n, {r('wp')} as w_plus, {r('wm')} as w_minus, {r('z')} as z, 'normal' as method, {r('2 * ' + normal_sf('abs(z)'), 5)} as p from z""")
 def wilcoxon_signed(t):
     means = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.round(
         F.avg(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))) - F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), 9).alias("d"))
-    out = hy.wilcoxon_signed(means, "d", ["l_linenumber"], exact_up_to=0)
+    out = hy.wilcoxon_signed(means, "d", ["l_linenumber"])
     return rounded(out.withColumn("p", F.round("p", 5)))
 
 
+@query("wilcoxon_exact", f"""
+with m as (select o_orderpriority as g, month(o_orderdate) as k, round(avg(case when o_orderstatus = 'F' then o_totalprice end) - avg(case when o_orderstatus = 'O' then o_totalprice end), -4) as d from orders group by 1, 2),
+x as (select g, d, {arank('abs(d)', 'g')} as rk, row_number() over (partition by g order by k) as i from m where d <> 0 and d is not null),
+w as (select g, count(*) as n, coalesce(sum(rk) filter (d > 0), 0) as wp, coalesce(sum(rk) filter (d < 0), 0) as wm from x group by 1),
+s as (select x.g, b, sum(case when (b >> (i - 1)) % 2 = 1 then rk else 0 end) as t from x join w on w.g = x.g, (select unnest(range(4096)) as b) where b < (1 << n) group by 1, 2),
+p as (select s.g, least(1.0, 2 * avg(case when t <= least(wp, wm) then 1.0 else 0 end)) as p from s join w on w.g = s.g group by 1)
+select w.g as priority, cast(n as bigint) as n, {r('wp')} as w_plus, {r('wm')} as w_minus, 'exact' as method, {r('p')} as p from w join p on p.g = w.g""")
+def wilcoxon_exact(t):
+    """Months of the year as units: twelve signs at most, ties by rounding."""
+    side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    means = t.orders.groupBy(F.col("o_orderpriority").alias("priority"), F.month("o_orderdate").alias("k")).agg(F.round(side("F") - side("O"), -4).alias("d"))
+    return rounded(hy.wilcoxon_signed(means, "d", ["priority"], "exact").drop("z"))
+
+
 @query("sign_test", f"""
 with m as (select l_suppkey, l_linenumber, round(avg(case when l_returnflag = 'A' then l_quantity end) - avg(case when l_returnflag = 'R' then l_quantity end), 9) as d from lineitem group by 1, 2),
 c as (select l_linenumber, count(*) as n, sum(case when d > 0 then 1 else 0 end) as k, sum(case when d = 0 then 1 else 0 end) as ties from m where d is not null group by 1)
