@@ -58,6 +58,7 @@ def test_against_every_pair(spark, documents):
     for i in range(300):
         words = [rng.choice(stems[: rng.randint(1, len(stems))]) for _ in range(rng.randint(0, 40))]
         docs.append((i, " ".join(typo(w) if rng.random() < 0.4 else w.upper() if rng.random() < 0.1 else w for w in words)))
+    docs += [(400 + i, "KELVİN \u212AELVIN ÀBCDE Àbcde \u0130BCDEF ÉTAGES") for i in range(4)]  # signs that lower() would change
     docs += [(None, "aaaaa aaaab"), (7, None), (8, ""), (9, "12 34, --"), (9, "aaaaa aaaab")]
     want = brute(docs)
     assert len(want) > 150 and sum(1 for r in want if r[2] != r[0]) > 30

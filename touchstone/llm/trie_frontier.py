@@ -20,13 +20,18 @@ SALTED = 4096  # words under a node for each salt of its edges
 # ---- words
 
 
+def _lowered(text: Column) -> Column:
+    """A-Z lower-cased.  ``lower`` does it at once where the text has no other sign that it would change."""
+    return F.when(text.rlike(r"[^\x00-\x7F\u00DF-\u00FF]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def word_counts(docs: DataFrame, cut: int | None = 97, least_length: int = 5, least_count: int = 3) -> DataFrame:
     """``word`` and ``n`` of the runs of letters in all texts, A-Z lower-cased.
 
     With ``cut``, a run of whose ``<doc_id>:<run>`` the crc32 h is divisible by it loses its code point h mod length.
     """
-    text = F.translate(whole_text(docs), UPPER, LOWER)
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("word"))
+    runs = docs.select(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("id"), whole_text(docs).alias("text"))
+    runs = runs.select("id", F.explode(F.regexp_extract_all(_lowered(F.col("text")), F.lit(RUN), F.lit(0))).alias("word"))
     runs = runs.filter(F.length("word") >= least_length)
     if cut:
         runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "word")))
@@ -131,7 +136,7 @@ def _compacted(nodes: DataFrame) -> DataFrame:
         "back", "a", "b", only["next_a"].alias("end_a"), only["next_b"].alias("end_b"), (F.col("depth") + 1).alias("end_depth")))
     while True:
         ahead = chain.select("back", F.col("a").alias("end_a"), F.col("b").alias("end_b"), F.col("end_a").alias("far_a"),
-                             F.col("end_b").alias("far_b"), F.col("end_depth").alias("far_depth"))
+                             F.col("end_b").alias("far_b"), F.col("end_depth").alias("far_depth")).hint("merge")
         jumped = settle(chain.join(ahead, ["back", "end_a", "end_b"], "left").select(
             "back", "a", "b", F.coalesce("far_a", "end_a").alias("end_a"), F.coalesce("far_b", "end_b").alias("end_b"),
             F.coalesce("far_depth", "end_depth").alias("end_depth"), F.col("far_depth").isNotNull().alias("moved")))
@@ -154,7 +159,7 @@ def _edges(nodes: DataFrame, chains: DataFrame) -> DataFrame:
     """
     each = nodes.select("back", "a", "b", "depth", F.explode(F.sequence(F.lit(0), _salts(F.col("below")) - 1)).alias("salt"), "children")
     each = each.select("back", "a", "b", "salt", "depth", F.explode("children").alias("c")).select("back", "a", "b", "salt", "depth", "c.*")
-    end = chains.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), "end_a", "end_b", "end_depth")
+    end = chains.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), "end_a", "end_b", "end_depth").hint("merge")
     inner = (F.col("letter") != 0) & (F.col("below") > 1)
     first = F.when(F.col("letter") != 0, F.substring("word", F.col("depth") + 1, F.lit(1))).otherwise("")
     led = each.join(end, ["back", "next_a", "next_b"], "left").select(
@@ -163,7 +168,7 @@ def _edges(nodes: DataFrame, chains: DataFrame) -> DataFrame:
         F.when(inner, F.coalesce("end_a", "next_a")).alias("next_a"), F.when(inner, F.coalesce("end_b", "next_b")).alias("next_b"),
         _salts(F.col("below")).alias("next_salts"), "shortest", "longest")
     then = F.transform("children", lambda c: F.when(c["letter"] == 0, END).otherwise(F.substring(c["word"], F.col("depth") + 1, F.lit(1))))
-    ahead = nodes.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.array_join(then, "").alias("then"))
+    ahead = nodes.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.array_join(then, "").alias("then")).hint("merge")
     return led.join(ahead, ["back", "next_a", "next_b"], "left")
 
 
@@ -183,7 +188,7 @@ def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     """
     letter = F.when(F.col("edits") == 1, F.substring("word", F.col("position") + 1, F.lit(1)))  # the only edge it can take
     near = F.length("word").between(F.col("shortest") - 1, F.col("longest"))
-    met = states.withColumn("letter", letter).join(edges, ["back", "a", "b", "salt"])
+    met = states.withColumn("letter", letter).join(edges.hint("merge"), ["back", "a", "b", "salt"])
     met = met.filter(near & (F.col("letter").isNull() & ~F.col("ends") | (F.col("letter") == F.col("first"))))
     met = met.withColumn("rest", F.substring("word", F.col("position") + 1, F.length("word"))).withColumn(
         "label", F.substring("other", F.col("depth") + 1, F.coalesce(F.col("next_depth") - F.col("depth"), F.length("other"))))
@@ -222,14 +227,15 @@ def near_words(words: DataFrame) -> DataFrame:
     ``words`` has one row per ``word``, of letters up to code point 255.  Words that differ first in their second half share
     a node half way down the trie of words, all others one half way down the trie of words read backwards: the frontier
     starts there, one state per word and direction, and joins the edge table level by level until no state is left.  Chains
-    of nodes with one child are one edge, so levels are branchings, not letters.  Edges of a node that many words pass are
+    of nodes with one child are one edge, so levels are branchings, not letters.  The edge table is shuffled, never broadcast:
+    it would be sent anew at each level.  Edges of a node that many words pass are
     salted.  Nodes are named by 128-bit hashes, pairs are compared at the end.
     """
     nodes = settle(_trie(words))
     chains = _compacted(nodes)
     edges = settle(_edges(nodes, chains))
     begin = words.select("word").mapInArrow(_prefixes(True), STARTS)
-    states = settle(begin.join(nodes.select("back", "a", "b", "below"), ["back", "a", "b"]).select(
+    states = settle(begin.join(nodes.select("back", "a", "b", "below").hint("merge"), ["back", "a", "b"]).select(
         "back", "word", F.col("depth").alias("position"), F.lit(0).alias("edits"), "a", "b",
         F.pmod(F.xxhash64("word"), _salts(F.col("below"))).cast("int").alias("salt")))
     levels: list[DataFrame] = []
