@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchstone.operators import graph as gp
 from touchstone.operators import probes as pb
 from touchstone.operators import sampling as sa
+from touchstone.operators import triples as tr
 from touchstone.operators import vectors as ve
 from touchstone.operators.running import islands_by_gap
 from touchstone.plans.registry import drawn, query, r, rounded
@@ -320,6 +321,53 @@ def triple_scoring(t):
     return rounded(pb.triple_scoring(rows, models, "vec_id", "embedding", "label", "profile", F.col("label") < 7, negatives=2), 3)
 
 
+_EDGES = ", ".join(repr(e) for e in tr.bin_edges(8))
+_RANKERS = f"""e as (select vec_id as k, label, i, cast(embedding[i] as double) as x from embeddings, (select unnest(range(1, 65)) as i)),
+cl as (select label, row_number() over (order by label) - 1 as no, count(*) over () as c from (select distinct label from embeddings)),
+q as (select no, i, avg(x) as q from e join cl using (label) group by 1, 2),
+rw as (select vec_id as k, no, c, vec_id % 3 as g from embeddings join cl using (label)),
+pr as (select k, no, g, no as cand from rw union select k, no, g, (no + 1 + {drawn(0, 'k', 't')} % (c - 1)) % c from rw, (select unnest(range(2)) as t)),
+fx as (select p.*, e.i, unnest([0, 1, 2]) as b, unnest([x, q, x - q]) as v from pr p join e on e.k = p.k join q on q.no = p.cand and q.i = e.i),
+ms as (select i, b, avg(v) as m, stddev_samp(v) as sd from fx group by all),
+cn as (select no, cand, g, i, b, list_sum(list_transform([{_EDGES}], lambda t: case when round((v - m) / sd, 9) >= t then 1 else 0 end)) as bin, count(*) as n from fx join ms using (i, b) group by all),
+te as (select r.k, r.no, r.g, a.no as cand, e.i, unnest([0, 1, 2]) as b, unnest([x, q, x - q]) as v from rw r join e on e.k = r.k join q a on a.i = e.i),
+tb as (select k, no, g, cand, i, b, list_sum(list_transform([{_EDGES}], lambda t: case when round((v - m) / sd, 9) >= t then 1 else 0 end)) as bin from te join ms using (i, b))"""
+
+
+def _ranked_by(trains, tests, splits):
+    """SQL of the rankings under splits (``s``): counts that train, log ratios, block sums, ranks."""
+    return f"""sp as ({splits}), al as (select distinct s, i, b, bin from sp, (select unnest(range(1, 65)) as i), (select unnest(range(3)) as b), (select unnest(range(8)) as bin)),
+w0 as (select s, i, b, bin, sum(n) filter (no = cand) as t, sum(n) filter (no <> cand) as d from cn join sp on {trains} group by all),
+w1 as (select s, i, b, bin, coalesce(t, 0) as t, coalesce(d, 0) as d from al left join w0 using (s, i, b, bin)),
+w as (select s, i, b, bin, ln(t + 1) - ln(sum(t) over z + 8) - ln(d + 1) + ln(sum(d) over z + 8) as w from w1 window z as (partition by s, i, b)),
+sc as (select w.s, k, no, cand, w.b, sum(w) as v from tb join sp on {tests} join w on w.s = sp.s and w.i = tb.i and w.b = tb.b and w.bin = tb.bin group by all),
+fs as (select unnest(['vector', 'profile', 'difference', 'vector+profile', 'full']) as feature_set, unnest([[0], [1], [2], [0, 1], [0, 1, 2]]) as bs),
+sm as (select feature_set, s, k, no, cand, round(sum(v), 6) as v from sc join fs on list_contains(bs, b) group by all),
+rk as (select a.feature_set, a.s, a.k, 1 + count(o.cand) as r from sm a left join sm o on o.feature_set = a.feature_set and o.s = a.s and o.k = a.k and (o.v > a.v or (o.v = a.v and o.cand < a.cand)) where a.no = a.cand group by all)
+select s as split, feature_set, cast(count(*) as bigint) as n, {r('avg(case when r <= 1 then 1.0 else 0 end)', 4)} as top1, {r('avg(case when r <= 3 then 1.0 else 0 end)', 4)} as top3, {r('avg(1.0 / r)', 4)} as mrr from rk group by all"""
+
+
+def _profiled(t):
+    rows = t.embeddings.select("vec_id", "label", "embedding", (F.col("vec_id") % 3).cast("string").alias("site"))
+    return rows, ve.centroids(t.embeddings, ["label"], "embedding").select("label", F.col("centroid").alias("profile"))
+
+
+@query("class_transfer", f"""
+with {_RANKERS}, {_ranked_by('no <> sp.h and cand <> sp.h', 'tb.no = sp.h', 'select cast(label as varchar) as s, no as h from cl')}""")
+def class_transfer(t):
+    """Every class held out in turn, for every set of features."""
+    rows, classes = _profiled(t)
+    return rounded(tr.evaluate_rankers(rows, classes, "vec_id", "embedding", "label", "profile"), 4)
+
+
+@query("group_transfer", f"""
+with {_RANKERS}, {_ranked_by('cn.g = sp.a', 'tb.g = sp.z', "select cast(a as varchar) || ' to ' || cast(z as varchar) as s, a, z from (select unnest(range(3)) as a), (select unnest(range(3)) as z) where a <> z")}""")
+def group_transfer(t):
+    """Trained on one third of the rows, tested on another, for every set of features."""
+    rows, classes = _profiled(t)
+    return rounded(tr.evaluate_rankers(rows, classes, "vec_id", "embedding", "label", "profile", "groups", "site"), 4)
+
+
 # ---- time order
 
 @query("forward_validation", """
