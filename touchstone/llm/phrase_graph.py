@@ -262,7 +262,7 @@ def frequent_grams(docs: DataFrame, least: int = 100, longest: int = LONGEST) ->
     """Exact counts of all phrases of up to ``longest`` words that occur ``least`` times or more in a language.
 
     Returns ``grams`` (``lang``, ``words``, ``f``; words as 64-bit hashes), ``totals`` (``lang``, ``n``) and ``names``
-    (``word``, ``name`` of every word; two spellings under a hash are an error).
+    (``word``, ``name`` of every word of a phrase; two spellings under a hash are an error).
 
     The graph's nodes are phrases of ``longest`` - 1 words and its edges those of ``longest``.  Edges are counted once over
     the corpus: blocks combine their own, then buckets of whole grams.  Every shorter phrase is a node whose count is the
@@ -290,10 +290,10 @@ def frequent_grams(docs: DataFrame, least: int = 100, longest: int = LONGEST) ->
     rows = reduce(DataFrame.union, found)
     grams = settle(rows.filter("size > 0").select("lang", "words", "f"))
     totals = settle(above.filter("size = 0").groupBy("lang").agg(F.sum("f").alias("n")))
-    wanted = grams.select(F.explode("words").alias("word")).distinct()
+    wanted = grams.filter(F.size("words") > 1).select(F.explode("words").alias("word")).distinct()
     spelled = edges.filter("size = 0").select(F.explode(F.arrays_zip("words", "names")).alias("z")).select(F.col("z.words").alias("word"), F.col("z.names").alias("name"))
-    names = settle(spelled.join(wanted, "word", "left_semi").groupBy("word").agg(F.min("name").alias("name"), F.max("name").alias("other"))
-                   .select("word", F.when(F.col("name") == F.col("other"), F.col("name")).otherwise(
+    spelled = spelled.groupBy("word").agg(F.min("name").alias("name"), F.max("name").alias("other"))
+    names = settle(spelled.join(wanted, "word", "left_semi").select("word", F.when(F.col("name") == F.col("other"), F.col("name")).otherwise(
                        F.raise_error(F.lit("two words share a hash"))).alias("name")))
     for table in (edges, *old):
         discard(table)
