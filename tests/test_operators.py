@@ -441,3 +441,29 @@ def test_wilcoxon_exact_with_ties_and_refusal(spark):
     assert hy.wilcoxon_signed(many, "d", method="exact").first().method == "exact"
     with pytest.raises(Exception, match="no exact null"):
         hy.wilcoxon_signed(many, "d", method="exact", most=20).collect()
+
+
+@pytest.mark.parametrize("threshold,block", [(0.7, 1024), (0.5, 3), (0.9, 4), (1.0, 5), (0.0, 4)])
+def test_identity_clusters_are_exact(spark, threshold, block):
+    """Components of all pairs, for segments that few or most strings share, in blocks of any size."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 3, 7, 10, 10, 10, 23) for _ in range(12)]
+    texts += ["é" + t[1:] for t in texts[:20]] + [t[:-1] + "b" for t in texts[-30:]] + ["", "abcabcabcX", "abcabcabcY"]
+    got = {}
+    for r in gp.identity_clusters(frame(spark, list(enumerate(texts)), "k int, t string"), "k", "t", threshold, block).collect():
+        got.setdefault(r["component"], set()).add(texts[r["k"]])
+    distinct = sorted(set(texts))
+    parent = {t: t for t in distinct}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a, b in combinations(distinct, 2):
+        if a and len(a) == len(b) and sum(x == y for x, y in zip(a, b)) / len(a) >= threshold - 1e-12:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {}
+    for t in distinct:
+        want.setdefault(root(t), set()).add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,47 +78,104 @@ def missed_set_shape(df, text: str, score: str, label: str, budget: float) -> Da
     return component_shape(connected_components(edges, nodes=missed))
 
 
-def identity_clusters(df, key: str, text: str, threshold: float = 0.70, block_rows: int = 2048) -> DataFrame:
-    """(key, component): single-linkage clusters of equal-length strings with enough equal places.
+_CELLS = 1 << 24  # letters compared at once
 
-    Strings of one length are packed into hash blocks and compared block against block; a task
-    emits only a spanning forest of the matches it sees (fewer links than rows), which has the
-    same components as all matches.  Equal strings are compared once.
+
+def _alike(threshold: float):
+    """Of rows sorted by ``bucket``: links (``a``, ``b``) of a star per set of texts that alike pairs of a bucket connect.
+
+    Row i is compared with row i + d for d = 1, 2, ... while any two lie in one bucket, all buckets of a batch at once.
+    """
+
+    def pairs(bucket: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = letters.shape[1]
+        step = max(1, _CELLS // max(1, length))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, len(bucket)):
+            near = np.flatnonzero(bucket[d:] == bucket[:-d])
+            if not len(near):
+                break
+            for at in range(0, len(near), step):
+                i = near[at:at + step]
+                same = (letters[i] == letters[i + d]).mean(1) >= threshold - 1e-12
+                left.append(i[same])
+                right.append(i[same] + d)
+        return np.concatenate(left), np.concatenate(right)
+
+    def stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        root = np.arange(n)
+        while True:
+            low = np.minimum(root[left], root[right])
+            new = root.copy()
+            np.minimum.at(new, left, low)
+            np.minimum.at(new, right, low)
+            new = new[new]
+            if (new == root).all():
+                return root
+            root = new
+
+    def linked(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket = part["bucket"].to_numpy()
+        texts = np.array(part["t"].to_pylist(), object)
+        length = np.array([len(t) for t in texts])
+        for size in np.unique(length).tolist():
+            mine = np.flatnonzero(length == size)
+            letters = np.frombuffer("".join(texts[mine]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(mine), size)
+            left, right = pairs(bucket[mine], letters)
+            root = stars(len(mine), left, right)
+            moved = np.flatnonzero(root != np.arange(len(mine)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(texts[mine[moved]], pa.string()), pa.array(texts[mine[root[moved]]], pa.string())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            bucket = held["bucket"].to_numpy()
+            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            if whole:
+                yield from linked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from linked(held)
+
+    return run
+
+
+def identity_links(texts: DataFrame, threshold: float = 0.70, block_rows: int = 1024) -> DataFrame:
+    """Links (``a``, ``b``) among distinct texts ``t`` whose components are those of all pairs of equal length with enough
+    equal places.
+
+    Two texts of length n with at most m differing places agree on one of m + 1 segments, so texts meet on (length, segment,
+    letters of the segment) only, and each meeting is compared letter by letter: exact, without a join of all blocks.  A
+    segment value that many texts share is dealt to pairs of blocks of ``block_rows``, so no task takes all of it; a task
+    emits fewer links than it has rows.
+    """
+    rows = texts.select("t", F.length("t").alias("n")).filter("n > 0")
+    apart = F.floor((1 - threshold) * F.col("n") + 1e-9).cast("int")
+    rows = rows.withColumn("parts", F.least(apart + 1, F.col("n"))).withColumn("every", apart >= F.col("n"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("every"), 0).otherwise(F.col("parts") - 1))))
+    begin, end = (F.floor(F.col("n") * (F.col("i") + k) / F.col("parts")).cast("int") for k in (0, 1))
+    segment = F.when(F.col("every"), "").otherwise(F.substring("t", begin + 1, end - begin))
+    rows = rows.select("t", F.xxhash64("n", "i", segment).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("k") / block_rows).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = met.select("t", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "t").mapInArrow(_alike(threshold), "a string, b string")
+
+
+def identity_clusters(df, key: str, text: str, threshold: float = 0.70, block_rows: int = 1024) -> DataFrame:
+    """(key, component): single-linkage clusters of equal-length strings with enough equal places (:func:`identity_links`).
+
+    Equal strings are compared once; a null string has no cluster.
     """
-    texts = df.select(F.col(text).alias("t")).distinct().withColumn("len", F.length("t"))
-    sizes = texts.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
-    placed = texts.join(sizes, "len").withColumn("b", F.pmod(F.xxhash64("t"), F.col("nb")).cast("int"))
-    packed = placed.groupBy("len", "nb", "b").agg(F.collect_list("t").alias("ts"))  # about block_rows each
-    left = packed.withColumn("rb", F.explode(F.sequence(F.col("b"), F.col("nb") - 1))).withColumnRenamed("ts", "ls")
-    pairs = left.join(packed.select("len", F.col("b").alias("rb"), F.col("ts").alias("rs")), ["len", "rb"])
-
-    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ls, rs in zip(pdf["ls"], pdf["rs"]):
-                ls, rs = list(ls), list(rs)
-                if not ls or not ls[0]:
-                    continue
-                b = np.array([[ord(c) for c in s] for s in rs], dtype=np.int32)
-                parent = {s: s for s in (*ls, *rs)}
-
-                def root(s):
-                    while parent[s] != s:
-                        parent[s] = parent[parent[s]]
-                        s = parent[s]
-                    return s
-
-                links = []
-                for s in ls:
-                    same = (b == np.array([ord(c) for c in s], dtype=np.int32)).mean(1)
-                    for j in np.flatnonzero(same >= threshold - 1e-12):
-                        x, y = root(s), root(rs[j])
-                        if x != y:
-                            parent[max(x, y)] = min(x, y)
-                            links.append((s, rs[j]))
-                yield pd.DataFrame(links, columns=["src", "dst"])
-
-    edges = pairs.select("ls", "rs").mapInPandas(forest, "src string, dst string")
-    comp = connected_components(edges, nodes=texts.select(F.col("t").alias("node")))
+    texts = df.filter(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct()
+    comp = connected_components(identity_links(texts, threshold, block_rows), "a", "b", nodes=texts.select(F.col("t").alias("node")))
     return df.select(key, text).join(comp.withColumnRenamed("node", text), text).select(key, "component")
 
 
