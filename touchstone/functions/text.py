@@ -107,9 +107,10 @@ def rotate(text, k: int) -> Column:
     return F.concat(t.substr(F.lit(k + 1), F.length(t)), F.substring(t, 1, k))
 
 
-def blocks(text, size: int) -> Column:
-    """The string cut into consecutive whole blocks of ``size`` letters; a short tail is left out."""
-    return F.regexp_extract_all(col(text), F.lit(f"([\\s\\S]{{{size}}})"), F.lit(1))
+def blocks(text, size: int, tail: bool = False) -> Column:
+    """The string cut into consecutive whole blocks of ``size`` letters; with ``tail`` the rest is a last, shorter one."""
+    least = 1 if tail else size
+    return F.regexp_extract_all(col(text), F.lit(f"([\\s\\S]{{{least},{size}}})"), F.lit(1))
 
 
 def translate_codons(text, to_stop: bool = True) -> Column:
@@ -129,15 +130,26 @@ def chunk_bounds(flank: int, chunk: int) -> list[tuple[int, int, int]]:
     return [(i, i * chunk, (i + 1) * chunk) for i in range(flank // chunk)]
 
 
-def chunk_inputs(text, start, end, flank: int, chunk: int) -> Column:
+def chunk_inputs(text, start, end, flank: int | None, chunk: int) -> Column:
     """Array of (chunk_index, text): the span [start, end) with its i-th chunk on both sides.
 
-    With no flank there is one entry, the bare span.  Offsets are 0-based columns.
+    ``flank`` letters on both sides must be there, and with none there is one entry, the bare span.  ``flank`` None goes to
+    both ends of the text: the outermost chunks may be short, or empty where the other side is longer.  Offsets are 0-based
+    columns.
     """
     t, s, e = col(text), col(start).cast("int"), col(end).cast("int")
     core = t.substr(s + 1, e - s)
     if flank == 0:
         return F.array(F.struct(F.lit(0).alias("chunk"), core.alias("text")))
+    if flank is None:
+        longest = F.greatest(s, F.length(t) - e, F.lit(1))
+
+        def part(i: Column) -> Column:
+            far = F.greatest(s - (i + 1) * chunk, F.lit(0))
+            before = t.substr(far + 1, F.greatest(s - i * chunk - far, F.lit(0)))
+            return F.struct(i.alias("chunk"), F.concat(before, core, t.substr(e + i * chunk + 1, F.lit(chunk))).alias("text"))
+
+        return F.transform(F.sequence(F.lit(0), (F.ceil(longest / chunk) - 1).cast("int")), part)
     parts = []
     for i, near, far in chunk_bounds(flank, chunk):
         before = t.substr(s - F.lit(far) + 1, F.lit(chunk))

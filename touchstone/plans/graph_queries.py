@@ -68,12 +68,12 @@ def identity_clusters(t):
 
 
 @query("prefix_identity_clusters", f"""
-with recursive {_CODES}, rep as (select substr(c, 1, 3) as p, min(c) as c from codes group by 1), nodes as (select distinct substr(c, 3) as c from rep), {_linked(1)},
-grp as (select comp, min(p) as cluster from rep join cc on cc.node = substr(rep.c, 3) group by 1)
-select codes.c, cluster from codes join rep on rep.p = substr(codes.c, 1, 3) join cc on cc.node = substr(rep.c, 3) join grp on grp.comp = cc.comp""")
+with recursive {_CODES}, rep as (select substr(c, 1, 3) as p, min(c) as c from codes group by 1), nodes as (select distinct c from rep), {_linked(2)},
+grp as (select comp, min(p) as cluster from rep join cc on cc.node = rep.c group by 1)
+select codes.c, cluster from codes join rep on rep.p = substr(codes.c, 1, 3) join cc on cc.node = rep.c join grp on grp.comp = cc.comp""")
 def prefix_identity_clusters(t):
-    rows = _codes(t).select("c", F.substring("c", 3, 4).alias("text"))
-    return gp.prefix_then_identity_clusters(rows, "c", "text", 3, 0.70)
+    rows = _codes(t).select("c", F.col("c").alias("text"))
+    return gp.prefix_then_identity_clusters(rows, "c", "text", 3, 0.60)
 
 
 @query("ruggedness", f"""
@@ -253,15 +253,15 @@ def variance_explained(t):
 
 
 _CKA = """u as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings), c as (select vec_id, i, v - avg(v) over (partition by i) as v from u),
-  x as (select vec_id, i, v from c where i <= 8), y as (select vec_id, i, v from c where i > 56), xy as (select x.i, y.i as j, sum(x.v * y.v) as s from x join y using (vec_id) group by 1, 2),
+  x as (select vec_id, i, v from c where i <= 32), y as (select vec_id, i, v from c where i > 32), xy as (select x.i, y.i as j, sum(x.v * y.v) as s from x join y using (vec_id) group by 1, 2),
   xx as (select a.i, b.i as j, sum(a.v * b.v) as s from x a join x b using (vec_id) group by 1, 2), yy as (select a.i, b.i as j, sum(a.v * b.v) as s from y a join y b using (vec_id) group by 1, 2)"""
 
 
 @query("linear_cka", f"""
 with {_CKA} select (select count(*) from embeddings) as n, {r('(select sum(s * s) from xy) / (sqrt((select sum(s * s) from xx)) * sqrt((select sum(s * s) from yy)))')} as cka""")
 def linear_cka(t):
-    rows = t.embeddings.select("vec_id", F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 57, 8).alias("y"))
-    return rounded(ve.linear_cka(rows, "x", "y", 8, 8))
+    rows = t.embeddings.select("vec_id", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    return rounded(ve.linear_cka(rows, "x", "y", 32, 32))
 
 
 @query("contrast_vector", f"""

@@ -59,11 +59,16 @@ def kmer_features(t):
     return rounded(sq.kmer_counts(t.documents.select("lang", F.lower("text").alias("text")), "lang", "text", 3, "[a-z]"), 8)
 
 
-@query("composition_features", """
-with f as (select item_id, (length(text) - length(replace(text, 'e', ''))) / length(text) as e, (length(text) - length(replace(text, 't', ''))) / length(text) as t, length(text) * 1.0 as n from benchmark)
-select item_id, round(e / stddev_pop(e) over (), 6) + 0.0 as f_e, round(t / stddev_pop(t) over (), 6) + 0.0 as f_t, round(n / stddev_pop(n) over (), 6) + 0.0 as f_length from f""")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_SHARES = ", ".join(f"(length(text) - length(replace(text, '{c}', ''))) / length(text) as {c}_" for c in _ALPHABET)
+_SCALED = ", ".join(f"round(case when stddev_pop({c}_) over () > 1e-9 then {c}_ / stddev_pop({c}_) over () else {c}_ end, 6) + 0.0 as f_{c}" for c in _ALPHABET)
+
+
+@query("composition_features", f"""
+with f as (select item_id, {_SHARES}, length(text) * 1.0 as n from benchmark)
+select item_id, {_SCALED}, round(n / stddev_pop(n) over (), 6) + 0.0 as f_length from f""")
 def composition_features(t):
-    return rounded(sq.composition_features(t.benchmark, "item_id", "text", ["e", "t"]))
+    return rounded(sq.composition_features(t.benchmark, "item_id", "text", list(_ALPHABET)))
 
 
 @query("pwm_score", f"""
@@ -136,22 +141,27 @@ def hamming_identity(t):
 
 
 @query("chunk_aggregate", f"""
-with l as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) - 1 as i, length(text) // 40 as whole from documents),
-c as (select doc_id, i // 40 as chunk, sum(case when c = 'e' then 1 else 0 end) as v from l where i // 40 < whole group by 1, 2)
+with l as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) - 1 as i from documents where text <> ''),
+c as (select doc_id, i // 40 as chunk, sum(case when c = 'e' then 1 else 0 end) as v from l group by 1, 2)
 select doc_id, cast(count(*) as bigint) as chunks, {r('avg(v)')} as mean, {r('quantile_cont(v, 0.5)')} as median, cast(max(v) as bigint) as max, cast(min(v) as bigint) as min,
   cast(arg_min(v, chunk) as bigint) as nearest, cast(arg_max(v, chunk) as bigint) as farthest from c group by 1""")
 def chunk_aggregate(t):
-    rows = t.documents.select("doc_id", F.posexplode(tx.blocks("text", 40)).alias("chunk", "part"))
+    """Every letter of every text counts: the last chunk of a text is as long as what is left."""
+    rows = t.documents.select("doc_id", F.posexplode(tx.blocks("text", 40, tail=True)).alias("chunk", "part"))
     rows = rows.select("doc_id", "chunk", (F.length("part") - F.length(F.replace("part", F.lit("e"), F.lit("")))).cast("long").alias("v"))
     return rounded(gr.chunk_aggregate(rows, ["doc_id"], "chunk", "v"))
 
 
 @query("chunk_inputs", """
-with d as (select doc_id, text, length(text) // 2 as a from documents where length(text) >= 400)
-select doc_id, cast(i as int) as chunk, md5(substr(text, cast(a - (i + 1) * 50 as int) + 1, 50) || substr(text, cast(a as int) + 1, 10) || substr(text, cast(a + 10 + i * 50 as int) + 1, 50)) as digest from d, unnest(range(0, 3)) as u(i)""")
+with d as (select doc_id, text, length(text) as n, length(text) // 2 as s, least(length(text), length(text) // 2 + 10) as e from documents),
+c as (select *, unnest(range(cast(ceil(greatest(s, n - e, 1) / 50.0) as bigint))) as i from d)
+select doc_id, cast(i as int) as chunk, md5(substr(text, cast(greatest(s - (i + 1) * 50, 0) + 1 as int), cast(greatest(s - i * 50 - greatest(s - (i + 1) * 50, 0), 0) as int))
+  || substr(text, cast(s + 1 as int), cast(e - s as int)) || substr(text, cast(e + i * 50 + 1 as int), 50)) as digest from c""")
 def chunk_inputs(t):
-    rows = t.documents.filter(F.length("text") >= 400).withColumn("a", F.floor(F.length("text") / 2).cast("int"))
-    rows = rows.select("doc_id", F.explode(tx.chunk_inputs("text", "a", F.col("a") + 10, 150, 50)).alias("c"))
+    """Ten letters at the middle of each text with chunks going out to both of its ends."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = t.documents.filter(F.col("text").isNotNull()).withColumn("s", half).withColumn("e", F.least(F.length("text"), half + 10))
+    rows = rows.select("doc_id", F.explode(tx.chunk_inputs("text", "s", "e", None, 50)).alias("c"))
     return rows.select("doc_id", "c.chunk", F.md5("c.text").alias("digest"))
 
 
