@@ -6,8 +6,10 @@ shuffle, so that the rows that move are distinct n-grams, not letters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,97 @@ def transition_counts(df, key: str, text, order: int, period: int = 1, alphabet:
     return plain.groupBy(key, "phase", "context", "letter").agg(F.count(F.lit(1)).alias("n"))
 
 
+DENSE_CELLS = 1 << 20
+
+
+def _transitions(order: int, period: int, alphabet: str):
+    """Of a batch of texts: (text number, cell, n) of its transitions, cell = (phase, context, letter) as one number."""
+    size, places = len(alphabet), order + 1
+    code = np.full(0x110000, -1, np.int32)
+    code[[ord(c) for c in alphabet]] = np.arange(size)
+    cells = period * size**places
+
+    def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = np.array([len(t or "") for t in texts], np.int64)
+        points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = code[points]
+        n = len(letter) - order
+        if n <= 0:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        row = np.repeat(np.arange(len(texts)), length)
+        at = np.arange(len(letter)) - np.repeat(np.cumsum(length) - length, length)
+        ok = row[:n] == row[order:]
+        cell = np.zeros(n, np.int64)
+        for j in range(places):
+            ok &= letter[j:j + n] >= 0
+            cell = cell * size + letter[j:j + n]
+        cell += (at[:n] + order) % period * size**places
+        keys, counts = np.unique(row[:n][ok] * cells + cell[ok], return_counts=True)
+        return keys // cells, keys % cells, counts
+
+    return count
+
+
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a batch's texts of about ``most`` letters."""
+    texts = batch["text"].to_pylist()
+    at = 0
+    while at < len(texts):
+        end, letters_ = at, 0
+        while end < len(texts) and (end == at or letters_ + len(texts[end] or "") <= most):
+            letters_ += len(texts[end] or "")
+            end += 1
+        yield at, end, texts[at:end]
+        at = end
+
+
+def _dense_markov(df, extra, text, order, period, alphabet, pseudocount, fit, leave_one_out, corpus, corpus_text) -> DataFrame:
+    size = len(alphabet)
+    cells = period * size ** (order + 1)
+    count = _transitions(order, period, alphabet)
+    total = np.zeros(cells)
+    if fit == "corpus":
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(cells, np.int64)
+            for batch in batches:
+                for _, _, texts in _slices(batch):
+                    _, cell, n = count(texts)
+                    own += np.bincount(cell, weights=n, minlength=cells).astype(np.int64)
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], ["cell", "n"])
+
+        parts = spread(corpus.select(col(corpus_text).alias("text"))).mapInArrow(summed, "cell bigint, n bigint")
+        found = parts.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most DENSE_CELLS rows
+        if found:
+            total[[r["cell"] for r in found]] = [r["n"] for r in found]
+    contexts = total.reshape(-1, size).sum(1)
+    own_fit, less = fit == "self", leave_one_out
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in _slices(batch):
+                row, cell, n = count(texts)
+                if not len(row):
+                    continue
+                place, at = np.unique(row * (cells // size) + cell // size, return_inverse=True)
+                own = np.bincount(at, weights=n)
+                context = place % (cells // size)
+                fitted = n if own_fit else total[cell] - (n if less else 0)
+                around = own if own_fit else contexts[context] - (own if less else 0)
+                mass = np.bincount(row, weights=n * np.log(fitted + pseudocount), minlength=hi - lo)
+                mass -= np.bincount(place // (cells // size), weights=own * np.log(around + size * pseudocount), minlength=hi - lo)
+                steps = np.bincount(row, weights=n, minlength=hi - lo).astype(np.int64)
+                have = np.flatnonzero(steps)
+                take = pa.array(have + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[e].take(take) for e in extra], pa.array(steps[have]), pa.array(mass[have] / steps[have])], [*extra, "transitions", "score"])
+
+    rows = spread(df.select(*extra, col(text).alias("text")) if "text" not in extra else df.select(*extra))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*extra).schema.fields)
+    return rows.mapInArrow(scored, f"{kinds}, transitions bigint, score double")
+
+
 def markov_scores(
     df, key: str, text, order: int, period: int = 1, alphabet: str = "ACGT", pseudocount: float = 1.0,
     fit: str = "corpus", leave_one_out: bool = False, corpus: DataFrame | None = None, corpus_text=None,
@@ -90,9 +183,15 @@ def markov_scores(
     the scored texts).  With ``leave_one_out`` a text's own corpus entry (same key) is taken out
     of the totals.  ``score_key`` names a finer key when several texts are scored per corpus
     entry (a text and its perturbations).
+
+    A model of up to ``DENSE_CELLS`` transitions, a bound on alphabet and order and not on texts, is one vector that tasks
+    add up and get back: two passes over the texts without a shuffle of their rows.  Larger models are joined.
     """
     size = len(alphabet)
     extra = [key] if score_key is None else [key, score_key]
+    alone = corpus is None and score_key is None
+    if period * size ** (order + 1) <= DENSE_CELLS and (alone or fit == "corpus" and not leave_one_out):
+        return _dense_markov(df, extra, text, order, period, alphabet, pseudocount, fit, leave_one_out, df if corpus is None else corpus, text if corpus is None else corpus_text or text)
     cells, place = ["phase", "context", "letter"], ["phase", "context"]
     tagged = df.select(F.struct(*extra).alias("__unit"), col(text).alias("__text")) if score_key else df.select(key, col(text).alias("__text"))
     mine = transition_counts(tagged, "__unit" if score_key else key, "__text", order, period, alphabet)
