@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from touchstone.llm.common import discard, mixed, settle, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN = "[a-zÀ-ÿ]+"
 END = "."  # stands for the end of a word
+AHEAD = 3
 SALTED = 4096  # words under a node for each salt of its edges
 
 # ---- words
@@ -31,7 +31,7 @@ def word_counts(docs: DataFrame, cut: int | None = 97, least_length: int = 5, le
     With ``cut``, a run of whose ``<doc_id>:<run>`` the crc32 h is divisible by it loses its code point h mod length.
     """
     runs = docs.select(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("id"), whole_text(docs).alias("text"))
-    runs = runs.select("id", F.explode(F.regexp_extract_all(_lowered(F.col("text")), F.lit(RUN), F.lit(0))).alias("word"))
+    runs = runs.select("id", F.explode(F.split(_lowered(F.col("text")), "[^a-zÀ-ÿ]+")).alias("word"))
     runs = runs.filter(F.length("word") >= least_length)
     if cut:
         runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "word")))
@@ -154,8 +154,8 @@ def _edges(nodes: DataFrame, chains: DataFrame) -> DataFrame:
     """Edges of the trie, repeated for each salt of their node.
 
     ``other`` spells the label, its letters ``depth`` to ``next_depth``; an edge to a single word has no next node, and
-    one at which a word ends has no label.  ``then`` holds the letters that lead on from the next node, ``shortest`` and
-    ``longest`` the lengths of the words behind the edge.
+    one at which a word ends has no label.  ``then`` holds the letters that lead on from the next node, ``AHEAD`` of them
+    where a single word does, ``shortest`` and ``longest`` the lengths of the words behind the edge.
     """
     each = nodes.select("back", "a", "b", "depth", F.explode(F.sequence(F.lit(0), _salts(F.col("below")) - 1)).alias("salt"), "children")
     each = each.select("back", "a", "b", "salt", "depth", F.explode("children").alias("c")).select("back", "a", "b", "salt", "depth", "c.*")
@@ -167,7 +167,10 @@ def _edges(nodes: DataFrame, chains: DataFrame) -> DataFrame:
         F.when(inner, F.coalesce("end_depth", F.col("depth") + 1)).alias("next_depth"),
         F.when(inner, F.coalesce("end_a", "next_a")).alias("next_a"), F.when(inner, F.coalesce("end_b", "next_b")).alias("next_b"),
         _salts(F.col("below")).alias("next_salts"), "shortest", "longest")
-    then = F.transform("children", lambda c: F.when(c["letter"] == 0, END).otherwise(F.substring(c["word"], F.col("depth") + 1, F.lit(1))))
+    # The letters that a lone word goes on with, one letter and a star where several words do.
+    then = F.transform("children", lambda c: F.concat(F.lit("|"), F.when(c["letter"] == 0, END * AHEAD).when(
+        c["below"] > 1, F.concat(F.substring(c["word"], F.col("depth") + 1, F.lit(1)), F.lit("*"))).otherwise(
+        F.rpad(F.substring(c["word"], F.col("depth") + 1, F.lit(AHEAD)), AHEAD, END))))
     ahead = nodes.select("back", F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.array_join(then, "").alias("then")).hint("merge")
     return led.join(ahead, ["back", "next_a", "next_b"], "left")
 
@@ -203,9 +206,11 @@ def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
         return F.when(when, F.struct(position.cast("int").alias("position"), edits.cast("int").alias("edits")))
 
     def onward(position: Column, reached: Column) -> Column:
-        """Whether words of the ``reached`` length lie ahead, the letter at ``position`` next."""
-        sign = F.when(position == length, F.lit(END)).otherwise(F.substring("word", position + 1, F.lit(1)))
-        return reached.between(F.col("shortest"), F.col("longest")) & (F.instr("then", sign) > 0)
+        """Whether words of the ``reached`` length lie ahead, the letters from ``position`` on next."""
+        sign = F.rpad(F.substring("word", position + 1, F.lit(AHEAD)), AHEAD, END)
+        many = F.concat(F.lit("|"), F.substring(sign, 1, 1), F.lit("*"))
+        met = F.contains(F.col("then"), F.concat(F.lit("|"), sign)) | F.contains(F.col("then"), many)
+        return reached.between(F.col("shortest"), F.col("longest")) & met
 
     exchanged = (F.length("rest") > F.col("k")) & F.startswith(F.substring("rest", F.col("k") + 2, F.length("rest")), after)
     inserted = F.startswith(F.substring("rest", F.col("k") + 1, F.length("rest")), after)
