@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchstone.functions import edits as ed
 from touchstone.functions import text as tx
-from touchstone.functions.tables import HYDROPATHY, context_grid
+from touchstone.functions.tables import CODONS, HYDROPATHY, context_grid
 from touchstone.operators import groups as gr
 from touchstone.operators import sequences as sq
 from touchstone.operators import spectra as sp
@@ -23,13 +23,22 @@ def sanitize(t):
     return t.documents.select("doc_id", F.length(tx.sanitize("text")).alias("kept"))
 
 
-@query("longest_run")
+_RUNS = """ch as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents where text <> ''),
+is_ as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) as island from ch),
+lr as (select doc_id, max(n) as longest from (select doc_id, count(*) as n from is_ group by doc_id, c, island) group by 1),
+dr as (select d.*, coalesce(longest, 0) as longest, longest * 1.0 / nullif(length(text), 0) as fraction, case when coalesce(longest * 1.0 / nullif(length(text), 0) > 0.3, true) then 1 else 0 end as bad
+       from documents d left join lr using (doc_id))"""
+
+
+@query("longest_run", f"""
+with {_RUNS} select source, cast(max(longest) as int) as longest, cast(sum(bad) as bigint) as degenerate from dr group by 1""")
 def longest_run(t):
-    """Back-references are not in the SQL engine's regular expressions; tests use brute force."""
     return t.documents.groupBy("source").agg(F.max(tx.longest_run("text")).alias("longest"), F.sum(tx.is_degenerate("text").cast("int")).alias("degenerate"))
 
 
-@query("quality_profile")
+@query("quality_profile", f"""
+with {_RUNS} select source, lang, cast(count(*) as bigint) as n, cast(sum(bad) as bigint) as degenerate, {r('avg(bad)')} as degenerate_rate, {r('avg(fraction)')} as mean_run_fraction,
+  {r('avg(case when length(text) > 0 then 1.0 else 0 end)')} as valid_rate, {r('quantile_cont(fraction, 0.5)')} as median_run_fraction from dr group by 1, 2""")
 def quality_profile(t):
     return rounded(gr.quality_profile(t.documents, "text", ["source", "lang"]))
 
@@ -165,7 +174,16 @@ def chunk_inputs(t):
     return rows.select("doc_id", "c.chunk", F.md5("c.text").alias("digest"))
 
 
-@query("translate_codons")
+_CODONS = ", ".join(f"('{c}', '{a}')" for c, a in CODONS.items())
+
+
+@query("translate_codons", f"""
+with h as (select * from (values {", ".join(f"('{a}', {v!r})" for a, v in HYDROPATHY.items())}) v(a, v)), co as (select * from (values {_CODONS}) v(codon, aa)),
+c as (select doc_id, source, regexp_replace(upper(regexp_replace(text, '<[^>]*>', '', 'g')), '[^ACGT]', '', 'g') as s from documents),
+k as (select doc_id, s, unnest(range(length(s) // 3)) as i from c), j as (select doc_id, i, coalesce(aa, 'X') as aa from k left join co on codon = substr(s, cast(3 * i + 1 as int), 3)),
+z as (select doc_id, min(i) filter (aa = '*') as stop from j group by 1), p as (select j.doc_id, aa from j join z using (doc_id) where stop is null or i < stop),
+m as (select doc_id, count(*) as n, avg(v) as hy from p left join h on h.a = aa group by 1)
+select source, {r('avg(coalesce(n, 0))')} as mean_length, cast(sum(case when coalesce(n, 0) >= 5 then 1 else 0 end) as bigint) as long_enough, {r('avg(hy)')} as mean_hydropathy from c left join m using (doc_id) group by 1""")
 def translate_codons(t):
     rows = t.documents.select("source", tx.translate_codons(tx.sanitize("text", "ACGT")).alias("p"))
     return rounded(rows.groupBy("source").agg(F.avg(F.length("p")).alias("mean_length"), F.sum((F.length("p") >= 5).cast("int")).alias("long_enough"),
@@ -272,7 +290,15 @@ def reference_from_variants(t):
     return sq.reference_from_variants(t.part.select(F.col("p_brand").alias("g"), "p_name", edit.alias("e")), ["g"], "p_name", "e")
 
 
-@query("property_comparison")
+_HYDROPATHY = ", ".join(f"('{a}', {v!r})" for a, v in HYDROPATHY.items())
+
+
+@query("property_comparison", f"""
+with h as (select * from (values {_HYDROPATHY}) v(a, v)), s as (select p_partkey, p_type, replace(upper(p_name), ' ', '') as a from part),
+l as (select p_partkey, p_type, unnest(string_split(a, '')) as x, unnest(string_split(reverse(a), '')) as y from s where a <> ''),
+k as (select p_partkey, p_type, x, y, abs(hx.v - hy.v) as ch from l left join h hx on hx.a = x left join h hy on hy.a = y where x <> y and x not in ('X', '*') and y not in ('X', '*')),
+m as (select p_partkey, count(*) as n, avg(ch) as ch from k group by 1)
+select p_type, cast(sum(coalesce(n, 0)) as bigint) as substitutions, {r('avg(ch)')} as mean_abs_change from s left join m using (p_partkey) group by 1""")
 def property_comparison(t):
     a = F.regexp_replace(F.upper("p_name"), " ", "")
     rows = t.part.select("p_type", "p_partkey", a.alias("a"), F.reverse(a).alias("b"))
