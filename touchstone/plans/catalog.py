@@ -8,7 +8,7 @@ from touchstone.plans.registry import ORACLES, QUERIES
 
 _MODULES = [
     "agreement_queries", "operating_queries", "group_queries", "resample_queries", "model_queries", "text_queries", "graph_queries",
-    "plugin_queries",
+    "plugin_queries", "source_queries",
 ]
 
 for _name in _MODULES:

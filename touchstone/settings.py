@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +78,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if leaf_bytes(df) < cores * split else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, set from ``spark.checkpoint.dir``; one of this machine only serves a local master."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
