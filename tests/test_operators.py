@@ -467,3 +467,16 @@ def test_identity_clusters_are_exact(spark, threshold, block):
     for t in distinct:
         want.setdefault(root(t), set()).add(t)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_condition_number_of_many_profiles(spark):
+    rng = np.random.default_rng(8)
+    for count in (500, 7):
+        m = rng.random((count, 12)) + np.eye(12)[np.arange(count) % 12]
+        rows = [(f"p{i}", f"c{j:02d}", float(m[i, j])) for i in range(count) for j in range(12)]
+        df = frame(spark, rows, "profile string, context string, share double")
+        got = sp.profile_collinearity(df, "profile", "context", "share").first()
+        assert got["condition_number"] == pytest.approx(np.linalg.cond(m), rel=1e-7)
+        assert got["pairs"] == count * (count - 1) // 2
+    twice = frame(spark, [(p, c, v) for p in "ab" for c, v in (("x", 1.0), ("y", 2.0), ("z", 0.0))], "profile string, context string, share double")
+    assert sp.profile_collinearity(twice, "profile", "context", "share").first()["condition_number"] is None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from touchstone.functions.text import substitutions
+from touchstone.operators.linear import gram
 from touchstone.operators.running import attach, with_scalars
 from touchstone.settings import BROADCAST_BYTES, setting
 
@@ -139,14 +139,30 @@ def profile_cosines(profiles: DataFrame, profile: str, channel: str, value: str)
     return pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
 
 
+@F.pandas_udf(DoubleType())
+def _condition(xtx: pd.Series, n: pd.Series) -> pd.Series:
+    """Largest over smallest singular value from a moment matrix with a leading intercept; null where it is singular."""
+    out = []
+    for a, rows in zip(xtx, n):
+        p = int(round(np.sqrt(len(a))))
+        values = np.linalg.eigvalsh(np.asarray(a, float).reshape(p, p)[1:, 1:])[::-1]
+        low = values[min(int(rows), len(values)) - 1] if len(values) else 0.0
+        out.append(float(np.sqrt(values[0] / low)) if low > values[0] * 1e-13 else None)
+    return pd.Series(out, dtype=object)
+
+
 def profile_collinearity(profiles: DataFrame, profile: str, channel: str, value: str, high: float = 0.8) -> DataFrame:
-    """Mean and largest pairwise cosine, pairs above ``high`` and the matrix condition number."""
-    _, matrix = _profile_matrix(profiles, profile, channel, value)
-    condition = float(np.linalg.cond(matrix))
+    """Mean and largest pairwise cosine, pairs above ``high`` and the matrix condition number.
+
+    Products of channels are added up over profiles inside tasks, so any number of profiles becomes one matrix of the
+    channel grid's size; its eigenvalues are the squared singular values.  A singular matrix has no condition number.
+    """
+    vectors = _vectors(profiles, [profile], channel, value, "__v").withColumn("__zero", F.lit(0.0))
+    moments = gram(vectors, "__v", ["__zero"]).select(_condition("xtx", "n").alias("condition_number"))
     out = profile_cosines(profiles, profile, channel, value).agg(
         F.count(F.lit(1)).alias("pairs"), F.avg("cosine").alias("mean_cosine"), F.max("cosine").alias("max_cosine"),
         F.sum((F.col("cosine") > high).cast("int")).alias("pairs_high"))
-    return out.withColumn("condition_number", F.lit(condition) if math.isfinite(condition) else F.lit(None).cast("double"))
+    return with_scalars(out, moments)
 
 
 def top_partners(cosines: DataFrame, of, k: int = 3) -> DataFrame:
