@@ -10,17 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchstone.functions.numeric import finite
 from touchstone.operators.agreement import auc_counts, spearman
+from touchstone.sources.bucketed import append_bucketed
 from touchstone.sources.writers import append_new
 
 
-def append_new_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def append_new_stream(
+    stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, trigger: dict | None = None, buckets: int | None = None,
+) -> StreamingQuery:
     """Append rows with unseen keys from a stream; the result equals one batch append of all input.
 
-    Each micro-batch anti-joins the sink, so a replayed batch after a failure adds nothing.
+    Each micro-batch anti-joins the sink, so a replayed batch after a failure adds nothing.  With ``buckets`` the sink is
+    that of :func:`touchstone.sources.bucketed.append_bucketed`, and a micro-batch reads only parts that may hold its keys.
     """
 
     def add(batch: DataFrame, _epoch: int) -> None:
-        append_new(batch, path, keys)
+        if buckets:
+            append_bucketed(batch, path, keys, buckets)
+        else:
+            append_new(batch, path, keys)
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
