@@ -480,3 +480,10 @@ def test_condition_number_of_many_profiles(spark):
         assert got["pairs"] == count * (count - 1) // 2
     twice = frame(spark, [(p, c, v) for p in "ab" for c, v in (("x", 1.0), ("y", 2.0), ("z", 0.0))], "profile string, context string, share double")
     assert sp.profile_collinearity(twice, "profile", "context", "share").first()["condition_number"] is None
+
+
+def test_tails_without_trials_or_degrees_of_freedom():
+    """No trial (every pair tied) has p = 1 beside rows that have some; no degree of freedom has no quantile."""
+    assert tails.binom_two_sided_np([0, 1, 0], [0, 2, 3]).tolist() == pytest.approx([1.0, 1.0, 0.25])
+    assert np.isnan(tails.t_quantile_np(0.975, [0.0, 5.0])).tolist() == [True, False]
+    assert np.isnan(tails.t_two_sided_np([1.0], [0.0])).all()

@@ -20,8 +20,10 @@ _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
 def betainc(a, b, x):
-    """Regularised incomplete beta by its continued fraction, elementwise."""
+    """Regularised incomplete beta by its continued fraction, elementwise; NaN unless a and b are positive."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    known = (a > 0.0) & (b > 0.0)
+    a, b = np.where(known, a, 1.0), np.where(known, b, 1.0)
     swap = x > (a + 1.0) / (a + b + 2.0)
     p, q = np.where(swap, b, a), np.where(swap, a, b)
     z = np.where(swap, 1.0 - x, x)
@@ -43,7 +45,7 @@ def betainc(a, b, x):
         if np.nanmax(np.abs(d * c - 1.0), initial=0.0) < 1e-15:
             break
     value = front * total
-    return np.where(swap, 1.0 - value, value)
+    return np.where(known, np.where(swap, 1.0 - value, value), np.nan)
 
 
 def t_two_sided_np(t, df):
