@@ -169,3 +169,16 @@ def test_sampled_pairs_are_distinct_and_as_many_as_asked(spark):
     assert big.distinct().count() == 20_000
     spread = big.agg(F.avg("a"), F.avg("b")).first()
     assert abs(spread[0] / 1e6 - 1 / 3) < 0.02 and abs(spread[1] / 1e6 - 2 / 3) < 0.02
+
+
+def test_draws_of_units_are_dealt_out_and_never_broadcast(spark):
+    """Slots look as small as the units to Spark; the table of them stays a shuffle, spread before it is made."""
+    df = spark.createDataFrame([(g, i, float(i)) for g, n in (("a", 40), (None, 7)) for i in range(n)], "g string, k int, x double")
+    drawn = rs.resampled_rows(df, "k", ["g"], 50, 3)
+    for made in (drawn, rs.resample(df, "k", ["g"], 50, 3)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+    counted = {(r["g"], r["k"], r["replicate"]): r["count"] for r in drawn.groupBy("g", "k", "replicate").count().collect()}
+    assert counted == {(r["g"], r["k"], r["replicate"]): r["w"] for r in rs.resample(df, "k", ["g"], 50, 3).collect()}
+    sizes = {(r["g"], r["replicate"]): r["count"] for r in drawn.groupBy("g", "replicate").count().collect()}
+    assert sizes == {(g, b): n for g, n in (("a", 40), (None, 7)) for b in range(50)}

@@ -21,7 +21,7 @@ from touchstone.operators.agreement import auc_counts, spearman
 from touchstone.operators.ranks import value_ranks
 from touchstone.operators.running import attach, fresh, numbered, with_group_totals, with_scalars
 from touchstone.operators.weights import REPLICATE, permuted_sums, weight_arrays, weighted_auc, weighted_sums
-from touchstone.settings import needs_split
+from touchstone.settings import cut_lineage, needs_split
 
 def _replicates(count: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -33,22 +33,40 @@ def resample(units: DataFrame, key: str, group: Sequence[str], replicates: int,
     Slot i of replicate b draws unit keyed_int(seed, group, b, i) mod n.  The same call always
     draws the same units, so paired statistics share replicates.
     """
+    placed, slots = _slots(units, key, group, replicates, seed, split)
+    weights = slots.groupBy(*group, REPLICATE, "__rn").agg(F.count(F.lit(1)).alias("w"))
+    return _picked(placed, weights, group)
+
+
+def _slots(units, key, group, replicates, seed, split="auto") -> tuple[DataFrame, DataFrame]:
+    """Numbered units, and per slot of every replicate the number ``__rn`` of the unit it draws."""
     group = list(group)
     if split == "auto":
         split = needs_split(units, group)
     placed = numbered(units, group, [key], "__rn", split)
     placed = with_group_totals(placed, group, {"__n": F.count(F.lit(1))}, split)
-    slots = placed.select(*group, "__rn", "__n").withColumn(REPLICATE, _replicates(replicates))
+    # Numbering leaves a group in one task; its slots are dealt out before there are ``replicates`` of each.
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = placed.select(*group, "__rn", "__n").repartition(tasks, *group, "__rn").withColumn(REPLICATE, _replicates(replicates))
     pick = F.pmod(keyed_int(seed, *group, REPLICATE, "__rn"), F.col("__n")) + 1
-    weights = slots.groupBy(*group, REPLICATE, pick.alias("__pick")).agg(F.count(F.lit(1)).alias("w"))
-    w = weights.withColumnRenamed("__pick", "__rn")
-    return attach(placed.drop("__n"), w, [*group, "__rn"]).drop("__rn")
+    return placed.drop("__n"), slots.select(*group, REPLICATE, pick.alias("__rn"))
+
+
+def _picked(placed, slots, group) -> DataFrame:
+    """The units that slots point to.  The units are the side that is held, a share in each task: slots are ``replicates``
+    times as many, which their estimated size does not tell, and must not be broadcast."""
+    names = {g: f"__t_{g}" for g in [*group, "__rn"]}
+    same = F.col("__t___rn") == F.col("__rn")
+    for g in group:
+        same = same & F.col(names[g]).eqNullSafe(F.col(g))
+    rest = [c for c in slots.columns if c not in names]
+    return slots.withColumnsRenamed(names).join(placed.hint("shuffle_hash"), same).select(*[c for c in placed.columns if c != "__rn"], *rest)
 
 
-def resampled_rows(units, key, group, replicates, seed=0) -> DataFrame:
-    """As ``resample`` with each unit repeated, for statistics that take no weights."""
-    out = resample(units, key, group, replicates, seed)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).drop("__copy", "w")
+def resampled_rows(units, key, group, replicates, seed=0, split="auto") -> DataFrame:
+    """As ``resample`` with one row for each draw: for statistics that take no weights, and for sums, which need no multiplicities."""
+    placed, slots = _slots(units, key, group, replicates, seed, split)
+    return _picked(placed, slots, group)
 
 
 def interval(replicates: DataFrame, value: str, group: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
@@ -72,13 +90,14 @@ def bootstrap_mean(
     group = list(group)
     x, wt = fresh(df, "x", "wt")
     rows = df.filter(finite(value)).select(*group, key, F.col(value).cast("double").alias(x), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias(wt))
-    mean = lambda w: F.try_divide(F.sum(w * F.col(wt) * F.col(x)), F.sum(w * F.col(wt)))
-    point = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), mean(F.lit(1.0)).alias("mean"))
+    mean = F.try_divide(F.sum(F.col(wt) * F.col(x)), F.sum(wt))
     if draws == "units":
-        reps = resample(rows, key, group, replicates, seed).groupBy(*group, REPLICATE).agg(mean(F.col("w")).alias("__m"))
+        rows = cut_lineage(rows)  # one row per unit, read by the point, the size check and the draws
+        reps = resampled_rows(rows, key, group, replicates, seed).groupBy(*group, REPLICATE).agg(mean.alias("__m"))
     else:
         both = weighted_sums(rows, key, {"__sx": F.col(wt) * F.col(x), "__sw": F.col(wt)}, group, replicates, seed)
         reps = both.select(*group, REPLICATE, F.try_divide("__sx", "__sw").alias("__m"))
+    point = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"))
     return attach(point, interval(reps, "__m", group), group, "left")
 
 

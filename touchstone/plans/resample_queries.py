@@ -212,7 +212,7 @@ un as (select u, avg(x) as res from s group by 1), tt as (select count(*) as n,
 select cast(n as bigint) as units, {r('sd')} as total_sd, {r('ws')} as within_sd, {r('sqrt(greatest(0, sd * sd - ws * ws))')} as between_sd from tt, nz""")
 def noise_split(t):
     rows = t.customer.select(F.col("c_nationkey").alias("u"), F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000).alias("x"))
-    reps = rs.resample(rows, "k", ["u"], 30, 8).groupBy("u", rs.REPLICATE).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    reps = rs.resampled_rows(rows, "k", ["u"], 30, 8).groupBy("u", rs.REPLICATE).agg(F.avg("x").alias("m"))
     units = rows.groupBy("u").agg(F.avg("x").alias("res"))
     return rounded(rs.noise_split(units, "u", "res", reps, "m"))
 
