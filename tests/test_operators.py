@@ -26,6 +26,7 @@ from touchstone.operators import sequences as sq
 from touchstone.operators import spectra as sp
 from touchstone.operators import vectors as ve
 from touchstone.operators.running import Total, running
+from touchstone.plans import selection as se
 
 
 def frame(spark, rows, schema):
@@ -487,3 +488,22 @@ def test_tails_without_trials_or_degrees_of_freedom():
     assert tails.binom_two_sided_np([0, 1, 0], [0, 2, 3]).tolist() == pytest.approx([1.0, 1.0, 0.25])
     assert np.isnan(tails.t_quantile_np(0.975, [0.0, 5.0])).tolist() == [True, False]
     assert np.isnan(tails.t_two_sided_np([1.0], [0.0])).all()
+
+
+@pytest.mark.parametrize("features", [["a"], ["a", "b"]])
+def test_novelties_brute_force(spark, features, monkeypatch):
+    """Distance to the nearest measured row of the own group; a group without one has no novelty."""
+    if len(features) == 1:  # one feature needs no pairs of rows
+        monkeypatch.setattr(se, "top_matches", None)
+    rng = random.Random(4)
+    rows = [(rng.choice("uvw"), i, rng.randrange(-9, 9) / 2, float(rng.randrange(4)), rng.random() if rng.random() < 0.4 else None) for i in range(200)]
+    rows = [(g, i, a, b, None if g == "w" else y) for g, i, a, b, y in rows] + [("u", 900, None, 1.0, None), (None, 901, 1.0, 1.0, None), (None, 902, 4.0, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, a double, b double, y double")
+    got = {tuple(r[c] for c in ["g", *features]): r["novelty"] for r in se.novelties(df, features, "y", "k", ["g"]).collect()}
+    want = {}
+    cut = lambda r: tuple(r[2:2 + len(features)])
+    for r in rows:
+        near = [sum(abs(x - z) for x, z in zip(cut(r), cut(m))) for m in rows if m[0] == r[0] and m[4] is not None] if None not in cut(r) else []
+        if r[4] is None and near:
+            want[(r[0], *cut(r))] = min(near)
+    assert got == want

@@ -11,7 +11,7 @@ from touchstone.functions.numeric import finite, half_even, keyed_int
 from touchstone.operators import agreement as ag
 from touchstone.operators import linear as ln
 from touchstone.operators.ranks import share, top_flags
-from touchstone.operators.running import attach, numbered, with_group_totals
+from touchstone.operators.running import Total, attach, numbered, running, with_group_totals
 from touchstone.operators.vectors import farthest_points, top_matches
 from touchstone.settings import cut_lineage, needs_split
 
@@ -26,20 +26,13 @@ def select_by_score(df, score: str, target: str, key: str, budget: int, group: S
 def select_by_model(df, features: Sequence[str], target: str, key: str, budget: int, group: Sequence[str] = (), lam: float = 1.0, beta: float = 0.0) -> DataFrame:
     """Top candidates by a ridge on own measurements, optionally plus beta * sd * relative novelty.
 
-    Novelty is the L1 distance to the nearest measured row, from the blocked exact matcher.
+    Novelty is the L1 distance to the nearest measured row of the group (:func:`novelties`).
     """
     group = list(group)
     scored = ln.ridge_by_group(df, features, target, group, lam)
     pool = scored.filter(~finite(target)).withColumn("pick_score", F.round("prediction", 9))
     if beta > 0:
-        vector = F.array(*[F.col(f).cast("double") for f in features])
-        # Rows of different groups never match: the group is made a far-away component of its own.
-        tag = [(F.xxhash64(*group) % 1_000_003).cast("double") * 1e12] if group else []
-        vec = F.concat(vector, F.array(*tag)) if tag else vector
-        near = top_matches(
-            df.filter(~finite(target)).select(key, vec.alias("__v")), key, "__v",
-            df.filter(finite(target)).select(F.col(key).alias("__m"), vec.alias("__w")), "__m", "__w", 1, "l1")
-        pool = pool.join(near.select(key, (-F.col("closeness")).alias("novelty")), key)
+        pool = attach(pool, novelties(df, features, target, key, group), [*group, *features])
         sds = df.filter(finite(target)).groupBy(*group).agg(F.stddev_pop(target).alias("__sd"))
         tops = pool.groupBy(*group).agg(F.max("novelty").alias("__top"))
         pool = attach(attach(pool, sds, group), tops, group)
@@ -49,6 +42,37 @@ def select_by_model(df, features: Sequence[str], target: str, key: str, budget:
     return placed.filter(F.col("place") <= budget)
 
 
+def novelties(df, features: Sequence[str], target: str, key: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, features, novelty): L1 distance of every distinct unmeasured vector to the nearest measured one of its group.
+
+    Of one feature it is the gap to the next smaller or larger measured value, from running totals; of more, equal vectors
+    meet the blocked exact matcher once.
+    """
+    group, features = list(group), list(features)
+    known = F.lit(True)
+    for f in features:
+        known = known & finite(f)
+    seen = F.max(finite(target)).alias("__seen")
+    kinds = df.filter(known).groupBy(*group, *features).agg(seen, F.min(finite(target)).alias("__all"), F.min(key).alias("__k"))
+    if len(features) == 1:
+        x = F.col(features[0]).cast("double")
+        marked = kinds.withColumn("__up", F.when(F.col("__seen"), x)).withColumn("__down", F.col("__up"))
+        out = running(marked, group, [features[0]], [Total("__below", "__up", "max", inclusive=True)])
+        out = running(out, group, [(features[0], "desc")], [Total("__above", "__down", "min", inclusive=True)])
+        out = out.withColumn("novelty", F.round(F.least(x - F.col("__below"), F.col("__above") - x), 12))
+        return out.filter(~F.col("__all") & F.col("novelty").isNotNull()).select(*group, *features, "novelty")
+    if group:  # without a measured row in its group a vector has no novelty
+        kinds = attach(kinds, kinds.groupBy(*group).agg(F.max("__seen").alias("__any")), group).filter("__any").drop("__any")
+    # Rows of different groups never match: the group is made a far-away component of its own.
+    tag = [(F.xxhash64(*group) % 1_000_003).cast("double") * 1e12] if group else []
+    vec = F.array(*[F.col(f).cast("double") for f in features], *tag)
+    near = top_matches(
+        kinds.filter(~F.col("__all")).select("__k", vec.alias("__v")), "__k", "__v",
+        kinds.filter("__seen").select(F.col("__k").alias("__m"), vec.alias("__w")), "__m", "__w", 1, "l1")
+    near = near.select("__k", (-F.col("closeness")).alias("novelty"))
+    return kinds.filter(~F.col("__all")).join(near, "__k").select(*group, *features, "novelty")
+
+
 def select_diverse(df, features: Sequence[str], target: str, key: str, budget: int, group: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Farthest-point batch of the candidates."""
     pool = df.filter(~finite(target)).select(*group, key, F.array(*[F.col(f).cast("double") for f in features]).alias("__v"))
