@@ -182,3 +182,14 @@ def test_draws_of_units_are_dealt_out_and_never_broadcast(spark):
     assert counted == {(r["g"], r["k"], r["replicate"]): r["w"] for r in rs.resample(df, "k", ["g"], 50, 3).collect()}
     sizes = {(r["g"], r["replicate"]): r["count"] for r in drawn.groupBy("g", "replicate").count().collect()}
     assert sizes == {(g, b): n for g, n in (("a", 40), (None, 7)) for b in range(50)}
+
+
+def test_query_bootstrap_mean_draws_as_many_rows_as_there_are():
+    """The query and its SQL make n draws of n rows in every replicate."""
+    import inspect
+
+    from touchstone.plans import resample_queries as rq
+    from touchstone.plans.registry import ORACLES
+
+    assert "range(100)" in ORACLES["bootstrap_mean"] and "% n + 1 as rn" in ORACLES["bootstrap_mean"]
+    assert 'draws="units"' in inspect.getsource(rq.bootstrap_mean)

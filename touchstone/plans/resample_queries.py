@@ -38,13 +38,13 @@ _CUST = "cu as (select c_mktsegment, c_custkey, c_acctbal - 4500 as x from custo
 
 
 @query("bootstrap_mean", f"""
-with {_CUST}, {_poisson('cu', 'c_custkey', 100, 5)},
-m as (select c_mktsegment, b, sum(w * x) / nullif(sum(w), 0) as m from dr group by 1, 2), i as ({_interval('m', 'c_mktsegment', 'm')}),
+with {_CUST}, {_draws('cu', 'c_mktsegment', 'c_custkey', 100, 5)},
+m as (select c_mktsegment, b, sum(w * x) / sum(w) as m from dr group by 1, 2), i as ({_interval('m', 'c_mktsegment', 'm')}),
 p as (select c_mktsegment, count(*) as n, avg(x) as mean from cu group by 1)
 select p.c_mktsegment, cast(n as bigint) as n, {r('mean', 5)} as mean, {r('lo', 5)} as lo, {r('hi', 5)} as hi, {r('crossing_p')} as crossing_p from p join i on i.c_mktsegment = p.c_mktsegment""")
 def bootstrap_mean(t):
     rows = t.customer.select("c_mktsegment", "c_custkey", (F.col("c_acctbal") - 4500).alias("x"))
-    return rounded(rs.bootstrap_mean(rows, "x", "c_custkey", ["c_mktsegment"], 100, 5), 5)
+    return rounded(rs.bootstrap_mean(rows, "x", "c_custkey", ["c_mktsegment"], 100, 5, draws="units"), 5)
 
 
 _RHO = f"""rk as (select l_suppkey, {arank('l_extendedprice', 'l_suppkey')} as rx, {arank('l_discount', 'l_suppkey')} as ry, {arank('l_quantity', 'l_suppkey')} as rz from lineitem),
