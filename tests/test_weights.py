@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,22 @@ def test_query_bootstrap_mean_draws_as_many_rows_as_there_are():
 
     assert "range(100)" in ORACLES["bootstrap_mean"] and "% n + 1 as rn" in ORACLES["bootstrap_mean"]
     assert 'draws="units"' in inspect.getsource(rq.bootstrap_mean)
+
+
+def test_cluster_permuted_null_reads_rows_once(spark, monkeypatch):
+    """Equal to ranking the copied rows of every replicate, without ranking any."""
+    rng = np.random.default_rng(5)
+    data = [(i, None if i % 29 == 0 else f"c{int(rng.integers(0, 9))}", float(rng.integers(0, 12)), float(rng.integers(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, c string, f double, y double")
+    frame = pd.DataFrame(data, columns=["k", "c", "f", "y"])
+    frame["c"] = frame["c"].fillna("")
+    means = frame.groupby("c")["y"].mean().sort_index()  # the null cluster, here "", is permuted and its rows are left out
+    inside = frame[frame["c"] != ""]
+    rho, null = frame["f"].rank().corr(frame["y"].rank()), []
+    for b in range(20):
+        order = sorted(means.index, key=lambda c: (wt._keyed(2, b, c), c))
+        null.append(inside["f"].rank().corr(inside["c"].map(dict(zip(order, means))).rank()))
+    real = rs.spearman
+    monkeypatch.setattr(rs, "spearman", lambda rows, *a, **k: real(rows, *a, **k) if len(a) == 2 else pytest.fail("replicates are ranked as rows"))
+    got = rs.cluster_permuted_null(df, "f", "y", "c", "k", 20, 2).first()
+    assert got["n"] == 300 and abs(got["rho"] - rho) < 1e-12 and got["p"] == pytest.approx(np.mean(np.abs(null) >= abs(rho) - 1e-12))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from touchstone.functions.numeric import finite, keyed_int
 from touchstone.operators.agreement import auc_counts, spearman
 from touchstone.operators.ranks import value_ranks
-from touchstone.operators.running import attach, fresh, numbered, with_group_totals, with_scalars
+from touchstone.operators.running import Total, attach, fresh, numbered, running, with_group_totals, with_scalars
 from touchstone.operators.weights import REPLICATE, permuted_sums, weight_arrays, weighted_auc, weighted_sums
 from touchstone.settings import cut_lineage, needs_split
 
@@ -287,16 +287,35 @@ def auc_permutation(
 
 
 def cluster_permuted_null(df, feature: str, target: str, cluster: str, key: str, replicates=200, seed=0) -> DataFrame:
-    """|rho(feature, target)| against rho with whole cluster means permuted across clusters."""
+    """|rho(feature, target)| against rho with whole cluster means permuted across clusters.
+
+    Ranks of the feature are the same in every replicate, and those of the permuted means are the same in a whole cluster,
+    so a replicate needs the clusters' sizes and sums of feature ranks only: rows are read once and never copied.
+    """
+    c, x, rank, size, mean = fresh(df, "c", "x", "rank", "size", "m")
     rows = df.filter(finite(feature) & finite(target))
     seen = spearman(rows, feature, target, name="rho")
-    means = rows.groupBy(cluster).agg(F.avg(target).alias("__m"))
-    placed = numbered(means, [], [cluster], "__i")
-    orders = placed.select(F.col(cluster).alias("__c")).withColumn(REPLICATE, _replicates(replicates)).withColumn(
-        "__h", keyed_int(seed, REPLICATE, "__c"))
-    orders = numbered(orders, [REPLICATE], ["__h", "__c"], "__i", fanout=replicates)
-    swapped = orders.join(placed.select("__i", F.col("__m").alias("__new")), "__i").select(REPLICATE, F.col("__c").alias(cluster), "__new")
-    null = spearman(rows.join(swapped, cluster), feature, "__new", [REPLICATE], name="__null").drop("n")
+    means = rows.groupBy(F.col(cluster).alias(c)).agg(F.avg(target).alias(mean))
+    cells = rows.filter(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias(c), F.col(feature).cast("double").alias(x)).agg(F.count(F.lit(1)).alias(size))
+    hist = cells.groupBy(x).agg(F.sum(size).alias("n"))
+    whole = hist.agg(F.sum("n").alias("__n"))
+    ranks = with_scalars(running(hist, [], [x], [Total("__before", "n")]), whole)
+    # Twice the rank, less its mean: a whole number.
+    ranks = ranks.select(x, "n", "__n", (2 * F.coalesce("__before", F.lit(0)) + F.col("n") - F.col("__n")).cast("double").alias(rank))
+    spread = ranks.agg(F.sum(F.col("n") * F.col(rank) * F.col(rank)).alias("__sxx"), F.max("__n").alias("__n"))
+    clusters = cells.join(ranks.select(x, rank), x).groupBy(c).agg(F.sum(size).alias(size), F.sum(F.col(size) * F.col(rank)).alias(rank))
+    placed = cut_lineage(attach(numbered(means, [], [c], "__i"), clusters, [c], "left"))  # one row per cluster
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    orders = placed.select(c, size, rank).repartition(tasks, c).withColumn(REPLICATE, _replicates(replicates)).withColumn(
+        "__h", keyed_int(seed, REPLICATE, c))
+    orders = numbered(orders, [REPLICATE], ["__h", c], "__i", fanout=replicates)
+    swapped = orders.join(placed.select("__i", F.col(mean).alias("__new")).hint("shuffle_hash"), "__i").filter(F.col(size).isNotNull())
+    ties = swapped.groupBy(REPLICATE, "__new").agg(F.sum(size).alias("__w"), F.sum(rank).alias("__s"))
+    ties = with_scalars(running(ties, [REPLICATE], ["__new"], [Total("__before", "__w")], fanout=replicates), spread)
+    y = (2 * F.coalesce("__before", F.lit(0)) + F.col("__w") - F.col("__n")).cast("double")
+    sums = ties.groupBy(REPLICATE, "__n", "__sxx").agg(F.sum(y * F.col("__s")).alias("__sxy"), F.sum(F.col("__w") * y * y).alias("__syy"))
+    known = (F.col("__n") >= 5) & (F.col("__sxx") > 0) & (F.col("__syy") > 0)
+    null = sums.select(REPLICATE, F.when(known, F.col("__sxy") / F.sqrt("__sxx") / F.sqrt("__syy")).alias("__null"))
     both = with_scalars(null, seen)
     return both.groupBy("rho", "n").agg(F.avg((F.abs("__null") >= F.abs("rho") - 1e-12).cast("double")).alias("p"))
 
