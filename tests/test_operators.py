@@ -507,3 +507,11 @@ def test_novelties_brute_force(spark, features, monkeypatch):
         if r[4] is None and near:
             want[(r[0], *cut(r))] = min(near)
     assert got == want
+
+
+def test_top_matches_broadcasts_no_blocks(spark):
+    """Packed blocks look small to Spark, so the block join and that of the labels are named merges."""
+    df = spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(40)], "i int, v array<double>, label int")
+    near = ve.knn_vote(df.filter("i % 5 > 0"), df.filter("i % 5 = 0"), "i", "v", "label", 3, block_rows=8)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2 and near.count() > 0

@@ -81,7 +81,8 @@ def top_matches(
     """
     n_left, n_right = _block_count(left, block_rows), _block_count(right, block_rows)
     a = _pack(left, left_key, left_vector, n_left, "l").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    pairs = a.join(_pack(right, right_key, right_vector, n_right, "r"), "rb")
+    # Merged, never broadcast: packed blocks look small to Spark whatever they hold.
+    pairs = a.join(_pack(right, right_key, right_vector, n_right, "r").hint("merge"), "rb")
     id_a = left.select(left_key).schema[0].dataType.simpleString()
     id_b = right.select(right_key).schema[0].dataType.simpleString()
 
@@ -136,7 +137,7 @@ def knn_vote(train: DataFrame, test: DataFrame, key: str, vector: str, label: st
     Equal votes go to the label with the nearer first neighbour, then the smaller label.
     """
     near = top_matches(test, key, vector, train.withColumnRenamed(key, "__tid"), "__tid", vector, k, metric, block_rows)
-    named = near.join(train.select(F.col(key).alias("match___tid"), F.col(label).alias("candidate")), "match___tid")
+    named = near.join(train.select(F.col(key).alias("match___tid"), F.col(label).alias("candidate")).hint("merge"), "match___tid")
     votes = named.groupBy(key, "candidate").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("__first"))
     return numbered(votes, [key], [("votes", "desc"), "__first", "candidate"], "rank", split=False).drop("__first")
 
