@@ -299,13 +299,15 @@ def letter_vectors(df, key: str, text: str, length: int | None = None, alphabet:
     """Indicator vector of the letter at each place, up to the longest text or a ``length`` that no text may pass."""
     if length is None:
         length = df.agg(F.max(F.length(text))).first()[0] or 1
-    order = F.create_map(*[v for i, a in enumerate(alphabet) for v in (F.lit(a), F.lit(i))])
-    at = F.transform(letters(text), lambda c: F.coalesce(F.try_element_at(order, c), F.lit(-1)))
     size = len(alphabet)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(length * size - 1)), lambda j: F.when(
-        F.coalesce(F.get("__at", F.floor(j / size).cast("int")), F.lit(-1)) == j % size, 1.0).otherwise(0.0))
-    fits = F.when(F.length(text) > length, F.raise_error(F.lit(f"a text has more than {length} letters")).cast("array<int>"))
-    return df.withColumn("__at", F.coalesce(fits, at)).select(key, array_to_vector(cells).alias("features"))
+    # A letter's cells are one constant, looked up once a place and not once a cell.
+    cells_of = lambda i: F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(size)])
+    known = F.create_map(*[v for i, a in enumerate(alphabet) for v in (F.lit(a), cells_of(i))])
+    fits = F.when(F.length(text) > length, F.raise_error(F.lit(f"a text has more than {length} letters")).cast("array<array<double>>"))
+    places = F.coalesce(fits, F.transform(letters(text), lambda c: F.coalesce(F.try_element_at(known, c), cells_of(-1))))
+    padded = F.concat(F.coalesce(places, F.array().cast("array<array<double>>")), F.array_repeat(cells_of(-1), length))
+    cells = F.flatten(F.slice(padded, 1, length))
+    return spread(df).select(key, array_to_vector(cells).alias("features"))
 
 
 def edit_vocabulary(df, edits: str, fields: Sequence[str] = ("pos", "mut")) -> DataFrame:

@@ -73,8 +73,8 @@ def letter_vectors(t):
     from pyspark.ml.functions import vector_to_array
 
     rows = sq.letter_vectors(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", alphabet="abcdefghijklmnopqrstuvwxyz ")
-    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, v: acc + v)
-    return rows.select("p_partkey", F.size(vector_to_array("features")).alias("size"), total.alias("known_letters"))
+    cells = rows.select("p_partkey", vector_to_array("features").alias("cells"))
+    return cells.select("p_partkey", F.size("cells").alias("size"), F.size(F.array_remove("cells", 0.0)).cast("double").alias("known_letters"))
 
 
 @query("edit_descriptors", """
