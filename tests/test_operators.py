@@ -515,3 +515,19 @@ def test_top_matches_broadcasts_no_blocks(spark):
     near = ve.knn_vote(df.filter("i % 5 > 0"), df.filter("i % 5 = 0"), "i", "v", "label", 3, block_rows=8)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2 and near.count() > 0
+
+
+def test_letter_vectors_by_place_and_substitutions_by_once_cut_letters(spark):
+    """Cells come from one look-up a place; both texts of a pair are split once, not once a letter."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([(1, "ab?"), (2, None), (3, ""), (4, "cABa")], "k int, t string")
+    out = sq.letter_vectors(df, "k", "t", alphabet="abc")
+    got = {r["k"]: r["v"] for r in out.select("k", vector_to_array("features").alias("v")).collect()}
+    assert got == {k: [float(c == a) for c in (t or "").ljust(4, "#") for a in "abc"] for k, t in [(1, "ab?"), (2, None), (3, ""), (4, "cABa")]}
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    pairs = spark.createDataFrame([("ACGTA", "AGGTC"), ("AC", "AG"), ("ACG", "ACGT"), ("ANGTA", "AGGCA")], "a string, b string")
+    found = pairs.select("a", tx.substitutions("a", "b").alias("s"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    # Only the second letter of the first pair differs between plain neighbours.
+    assert {r["a"]: r["s"] for r in found.collect()} == {"ACGTA": ["A[C>G]G"], "AC": [], "ACG": [], "ANGTA": ["G[T>C]A"]}

@@ -13,13 +13,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 from touchstone.functions.text import substitutions
 from touchstone.operators.linear import gram
 from touchstone.operators.running import attach, with_scalars
-from touchstone.settings import BROADCAST_BYTES, setting
+from touchstone.settings import BROADCAST_BYTES, setting, spread
 
 
 def spectrum(pairs: DataFrame, a, b, group: Sequence[str], grid: DataFrame) -> DataFrame:
     """(group, context, n): folded substitution channels of equal-length pairs, zeros included."""
     group = list(group)
-    found = pairs.select(*group, F.explode(substitutions(a, b)).alias("context"))
+    found = spread(pairs).select(*group, F.explode(substitutions(a, b)).alias("context"))
     counts = found.groupBy(*group, "context").agg(F.count(F.lit(1)).alias("n"))
     return complete_grid(counts, pairs.select(*group).distinct(), group, "context", grid)
 
