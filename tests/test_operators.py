@@ -531,3 +531,11 @@ def test_letter_vectors_by_place_and_substitutions_by_once_cut_letters(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
     # Only the second letter of the first pair differs between plain neighbours.
     assert {r["a"]: r["s"] for r in found.collect()} == {"ACGTA": ["A[C>G]G"], "AC": [], "ACG": [], "ANGTA": ["G[T>C]A"]}
+
+
+def test_group_quantiles_hold_values_once(spark):
+    """All quantiles of a group come from one buffer; a group without values has none."""
+    df = spark.createDataFrame([("a", float(i * 7 % 11)) for i in range(11)] + [("b", None)], "g string, x double")
+    out = ranks.group_quantiles(df, ["g"], "x", {"lo": 0, "mid": 0.5, "hi": 0.95})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
+    assert {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in out.collect()} == {"a": (0.0, 5.0, 9.5), "b": (None, None, None)}
