@@ -539,3 +539,20 @@ def test_group_quantiles_hold_values_once(spark):
     out = ranks.group_quantiles(df, ["g"], "x", {"lo": 0, "mid": 0.5, "hi": 0.95})
     assert out._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
     assert {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in out.collect()} == {"a": (0.0, 5.0, 9.5), "b": (None, None, None)}
+
+
+def test_ranks_by_stretch_sort_only_between_bounds(spark, split):
+    """Large groups are cut at values: ties need no sort, no group is one task, and levels are ranked on the way."""
+    spark.conf.set("spark.touchstone.groupSplitRows", "800")  # 50 rows in a stretch
+    rng = random.Random(5)
+    rows = [("big" if i % 8 else f"s{i % 16}", i % 3, float(rng.randint(0, 4)), rng.choice([None, rng.random(), 0.5])) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, z int, few double, many double").repartition(3)
+    out = ranks.average_ranks(df, ["g"], ["few", "many"], "r_", within=["z"], inner="i_")
+    assert "Window" not in ranks.average_ranks(df.filter("g = 'big'"), ["g"], ["few"])._jdf.queryExecution().optimizedPlan().toString().replace("WindowGroup", "").split("Join")[0]
+    got = out.toPandas()
+    assert len(got) == len(rows)
+    for by, name in ((["g"], "r_"), (["g", "z"], "i_")):
+        for _, part in got.groupby(by):
+            assert list(part[f"{name}few"]) == brute_ranks(list(part.few))
+            some = part[part.many.notna()]
+            assert list(some[f"{name}many"]) == brute_ranks(list(some.many)) and part[part.many.isna()][f"{name}many"].isna().all()

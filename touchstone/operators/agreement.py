@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchstone.functions.numeric import elite_size, finite, finite_or_null, safe_corr, spread_ok
 from touchstone.functions.tails import binom_two_sided
-from touchstone.operators.ranks import average_ranks, group_quantiles, share, top_flags, value_counts
+from touchstone.operators.ranks import average_ranks, group_quantiles, rank_rows, share, top_flags, value_counts
 from touchstone.operators.running import Total, attach, numbered, running, with_group_totals
 from touchstone.settings import needs_split
 
@@ -28,8 +28,6 @@ def spearman(
     """Spearman rho of finite pairs per group; null below ``min_n`` or for a constant side."""
     group = list(group)
     pairs = df.filter(finite(x) & finite(y)).select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    if split == "auto":
-        split = needs_split(pairs, group)
     ranked = average_ranks(pairs, group, ["__x", "__y"], "__rk", split)
     return ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,6 +35,82 @@ def spearman(
     )
 
 
+def rank_correlations(
+    df: DataFrame, scores: Sequence[str], others: Sequence[str], group: Sequence[str], split="auto", level: str | None = None,
+    min_n: int = 5, sizes: bool = False,
+) -> DataFrame:
+    """Per group and score (long): rows ``n`` that have the score, correlation ``rho_<i>`` of its ranks with those of the
+    ``i``-th other column, and ``between`` of the first two others.  The others are finite in all rows.
+
+    With ``level``, ``strata`` counts the values of that column with ``min_n`` rows or more, which cover ``covered`` rows, and
+    ``within_rho`` is their mean correlation of ranks inside a level, score with first other.  ``sizes`` adds the ``rows`` of
+    the group.  Where every row has every score, ranks of the others are the same for all scores: rows stay wide and each
+    column is ranked once.  Else ranks are made among the rows that have the score.
+    """
+    group, within = list(group), ["__level"] if level else []
+    held, beside = [f"__s{i}" for i in range(len(scores))], [f"__o{i}" for i in range(len(others))]
+    rows = df.select(*group, *([F.col(level).alias("__level")] if level else []), *[finite_or_null(s).alias(h) for s, h in zip(scores, held, strict=True)],
+                     *[F.col(o).cast("double").alias(b) for o, b in zip(others, beside, strict=True)])
+    whole = False
+    if split == "auto":
+        rows, split, whole = rank_rows(rows, group, held)
+    pairs = {f"rho_{i}": b for i, b in enumerate(beside)}
+
+    def figures(x: str) -> dict:
+        out = {name: (x, b) for name, b in pairs.items()}
+        return out | ({"between": ("__o0", "__o1")} if len(beside) > 1 else {})
+
+    def long(table: DataFrame, fields: Callable[[str], list]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(s).alias("score_name"), *fields(h)) for s, h in zip(scores, held, strict=True)])
+        rest = [c for c in (*group, *within, *beside, "__rows") if c in table.columns]
+        return table.select(*rest, F.explode(each).alias("__f")).select(*rest, "__f.*")
+
+    def correlated(ranked: DataFrame, by: list[str], sides: list[str]) -> DataFrame:
+        """One row of ``by``; figures of a side have its name behind theirs.  Levels are met on the way."""
+        used = {v for h in sides for ab in figures(h).values() for v in ab}
+        products = {tuple(sorted(ab)) for h in sides for ab in figures(h).values()}
+        x = lambda v: F.col(f"__rk{v}")
+        sums = {f"__1{v}": F.sum(x(v)) for v in used} | {f"__2{v}": F.sum(x(v) * x(v)) for v in used}
+        sums |= {f"__x{a}{b}": F.sum(x(a) * x(b)) for a, b in products}
+        ends = {f"__lo{v}": F.min(x(v)) for v in used}, {f"__hi{v}": F.max(x(v)) for v in used}
+        inside = {f"__in{h}": safe_corr(f"__in{h}", "__in__o0") for h in sides} if level else {}
+        cells = ranked.groupBy(*by, *within).agg(
+            F.count(F.lit(1)).alias("__n"), *[f.alias(name) for name, f in (sums | ends[0] | ends[1] | inside).items()])
+        kept = F.col("__n") >= min_n
+        out = cells.groupBy(*by).agg(
+            F.sum("__n").alias("__n"), *[F.sum(name).alias(name) for name in sums], *[F.min(name).alias(name) for name in ends[0]],
+            *[F.max(name).alias(name) for name in ends[1]],
+            *([F.count(F.when(kept, 1)).alias("__strata"), F.sum(F.when(kept, F.col("__n"))).alias("__covered")] if level else []),
+            *[F.avg(F.when(kept, F.col(name))).alias(name) for name in inside])
+        n = F.col("__n")
+        spread = lambda v: n * F.col(f"__2{v}") - F.col(f"__1{v}") * F.col(f"__1{v}")
+
+        def corr(a: str, b: str) -> Column:
+            varies = (F.col(f"__lo{a}") < F.col(f"__hi{a}")) & (F.col(f"__lo{b}") < F.col(f"__hi{b}"))
+            low, high = sorted((a, b))
+            cov = n * F.col(f"__x{low}{high}") - F.col(f"__1{a}") * F.col(f"__1{b}")
+            return F.when(varies, F.try_divide(cov, F.sqrt(spread(a)) * F.sqrt(spread(b))))
+
+        levels = lambda h: {
+            "strata": F.when(F.col("__strata") > 0, F.col("__strata")), "covered": F.col("__covered"), "within_rho": F.col(f"__in{h}")} if level else {}
+        return out.select(*by, *[f.alias(f"{name}{h}") for h in sides for name, f in (
+            {"n": n} | {name: corr(*ab) for name, ab in figures(h).items()} | levels(h)).items()])
+
+    names = ["n", *figures(""), *(["strata", "covered", "within_rho"] if level else [])]
+    if whole:
+        ranked = average_ranks(rows, group, [*held, *beside], "__rk", split, within, "__in")
+        wide = correlated(ranked, group, held).withColumn("__rows", F.col(f"n{held[0]}"))
+        out = long(wide, lambda h: [F.col(f"{name}{h}").alias(name) for name in names]).filter(F.col("n") > 0)
+    else:
+        by = [*group, "score_name"]
+        each = long(rows, lambda h: [F.col(h).alias("__s")]).filter(F.col("__s").isNotNull())
+        out = correlated(average_ranks(each, by, ["__s", *beside], "__rk", split, within, "__in"), by, ["__s"])
+        out = out.withColumnsRenamed({f"{name}__s": name for name in names})
+        if sizes:
+            out = attach(out, rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows")), group)
+    return out.withColumnRenamed("__rows", "rows") if sizes else out.drop("__rows")
+
+
 def within_group_rank(
     df: DataFrame, scores: Sequence[str], target: str, group: Sequence[str], min_n: int = 5, split="auto"
 ) -> DataFrame:
@@ -47,10 +121,9 @@ def within_group_rank(
     """
     group = list(group)
     measured = df.filter(finite(target))
-    long = long_scores(measured, scores, [*group, target])
-    rho = spearman(long, "score", target, [*group, "score_name"], min_n, split=split).withColumnRenamed("n", "n_score")
-    sizes = measured.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    return sizes.join(rho, group, "inner").select(*group, "score_name", "n", "n_score", "rho")
+    out = rank_correlations(measured, scores, [target], group, split, sizes=True).filter(F.col("rows") >= min_n)
+    return out.select(
+        *group, "score_name", F.col("rows").alias("n"), F.col("n").alias("n_score"), F.when(F.col("n") >= min_n, F.col("rho_0")).alias("rho"))
 
 
 def partial_rank(
@@ -64,8 +137,6 @@ def partial_rank(
     rows = df.filter(finite(x) & finite(y) & finite(nuisance)).select(
         *group, *[F.col(c).cast("double").alias(a) for c, a in ((x, "__x"), (y, "__y"), (nuisance, "__z"))]
     )
-    if split == "auto":
-        split = needs_split(rows, group)
     ranked = average_ranks(rows, group, ["__x", "__y", "__z"], "__rk", split)
     out = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -73,10 +144,14 @@ def partial_rank(
         safe_corr("__rk__x", "__rk__z").alias("score_vs_nuisance"),
         safe_corr("__rk__y", "__rk__z").alias("target_vs_nuisance"),
     )
+    return with_partial(out.filter(F.col("n") >= min_n))
+
+
+def with_partial(correlations: DataFrame) -> DataFrame:
+    """Add ``partial_rho`` from ``raw_rho``, ``score_vs_nuisance`` and ``target_vs_nuisance``."""
     xz, yz = F.col("score_vs_nuisance"), F.col("target_vs_nuisance")
     scale = F.sqrt((1 - xz * xz) * (1 - yz * yz))
-    partial = F.when(scale > 1e-9, (F.col("raw_rho") - xz * yz) / scale)
-    return out.filter(F.col("n") >= min_n).withColumn("partial_rho", partial)
+    return correlations.withColumn("partial_rho", F.when(scale > 1e-9, (F.col("raw_rho") - xz * yz) / scale))
 
 
 def pooled_summary(per_group: DataFrame, rho="rho", n="n", by: Sequence[str] = ("score_name",)) -> DataFrame:
@@ -122,16 +197,10 @@ def stratified_view(
     """Mean rho inside fixed levels of a nuisance, beside the pooled rho, and whether sign flips."""
     group = list(group)
     measured = df.filter(finite(target) & F.col(stratum).isNotNull())
-    long = long_scores(measured, scores, [*group, stratum, target])
-    by = [*group, "score_name"]
-    inner = spearman(long, "score", target, [*by, stratum], min_n, split=split)
-    inner = inner.filter(F.col("n") >= min_n)
-    means = inner.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("strata"), F.sum("n").alias("covered"), F.avg("rho").alias("within_rho")
-    )
-    pooled = spearman(long, "score", target, by, min_n, name="pooled_rho", split=split)
+    out = rank_correlations(measured, scores, [target], group, split, stratum, min_n).select(
+        *group, "score_name", "n", F.when(F.col("n") >= min_n, F.col("rho_0")).alias("pooled_rho"), "strata", "covered", "within_rho")
     flip = F.coalesce(F.signum("within_rho") != F.signum("pooled_rho"), F.lit(False))
-    return pooled.join(means, by, "left").withColumn("sign_flip", flip)
+    return out.withColumn("sign_flip", flip)
 
 
 def readiness_survey(df, scores, target, nuisance, dataset: Sequence[str], min_n=5, split="auto") -> DataFrame:

@@ -12,7 +12,6 @@ from touchstone.functions.numeric import finite, keyed_int
 from touchstone.operators import agreement as ag
 from touchstone.operators import linear as ln
 from touchstone.operators.running import attach, numbered, with_scalars
-from touchstone.settings import needs_split
 
 # Thresholds of the decision rule.
 MIN_FOR_TRUST, TRUST_AUROC, TIE_AUROC, CONFOUND_RHO, NUISANCE_RHO, POOL_MARGIN = 12, 0.55, 0.01, 0.30, 0.7, 0.02
@@ -35,20 +34,17 @@ def audit(df: DataFrame, cols: AuditColumns, split="auto") -> DataFrame:
     """Per group and score: rho with the target, rho with the nuisance, partial rho, rho inside fixed
     nuisance levels and sign flip, margin over the best baseline, and confound flags.
 
-    All ranks come from one long table partitioned by (group, score), so the audit is one shuffle
-    of the data plus joins of result rows.
+    Rows stay wide where every row has every score, and each column is ranked once inside the groups and once inside their
+    levels; the rest are joins of result rows.
     """
     group, z, y = cols.group, cols.nuisance, cols.target
     names = [*cols.scores, *[b for b in cols.baselines if b not in cols.scores]]
     rows = df.filter(finite(y) & finite(z)).withColumns({"__y": F.col(y).cast("double"), "__z": F.col(z).cast("double")})
-    long = ag.long_scores(rows, names, [*group, "__y", "__z"])
     by = [*group, "score_name"]
-    if split == "auto":
-        split = needs_split(long, by)
-    whole = ag.partial_rank(long, "score", "__y", "__z", by, cols.min_n, split)
-    inner = ag.spearman(long, "score", "__y", [*by, "__z"], cols.min_n, split=split).filter(F.col("n") >= cols.min_n)
-    strata = inner.groupBy(*by).agg(F.count(F.lit(1)).alias("strata"), F.avg("rho").alias("within_rho"))
-    table = attach(whole.withColumnRenamed("raw_rho", "rho"), strata, by, "left")
+    table = ag.rank_correlations(rows, names, ["__y", "__z"], group, split, "__z", cols.min_n).filter(F.col("n") >= cols.min_n).select(
+        *by, "n", F.col("rho_0").alias("rho"), F.col("rho_0").alias("raw_rho"), F.col("rho_1").alias("score_vs_nuisance"),
+        F.col("between").alias("target_vs_nuisance"), "strata", "within_rho")
+    table = ag.with_partial(table)
     best = table.filter(F.col("score_name").isin(*cols.baselines)).groupBy(*group).agg(
         F.max_by(F.struct(F.col("score_name").alias("b"), F.col("rho").alias("v")), F.struct(F.abs("rho"), F.col("score_name"))).alias("__best"))
     table = attach(table, best, group, "left" if group else "inner") if cols.baselines else table.withColumn("__best", F.lit(None).cast("struct<b:string,v:double>"))
