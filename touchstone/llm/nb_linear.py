@@ -21,6 +21,8 @@ TRAIN_ROWS = 20_000  # labelled documents of each class that the linear weights
 LEAST_DOCS = 5  # an n-gram that fewer teaching documents hold has no ratio
 PACK = 128  # texts in a row of the sparse matrix
 TASKS = 12  # sums of a gradient that reach the driver
+MAPS = 1024  # bitmaps of MAP_BITS bits each, of hashed ids that have a label
+MAP_BITS = 1 << 15
 
 
 @dataclass
@@ -35,10 +37,35 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``y`` of the documents that teach.
 
     Conflicting labels of an id count as toxic, null labels and ids teach nothing; of texts repeated under an id all count.
+    Bitmaps of the labelled ids' hashes (a broadcast of fixed size) keep most texts without a label out of the join.
     """
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("y"))
-    teach = docs.where(~held_out("doc_id", 3, 1)).select("doc_id", whole_text(docs).alias("text"))
-    return teach.join(marks, "doc_id").select("doc_id", "text", "y")
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(MAPS * MAP_BITS))
+    place = F.floor(slot / MAP_BITS).cast("int"), (slot % MAP_BITS).cast("int")
+    known = labels.where("toxic is not null and doc_id is not null")
+    marks = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("y"))
+    maps = known.groupBy(place[0].alias("_map")).agg(F.bitmap_construct_agg(place[1].cast("long")).alias("_bits"))
+    teach = docs.where(~held_out("doc_id", 3, 1)).select("doc_id", whole_text(docs).alias("text"), place[0].alias("_map"), place[1].alias("_bit"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = (byte / F.pow(F.lit(2.0), F.col("_bit") % 8)).cast("int") % 2 == 1
+    maybe = teach.join(F.broadcast(maps), "_map").where(marked).select("doc_id", "text")
+    return maybe.join(marks, "doc_id").select("doc_id", "text", "y")
+
+
+def sampled(teach: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` labelled documents of each class whose ids' hashes are smallest (then id, then the text's hash).
+
+    Counts by the hashes' leading bits tell how far they reach, so that only their texts are sorted and moved.
+    """
+    lead = F.shiftright(F.xxhash64("doc_id"), 52).cast("int")
+    counts = {side: np.zeros(1 << 12, np.int64) for side in (True, False)}
+    for y, at, n in teach.groupBy("y", lead.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[y][at + (1 << 11)] = n
+    parts = []
+    for side, n in counts.items():
+        last = int(np.searchsorted(np.cumsum(n), min(rows, n.sum()))) - (1 << 11)
+        near = teach.where((F.col("y") == side) & (lead <= last))
+        parts.append(near.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows))
+    return parts[0].union(parts[1])
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +137,14 @@ def _gradients(shared):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias, per_class = shared.value
-        total = np.zeros(len(weight) + 2)
+        loss, slope, total = 0.0, 0.0, np.zeros(len(weight))
         for y, row, col, n in _unpacked(batches):
             z = np.bincount(row, n * weight[col], minlength=len(y)) + bias
             g = per_class[y] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-            total[0] += (per_class[y] * (np.logaddexp(0, z) - y * z)).sum()
-            total[1] += g.sum()
-            total[2:] += np.bincount(col, n * g[row], minlength=len(weight))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            loss += (per_class[y] * (np.logaddexp(0, z) - y * z)).sum()
+            slope += g.sum()
+            total += np.bincount(col, n * g[row], minlength=len(weight))
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["loss", "slope", "sums"])
 
     return go
 
@@ -137,17 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Model:
         return Model(weight, float(np.log((p + 0.5) / (q + 0.5))))
     top = np.flatnonzero(toxic[:TABLE] + clean[:TABLE] >= LEAST_DOCS)
     ratio = shrunk_ratios(toxic[top], clean[top], p, q)
-    order = F.xxhash64("doc_id")
-    sample = [teach.where(side).orderBy(order, "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS) for side in (F.col("y"), ~F.col("y"))]
     if len(top) == 0:
         p, q = min(p, TRAIN_ROWS), min(q, TRAIN_ROWS)
         return Model(weight, float(np.log(p / q)))
     index = np.full(TABLE, -1, np.int32)
     index[top] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    matrix = settle(sample[0].union(sample[1]).select("text", "y").repartition(TASKS).mapInArrow(_matrix(shared), _PACKED))
+    matrix = settle(sampled(teach, TRAIN_ROWS).select("text", "y").repartition(TASKS).mapInArrow(_matrix(shared), _PACKED))
+    shared.destroy()
     w, bias = _logistic(matrix.coalesce(TASKS), ratio, min(p, TRAIN_ROWS), min(q, TRAIN_ROWS), threshold)
     discard(matrix)
+    discard(teach)
     weight[top] = w * ratio
     return Model(weight, bias)
 
@@ -161,7 +188,8 @@ def shrunk_ratios(toxic: np.ndarray, clean: np.ndarray, p: int, q: int) -> np.nd
 def _logistic(matrix: DataFrame, ratio: np.ndarray, p: int, q: int, decision: float, ridge: float = 1e-2, steps: int = 15) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by limited-memory quasi-Newton steps; ``decision`` is the score at the best cut.
 
-    The matrix stays with the executors: a step sends the weights out and at most TASKS sums of one number per feature back.
+    The matrix stays with the executors: a step sends the weights out and at most TASKS sums of one short number per feature
+    back.
     """
     context = matrix.sparkSession.sparkContext
     per_class = np.array([0.5 / q, 0.5 / p])  # both classes weigh the same
@@ -171,11 +199,14 @@ def _logistic(matrix: DataFrame, ratio: np.ndarray, p: int, q: int, decision: fl
 
     def slope(v: np.ndarray) -> tuple[float, np.ndarray]:
         shared = sent(v)
-        total = np.zeros(len(ratio) + 2)
-        for r in matrix.mapInArrow(_gradients(shared), "sums binary").collect():
-            total += np.frombuffer(r["sums"])
+        loss, g = 0.0, np.zeros(len(v))
+        for r in matrix.mapInArrow(_gradients(shared), "loss double, slope double, sums binary").collect():
+            loss += r["loss"]
+            g[0] += r["slope"]
+            g[1:] += np.frombuffer(r["sums"], np.float32)
         shared.destroy()
-        return total[0] + ridge / 2 * (v[1:] @ v[1:]), np.r_[total[1], total[2:] * ratio + ridge * v[1:]]
+        g[1:] = g[1:] * ratio + ridge * v[1:]
+        return loss + ridge / 2 * (v[1:] @ v[1:]), g
 
     v = np.zeros(len(ratio) + 1)
     loss, g = slope(v)
@@ -200,7 +231,9 @@ def _logistic(matrix: DataFrame, ratio: np.ndarray, p: int, q: int, decision: fl
             past = [*past, (s, d)][-8:]
         v, loss, g = at, below, slopes
     # The decision point goes where the two classes' error shares are least in sum, amid the gap between their scores.
-    rows = matrix.mapInArrow(_margins(sent(v)), "y double, z double").toArrow()
+    shared = sent(v)
+    rows = matrix.mapInArrow(_margins(shared), "y double, z double").toArrow()
+    shared.destroy()
     y, z = (np.asarray(rows[c]) for c in ("y", "z"))
     order = np.argsort(z, kind="stable")
     missed = np.r_[0, np.cumsum(y[order])] / max(1, y.sum())
