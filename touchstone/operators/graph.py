@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchstone.operators.operating import flag_rows
 from touchstone.operators.running import attach, islands_by_gap, with_scalars
-from touchstone.settings import cut_lineage
+from touchstone.settings import cut_lineage, is_small, tasks_for
 
 
 def hamming_neighbours(df, text: str, group: Sequence[str] = ()) -> DataFrame:
@@ -37,23 +37,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     side, so a hub is cheap) and a join back; lineage is cut every round and the loop ends when
     the edge set stops changing.
     """
+    spark = edges.sparkSession
     current = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
-    current = cut_lineage(current.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        # Nodes whose only links are to smaller ones keep them.
-        large = large.unionByName(low.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
-        mins = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(mins, "a")
-        linked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        current = cut_lineage(linked.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    current = current.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = 0
+    if not is_small(edges):
+        current = cut_lineage(current)
+        links = current.count()
+    with tasks_for(spark, 2 * links):  # both directions of a link
+        current = cut_lineage(current.distinct())
+        seen = None
+        while True:
+            both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+            large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+            # Nodes whose only links are to smaller ones keep them.
+            large = large.unionByName(low.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
+            mins = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(mins, "a")
+            linked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+            current = cut_lineage(linked.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if mark == seen:
+                break
+            seen = mark
     members = current.select(F.col("a").alias(node), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias(node)).distinct().withColumn("component", F.col(node))
     out = members.unionByName(roots)
