@@ -12,7 +12,7 @@ from touchstone.functions.numeric import elite_size, finite, finite_or_null, saf
 from touchstone.functions.tails import binom_two_sided
 from touchstone.operators.ranks import average_ranks, group_quantiles, rank_rows, share, top_flags, value_counts
 from touchstone.operators.running import Total, attach, numbered, running, with_group_totals
-from touchstone.settings import needs_split
+from touchstone.settings import needs_split, once
 
 
 def long_scores(df: DataFrame, scores: Sequence[str], keep: Sequence[str], name="score_name", value="score") -> DataFrame:
@@ -157,7 +157,7 @@ def with_partial(correlations: DataFrame) -> DataFrame:
 def pooled_summary(per_group: DataFrame, rho="rho", n="n", by: Sequence[str] = ("score_name",)) -> DataFrame:
     """Across studies: n-weighted mean, median, number positive and exact sign test."""
     by = list(by)
-    rows = per_group.filter(finite(rho) & F.col(n).isNotNull())
+    rows = once(per_group.filter(finite(rho) & F.col(n).isNotNull()).select(*by, rho, n))
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("studies"),
         (F.sum(F.col(n) * F.col(rho)) / F.sum(n)).alias("weighted_mean_rho"),
