@@ -12,7 +12,7 @@ from touchstone.functions.tails import spearman_p
 from touchstone.operators.agreement import label_histogram, spearman
 from touchstone.operators.ranks import group_quantiles
 from touchstone.operators.running import Total, attach, longest_runs, numbered, running, with_group_totals
-from touchstone.settings import needs_split
+from touchstone.settings import needs_split, once
 
 
 def operating_points(df, score: str, label: str, budgets: Sequence[float], group=(), split="auto") -> DataFrame:
@@ -68,7 +68,7 @@ def usable_units(df, score, label, unit: Sequence[str], min_neg: int = 20) -> Da
 
 def operating_report(points: DataFrame, bulk: DataFrame, unit: Sequence[str], bulk_col="rho") -> DataFrame:
     """Per budget over estimable units: median tpr and its rank correlation with bulk agreement."""
-    rows = points.filter("estimable").join(bulk.select(*unit, F.col(bulk_col).alias("__bulk")), list(unit))
+    rows = once(points.filter("estimable").join(bulk.select(*unit, F.col(bulk_col).alias("__bulk")), list(unit)).select("fpr_budget", "tpr", "__bulk"))
     med = group_quantiles(rows, ["fpr_budget"], "tpr", {"median_tpr": 0.5})
     count = rows.groupBy("fpr_budget").agg(F.count(F.lit(1)).alias("n_estimable"))
     rho = spearman(rows, "__bulk", "tpr", ["fpr_budget"], min_n=3, name="bulk_predicts_tpr").withColumnRenamed("n", "__pairs")
