@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchstone.functions.numeric import finite, half_even, keyed_int
 from touchstone.operators import agreement as ag
 from touchstone.operators import linear as ln
 from touchstone.operators.ranks import share, top_flags
-from touchstone.operators.running import Total, attach, numbered, running, with_group_totals
+from touchstone.operators.running import Total, attach, numbered, ordering, running, with_group_totals
 from touchstone.operators.vectors import farthest_points, top_matches
-from touchstone.settings import cut_lineage, needs_split
+from touchstone.settings import BROADCAST_BYTES, cut_lineage, needs_split, setting
 
 
 def select_by_score(df, score: str, target: str, key: str, budget: int, group: Sequence[str] = ()) -> DataFrame:
@@ -88,39 +88,54 @@ def backtest_grid(
 ) -> DataFrame:
     """Per (group, policy): mean and deviation over seeds of top recall and of the best value found.
 
-    Every measured row may be ordered in any order.  Rank-only policies are one cut at
-    budget * rounds; adaptive ones advance all (group, policy, seed) cells together, one round per
-    step, with lineage cut after each.
+    Every measured row may be ordered in any order.  Rank-only policies are one cut at budget * rounds; adaptive ones
+    advance all (group, policy, seed) cells together, one round per step.  What is kept of a round are its picks, at most
+    ``budget`` rows of a cell: the candidates are the measured rows, which are written once, without them.
     """
     group = list(group)
     cell = [*group, "policy", "seed"]
+    spark = df.sparkSession
     base = df.filter(finite(target)).withColumn("__y", F.col(target).cast("double"))
     base = top_flags(base, group, key, {"__elite": "__y"}, share(top_fraction), total_name="__pool")
     keep = [*group, key, "__y", "__elite", "__pool", *dict.fromkeys([*features, *scores])]
-    base = base.select(*keep)
-    split = needs_split(base, group)  # a cell has as many rows as its group
+    # Groups leave few tasks; rows are dealt out before there are ``seeds`` of each and policy.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    base = cut_lineage(base.select(*keep).repartition(tasks, key).withColumn("__id", F.monotonically_increasing_id()))
+    groups = cut_lineage(base.groupBy(*group).agg(
+        F.sum(F.col("__elite").cast("double")).alias("__elites"), F.min("__y").alias("__lo"), F.max("__y").alias("__hi")).filter("__lo IS NOT NULL"))
     seeded = base.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     parts = []
     fixed = [p for p in policies if p in STATIC]
     if fixed:
         rows = seeded.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in fixed]))).withColumn("__h", keyed_int(0, "seed", key))
         order = F.when(F.col("policy") == "score", -F.col(scores[0]).cast("double")).otherwise(F.col("__h").cast("double"))
-        placed = numbered(rows.withColumn("__o", order), cell, ["__o", key], "__rn", fanout=seeds)
-        parts.append(placed.withColumn("observed", F.col("__rn") <= budget * rounds).select(*cell, key, "__y", "__elite", "observed"))
+        parts.append(_first(rows.withColumn("__o", order), cell, ["__o", key], budget * rounds).select(*cell, "__y", "__elite"))
     moving = [p for p in policies if p in ADAPTIVE]
     if moving:
-        rows = seeded.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in moving]))).withColumn("round", F.lit(None).cast("int"))
-        parts.append(_replay(rows, features, scores, key, cell, budget, rounds, lam, beta, epsilon, split).withColumn(
-            "observed", F.col("round").isNotNull()).select(*cell, key, "__y", "__elite", "observed"))
-    everything = ag.union_all(parts)
-    outcome = everything.groupBy(*cell).agg(
-        F.avg(F.when(F.col("__elite"), F.col("observed").cast("double"))).alias("__recall"),
-        F.max(F.when(F.col("observed"), F.col("__y"))).alias("__best"), F.min("__y").alias("__lo"), F.max("__y").alias("__hi"))
+        rows = seeded.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in moving])))
+        bytes_of_picks = groups.count() * len(moving) * seeds * budget * rounds * 8 * (len(keep) + 4)
+        held = F.broadcast if bytes_of_picks <= setting(spark, BROADCAST_BYTES) else lambda table: table
+        parts.append(_replay(rows, features, scores, key, cell, budget, rounds, lam, beta, epsilon, set(moving), held).select(*cell, "__y", "__elite"))
+    found = ag.union_all(parts).groupBy(*cell).agg(F.sum(F.col("__elite").cast("double")).alias("__hits"), F.max("__y").alias("__best"))
+    cells = groups.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in (*fixed, *moving)]))).withColumn(
+        "seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    outcome = attach(cells, found, cell, "left").withColumn("__recall", F.try_divide(F.coalesce("__hits", F.lit(0.0)), F.col("__elites")))
     norm = F.when(F.col("__hi") > F.col("__lo"), (F.col("__best") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.col("__best") - F.col("__lo"))
     return outcome.groupBy(*group, "policy").agg(
         F.count(F.lit(1)).alias("seeds"), F.avg("__recall").alias("top_recall"), F.stddev_pop("__recall").alias("top_recall_sd"), F.avg(norm).alias("best_norm"))
 
 
+_LIMITED = 1000  # first rows of a cell up to which every task hands on only its own first ones
+
+
+def _first(df: DataFrame, cell: Sequence[str], order, k: int) -> DataFrame:
+    """The first ``k`` rows of each cell.  Of a small ``k`` tasks send only their own first rows, whatever the cell's size."""
+    if k > _LIMITED:
+        return numbered(df, cell, order, "__place", "auto").filter(F.col("__place") <= k).drop("__place")
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy(*ordering(order)))
+    return df.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+
+
 def _estimates(seen: DataFrame, features, scores, key, cell, lam) -> DataFrame:
     """Per cell: elite AUROC of the leave-one-out ridge and of every score on what was measured."""
     sup = ln.supervised_metrics(seen, features, "__y", key, cell, lam).select(*cell, F.col("elite_auroc").alias("__sup"))
@@ -142,61 +157,85 @@ def _decision(n):
         .when(best_ok, F.col("__best_score")).otherwise("explore"))
 
 
-def _step(state, features, scores, key, cell, budget, round_no, lam, beta, epsilon, with_planner, with_ucb, split):
-    """State with the rows picked in this round numbered."""
-    seen = state.filter(F.col("round").isNotNull())
-    fit = ln.solve(ln.gram(seen, list(features), ["__y"], cell), lam).select(*cell, "beta")
+def _facts(seen, features, scores, key, cell, lam, with_planner) -> DataFrame:
+    """Per cell with picks: how many, their spread, the ridge on them and, for the planner, its estimates."""
     known = seen.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.stddev_pop("__y").alias("__sd"))
-    out = attach(attach(state, known, cell, "left"), fit, cell, "left")
+    fit = ln.solve(ln.gram(seen, list(features), ["__y"], cell), lam).select(*cell, "beta")
+    out = attach(known, fit, cell, "left")
+    if with_planner:
+        out = attach(out, _estimates(seen.filter(F.col("policy") == "planner"), features, scores, key, cell, lam), cell, "left")
+    return out
+
+
+def _wanted(free, facts, features, scores, key, cell, round_no, beta, with_planner, with_ucb, held=lambda table: table):
+    """Rows with the policy's value ``__want``, null where hashes ``__h`` decide, and whether the policy is ``__ready``."""
+    out = attach(free, held(facts), cell, "left")
     out = out.withColumn("__p", F.round(ln.linear_prediction(list(features)), 9)).drop("beta")
     out = out.withColumn("__h", keyed_int(0, "seed", F.lit(round_no), key) / float(1 << 60))
-    ready = F.coalesce((F.col("__n") >= 3) & (F.col("__sd") >= 1e-9), F.lit(False))
+    out = out.withColumn("__ready", F.coalesce((F.col("__n") >= 3) & (F.col("__sd") >= 1e-9), F.lit(False)))
+    ready = F.col("__ready")
     want = F.when(ready, F.col("__p"))
     if with_ucb:
-        lively = F.when(F.col("round").isNull(), F.col("__novelty"))
-        tops = out.groupBy(*cell).agg(F.max(lively).alias("__top"))
-        out = attach(out, tops, cell, "left")
+        tops = free.filter(F.col("policy") == "ucb").groupBy(*cell).agg(F.max("__novelty").alias("__top"))
+        out = attach(out, held(tops), cell, "left")
         bonus = F.lit(beta) * F.col("__sd") * F.col("__novelty") / (F.col("__top") + 1e-9)
         want = F.when(ready & (F.col("policy") == "ucb"), F.round(F.col("__p") + bonus, 9)).otherwise(want)
     if with_planner:
-        est = _estimates(seen.filter(F.col("policy") == "planner"), features, scores, key, cell, lam)
-        out = attach(out, est, cell, "left").withColumn("__call", F.when(F.col("policy") == "planner", _decision(F.coalesce("__n", F.lit(0)))))
+        out = out.withColumn("__call", F.when(F.col("policy") == "planner", _decision(F.coalesce("__n", F.lit(0)))))
         chosen = F.lit(None).cast("double")
         for s in scores:
             chosen = F.when(F.col("__call") == s, F.col(s).cast("double")).otherwise(chosen)
         want = F.when(F.col("policy") == "planner", F.when(F.col("__call") == "supervised", F.col("__p")).otherwise(chosen)).otherwise(want)
-    out = out.withColumn("__want", want)
+    return out.withColumn("__want", want)
+
+
+def _step(state, features, scores, key, cell, budget, round_no, lam, split):
+    """The planner's state with the rows picked in this round marked."""
+    facts = _facts(state.filter(F.col("round").isNotNull()), features, scores, key, cell, lam, True)
+    out = _wanted(state, facts, features, scores, key, cell, round_no, 0.0, True, False)
     free = F.col("round").isNull().cast("int")
     # Unmeasured rows first, by the policy's value, then by hash (which decides where it has none).
     out = numbered(out.withColumn("__free", free), cell, [("__free", "desc"), ("__want", "desc"), "__h", key], "__rn", split)
-    take = F.col("__rn") <= budget
-    if epsilon:
-        extra = int(round(epsilon * budget))
-        greedy = budget - extra
-        out = out.withColumn("__rest", F.when((F.col("__free") == 1) & (F.col("__rn") > greedy), 1).otherwise(0))
-        out = numbered(out, cell, [("__rest", "desc"), "__h", key], "__er", split)
-        mixed = (F.col("__rn") <= greedy) | ((F.col("__rest") == 1) & (F.col("__er") <= extra))
-        take = F.when((F.col("policy") == "epsilon") & ready, mixed).otherwise(take)
-    return out.withColumn("__take", F.col("round").isNull() & take)
-
-
-def _replay(rows, features, scores, key, cell, budget, rounds, lam, beta, epsilon, split):
-    state = rows.withColumn("__novelty", F.lit(None).cast("double"))
-    columns = state.columns
-    names = rows.select("policy").distinct()
-    policies = {r[0] for r in names.collect()}  # the policy list the caller gave
+    return out.withColumn("__take", F.col("round").isNull() & (F.col("__rn") <= budget))
+
+
+def _batch(out, key, cell, budget, epsilon):
+    """The rows each cell picks: its first ones by value, of which ``epsilon`` leaves a share to the hash."""
+    order = [("__want", "desc"), "__h", key]
+    extra = int(round(epsilon * budget))
+    if not extra:
+        return _first(out, cell, order, budget)
+    # Its first rows by hash hold those that are picked by hash, however many of them the value picks.
+    drawn = _first(out.filter(F.col("policy") == "epsilon"), cell, ["__h", key], budget)
+    few = _first(out, cell, order, budget).union(drawn).dropDuplicates(["policy", "seed", "__id"])
+    few = numbered(few, cell, order, "__rn", False)
+    few = few.withColumn("__rest", F.when(F.col("__rn") > budget - extra, 1).otherwise(0))
+    few = numbered(few, cell, [("__rest", "desc"), "__h", key], "__er", False)
+    mixed = (F.col("__rest") == 0) | (F.col("__er") <= extra)
+    return few.filter(F.when((F.col("policy") == "epsilon") & F.col("__ready"), mixed).otherwise(F.col("__rn") <= budget))
+
+
+def _replay(rows, features, scores, key, cell, budget, rounds, lam, beta, epsilon, policies, held):
+    """The picks of all rounds; ``held`` may broadcast what is known of cells and picks."""
+    columns = rows.columns
+    picks = rows.filter(F.lit(False))
     vector = F.array(*[F.col(f).cast("double") for f in features])
-    l1 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
+    apart = lambda v: sum((F.abs(F.get(v, F.lit(i)) - F.col(f).cast("double")) for i, f in enumerate(features)), F.lit(0.0))
     for r in range(rounds):
-        picked = _step(state, features, scores, key, cell, budget, r, lam, beta, epsilon if "epsilon" in policies else 0.0, "planner" in policies, "ucb" in policies, split)
-        picked = picked.withColumn("round", F.when(F.col("__take"), F.lit(r)).otherwise(F.col("round")))
-        state = cut_lineage(picked.select(*columns))
-        if "ucb" in policies and r + 1 < rounds:
-            # The picks of one round are at most ``budget`` vectors per cell.
-            new = state.filter((F.col("round") == r) & (F.col("policy") == "ucb")).groupBy(*cell).agg(F.collect_list(vector).alias("__new"))
-            near = F.array_min(F.transform("__new", lambda v: l1(v, vector)))
-            state = attach(state, new, cell, "left").withColumn("__novelty", F.least("__novelty", near)).select(*columns)
-    return state
+        free = rows
+        novelty = F.lit(None).cast("double")
+        if r:
+            free = rows.join(held(picks.select("policy", "seed", "__id")), ["policy", "seed", "__id"], "left_anti")
+            if "ucb" in policies:
+                # At most ``budget`` vectors of a cell and round.
+                old = picks.filter(F.col("policy") == "ucb").groupBy(*cell).agg(F.collect_set(vector).alias("__old"))
+                free = attach(free, held(old), cell, "left")
+                novelty = F.array_min(F.transform("__old", apart))
+        facts = cut_lineage(_facts(picks, features, scores, key, cell, lam, "planner" in policies))
+        out = _wanted(free.withColumn("__novelty", novelty).drop("__old"), facts, features, scores, key, cell, r, beta, "planner" in policies, r > 0 and "ucb" in policies, held)
+        taken = cut_lineage(_batch(out, key, cell, budget, epsilon if "epsilon" in policies else 0.0).select(*columns))
+        picks = picks.union(taken) if r else taken
+    return picks
 
 
 def decision_trace(
@@ -215,7 +254,7 @@ def decision_trace(
     split = needs_split(base, group)
     traces = []
     for r in range(rounds):
-        picked = cut_lineage(_step(state, features, scores, key, cell, budget, r, lam, 0.0, 0.0, True, False, split))
+        picked = cut_lineage(_step(state, features, scores, key, cell, budget, r, lam, split))
         pool = picked.filter(F.col("round").isNull())
         actions = {"supervised": F.col("__p"), **{s: F.col(s).cast("double") for s in scores}}
         long = pool.select(*cell, key, "__elite", F.explode(F.array(*[
