@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -79,6 +80,21 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (hilbert(axes, DEPTH) << 34) | tie
 
 
+def spelled_bytes(path: str) -> np.ndarray | None:
+    """Bytes of text that each id of a byte-level vocabulary stands for; None for tokenizers of other kinds."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    changes = [spec.get("normalizer"), spec.get("post_processor"), spec.get("truncation"), spec.get("padding"), before.get("add_prefix_space"),
+               model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), *[not t["special"] for t in spec.get("added_tokens") or []]]
+    if before.get("type") != "ByteLevel" or model.get("type") != "BPE" or any(changes):
+        return None
+    out = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+    for token, i in model["vocab"].items():
+        out[i] = len(token)  # one sign for each byte
+    return out
+
+
 class Encoder:
     """Token ids of whole texts; the ids of pieces are remembered, as they don't depend on what stands around a piece.
 
@@ -95,10 +111,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.spelled = spelled_bytes(path)
 
     def plain(self, texts: list[bytes]) -> list[bytes]:
-        texts = [t.decode("utf-8", "replace") for t in texts]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text by itself.  Where ids tell how many bytes they spell, all texts go in as the words of one input."""
+        words = [t.decode("utf-8", "replace") for t in texts]
+        if self.spelled is not None and texts:
+            e = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.kind)
+            done, ends = np.r_[0, np.cumsum(self.spelled[ids])], np.r_[0, np.cumsum([len(t) for t in texts])]
+            at = np.searchsorted(done, ends)
+            if done[-1] == ends[-1] and (done[at] == ends).all():
+                ids, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
+                return [ids[a:b] for a, b in zip(at, at[1:])]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids and the end id of each text of a chunk (its bytes, and the offsets of its texts from 0)."""
