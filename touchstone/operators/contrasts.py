@@ -11,6 +11,7 @@ from touchstone.functions.tails import binom_two_sided
 from touchstone.operators.hypothesis import paired_interval
 from touchstone.operators.resample import bootstrap_mean
 from touchstone.operators.running import attach
+from touchstone.settings import settled
 
 
 def paired_deltas(real: DataFrame, perturbed: DataFrame, key: str, score: str = "score", name: str = "perturbation") -> DataFrame:
@@ -53,9 +54,10 @@ def contrast_battery(
 
     ``expectations`` has (perturbation, expect) with expect "real_higher" or "no_preference".  With the
     units' ``key`` a percentile bootstrap interval (``boot_lo``, ``boot_hi``) stands beside the parametric
-    one; all perturbations see the same draws.
+    one; all perturbations see the same draws.  Deltas that are made of joined tables are written once, as every figure
+    reads them.
     """
-    group = list(group)
+    group, deltas = list(group), settled(deltas)
     ref = deltas.filter(F.col(name) == reference).groupBy(*group).agg(F.avg("delta").alias("reference_delta"))
     declared = deltas.join(expectations.select(name, "expect"), name)
     return _adjudicate(declared, "delta", [*group, name, "expect"], ref, F.col("expect"), group, distribution, key, replicates, seed, draws)
@@ -66,7 +68,7 @@ def matched_contrast(
     distribution: str = "t", replicates: int = 10_000, seed: int = 0, draws: str = "poisson",
 ) -> DataFrame:
     """Difference of two paired deltas of the same unit (a minus b) under the same rule, with both intervals."""
-    group = list(group)
+    group, deltas = list(group), settled(deltas)
     ref = deltas.filter(F.col(name) == reference).groupBy(*group).agg(F.avg("delta").alias("reference_delta"))
     pick = lambda which: F.max(F.when(F.col(name) == which, F.col("delta")))
     wide = deltas.filter(F.col(name).isin(a, b)).groupBy(*group, key).agg(pick(a).alias("__a"), pick(b).alias("__b"))

@@ -85,29 +85,48 @@ DENSE_CELLS = 1 << 20
 
 
 def _transitions(order: int, period: int, alphabet: str):
-    """Of a batch of texts: (text number, cell, n) of its transitions, cell = (phase, context, letter) as one number."""
+    """Of a batch of texts: (text number, cell, n) of its transitions, cell = (phase, context, letter) as one number.  Texts
+    that are not told ``apart`` are all number 0."""
     size, places = len(alphabet), order + 1
     code = np.full(0x110000, -1, np.int32)
     code[[ord(c) for c in alphabet]] = np.arange(size)
     cells = period * size**places
 
-    def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def count(texts: list[str | None], apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         length = np.array([len(t or "") for t in texts], np.int64)
-        points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = code[points]
+        joined = "".join(t or "" for t in texts)
+        try:  # a byte a letter where it will do
+            letter = code[np.frombuffer(joined.encode("latin-1"), np.uint8)]
+        except UnicodeEncodeError:
+            letter = code[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         n = len(letter) - order
         if n <= 0:
             none = np.zeros(0, np.int64)
             return none, none, none
-        row = np.repeat(np.arange(len(texts)), length)
-        at = np.arange(len(letter)) - np.repeat(np.cumsum(length) - length, length)
-        ok = row[:n] == row[order:]
+        ends = np.cumsum(length)
+        ok = np.ones(n, bool)
+        for j in range(1, places):  # a transition that ends in the next text is none
+            over = ends - j
+            ok[over[(over >= 0) & (over < n)]] = False
         cell = np.zeros(n, np.int64)
         for j in range(places):
             ok &= letter[j:j + n] >= 0
             cell = cell * size + letter[j:j + n]
-        cell += (at[:n] + order) % period * size**places
-        keys, counts = np.unique(row[:n][ok] * cells + cell[ok], return_counts=True)
+        row = np.repeat(np.arange(len(texts)), length) if apart or period > 1 else None
+        if period > 1:
+            at = np.arange(n) - (ends - length)[row[:n]]
+            cell += (at + order) % period * size**places
+        found = cell[ok]
+        if not apart:
+            counts = np.bincount(found, minlength=cells)
+            keys = np.flatnonzero(counts)
+            return np.zeros(len(keys), np.int64), keys, counts[keys]
+        found += row[:n][ok] * cells
+        if len(texts) * cells <= 4 * n:  # counting all cells of all texts is cheaper than sorting
+            counts = np.bincount(found, minlength=len(texts) * cells)
+            keys = np.flatnonzero(counts)
+            return keys // cells, keys % cells, counts[keys]
+        keys, counts = np.unique(found, return_counts=True)
         return keys // cells, keys % cells, counts
 
     return count
@@ -136,7 +155,7 @@ def _dense_markov(df, extra, text, order, period, alphabet, pseudocount, fit, le
             own = np.zeros(cells, np.int64)
             for batch in batches:
                 for _, _, texts in _slices(batch):
-                    _, cell, n = count(texts)
+                    _, cell, n = count(texts, apart=False)
                     own += np.bincount(cell, weights=n, minlength=cells).astype(np.int64)
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], ["cell", "n"])

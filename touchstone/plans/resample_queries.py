@@ -11,6 +11,7 @@ from touchstone.operators import resample as rs
 from touchstone.operators import sequences as sq
 from touchstone.operators.weights import bootstrap_sums, draw_sql, weight_sql
 from touchstone.plans.registry import arank, drawn, query, r, rounded, scorr, t_quantile
+from touchstone.settings import settled
 
 
 def _draws(units, group, key, reps, seed):
@@ -273,11 +274,11 @@ def battery_claims(t):
     texts = t.documents.select("doc_id", F.lower("text").alias("text"))
     names = ["reversal", "mononucleotide shuffle", "dinucleotide shuffle"]
     alphabet = "abcdefghijklmnopqrstuvwxyz"
-    made = pt.perturb(texts, "doc_id", "text", names)
-    real = sq.markov_scores(texts, "doc_id", "text", 1, alphabet=alphabet)
-    scored = sq.markov_scores(made.withColumnRenamed("perturbed", "text"), "doc_id", "text", 1, alphabet=alphabet, corpus=texts, corpus_text="text", score_key="perturbation")
+    made = pt.perturb(texts, "doc_id", "text", names, original="real")
+    scored = settled(sq.markov_scores(made.withColumnRenamed("perturbed", "text"), "doc_id", "text", 1, alphabet=alphabet, corpus=texts, corpus_text="text", score_key="perturbation"), always=True)
     declared = pt.registry_table(t.spark, names)
-    out = co.contrast_battery(co.paired_deltas(real, scored, "doc_id"), declared, "mononucleotide shuffle", key="doc_id", replicates=1000)
+    deltas = co.paired_deltas(scored.filter("perturbation = 'real'"), scored.filter("perturbation <> 'real'"), "doc_id")
+    out = co.contrast_battery(deltas, declared, "mononucleotide shuffle", key="doc_id", replicates=1000)
     return rounded(co.claim_text(out, declared))
 
 
