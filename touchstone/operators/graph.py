@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from touchstone.operators.operating import flag_rows
 from touchstone.operators.running import attach, islands_by_gap, with_scalars
-from touchstone.settings import cut_lineage, is_small, tasks_for
+from touchstone.settings import cut_lineage, is_small, settled, tasks_for
 
 
 def hamming_neighbours(df, text: str, group: Sequence[str] = ()) -> DataFrame:
@@ -29,22 +30,87 @@ def hamming_neighbours(df, text: str, group: Sequence[str] = ()) -> DataFrame:
     return pairs.filter("src <> dst").select(*group, "src", "dst")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
-    """(node, component) with the smallest member as component name.
+_LINKS = 1 << 21  # links that a task joins at once
+_LAST = 1 << 20  # links that are left to a single task
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, sorted, and the smallest node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, a, b = np.arange(len(nodes)), at[:len(a)], at[len(a):]
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return nodes, nodes[parent]
+
+
+def _joined(most: int):
+    """For ``most`` links of a partition at a time: each node with its smallest; the first row has the number of links."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(side) for side in zip(*held, strict=True))
+        if not len(a):
+            return
+        nodes, roots = _roots(a, b)
+        links = np.zeros(len(nodes), np.int64)
+        links[0] = len(a)
+        for lo in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + (1 << 16)]) for x in (nodes, roots, links)], ["node", "root", "links"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch["a"].to_numpy(zero_copy_only=False), batch["b"].to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+            if n >= most:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    return go
+
+
+def _contracted(current: DataFrame) -> DataFrame:
+    """(a, b): each node and the smallest of its component, for whole numbers as nodes.
+
+    Tasks join the links that they read, so a node has a row for each lot of links that it occurs in.  Its smallest root of
+    all lots is its root so far, and its other roots are links between roots.  Where lots lie together in the graph these are
+    few, and one task joins them; else they are contracted again, or go through stars when that no longer makes them fewer.
+    """
+    spark, levels, solved = current.sparkSession, [], None
+    while solved is None:
+        found = settled(current.mapInArrow(_joined(_LINKS), "node bigint, root bigint, links bigint"), always=True)
+        links = found.agg(F.sum("links")).first()[0] or 0
+        lots = Window.partitionBy("node").orderBy("root")
+        with tasks_for(spark, 2 * links):
+            placed = settled(found.select("node", "root", F.first("root").over(lots).alias("m"), F.row_number().over(lots).alias("lot")), always=True)
+            current = cut_lineage(placed.filter("root <> m").select(F.col("root").alias("a"), F.col("m").alias("b")).distinct())
+        levels.append(placed.filter("lot = 1").select("node", "m"))
+        left = current.count()
+        if left <= _LAST:
+            solved = F.broadcast(cut_lineage(current.coalesce(1).mapInArrow(_joined(left), "node bigint, root bigint, links bigint")).select(
+                F.col("node").alias("m"), F.col("root").alias("r")))
+        elif 2 * left > links:
+            solved = _starred(current, left).select(F.col("a").alias("m"), F.col("b").alias("r"))
+    for members in reversed(levels):
+        solved = members.join(solved, "m", "left").select(F.col("node").alias("m"), F.coalesce("r", "m").alias("r"))
+    return solved.select(F.col("m").alias("a"), F.col("r").alias("b"))
+
+
+def _starred(current: DataFrame, links: int) -> DataFrame:
+    """(a, b): each node and the smallest of its component.
 
     Alternating large-star and small-star steps: every node links its larger neighbours, then its
     smaller ones, to the smallest it knows.  A step is a minimum per node (combined on the map
     side, so a hub is cheap) and a join back; lineage is cut every round and the loop ends when
     the edge set stops changing.
     """
-    spark = edges.sparkSession
-    current = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
-    current = current.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = 0
-    if not is_small(edges):
-        current = cut_lineage(current)
-        links = current.count()
-    with tasks_for(spark, 2 * links):  # both directions of a link
+    with tasks_for(current.sparkSession, 2 * links):  # both directions of a link
         current = cut_lineage(current.distinct())
         seen = None
         while True:
@@ -61,9 +127,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
             if mark == seen:
                 break
             seen = mark
-    members = current.select(F.col("a").alias(node), F.col("b").alias("component"))
-    roots = current.select(F.col("b").alias(node)).distinct().withColumn("component", F.col(node))
-    out = members.unionByName(roots)
+    return current.unionByName(current.select("b").distinct().select(F.col("b").alias("a"), "b"))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
+    """(node, component) with the smallest member as component name.
+
+    Links between whole numbers are contracted where they are read; others go through alternating stars.
+    """
+    current = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
+    current = current.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    kind = current.schema["a"].dataType
+    if isinstance(kind, IntegralType):
+        out = _contracted(current.select(F.col("a").cast("long"), F.col("b").cast("long")))
+    else:
+        links = 0
+        if not is_small(edges):
+            current = cut_lineage(current)
+            links = current.count()
+        out = _starred(current, links)
+    out = out.select(F.col("a").cast(kind).alias(node), F.col("b").cast(kind).alias("component"))
     if nodes is not None:
         alone = nodes.select(F.col(node)).distinct().join(out.select(node), node, "left_anti")
         out = out.unionByName(alone.withColumn("component", F.col(node)))
